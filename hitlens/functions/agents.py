@@ -44,37 +44,37 @@ VERSION_TOKENS = ("googlebot", "bingbot", "edg", "opr", "firefox", "chrome", "ve
 RULES = {"browser": BROWSERS, "os": SYSTEMS, "device": DEVICES}
 
 
-def _any_like(text: Column, patterns) -> Column:
-    out = text.like(patterns[0])
-    for pattern in patterns[1:]:
-        out = out | text.like(pattern)
-    return out
+def _any_like(agent: str, patterns) -> str:
+    return "(" + " or ".join(f"lower({agent}) like '{p}'" for p in patterns) + ")"
 
 
-def classify(agent: Column, rules) -> Column:
-    text = F.lower(agent)
-    out = F.when(agent.isNull(), "Unknown")
-    for patterns, name in rules:
-        out = out.when(_any_like(text, patterns), name)
-    return out.otherwise("Other")
+def classify(agent: str, rules) -> Column:
+    """Name given by the first rule that matches the agent column; Unknown for null."""
+    cases = " ".join(f"when {_any_like(agent, patterns)} then '{name}'" for patterns, name in rules)
+    return F.expr(f"case when {agent} is null then 'Unknown' {cases} else 'Other' end")
 
 
-def browser_version(agent: Column) -> Column:
+def browser_version(agent: str) -> Column:
     """Version text after the first known token; null when there is none."""
-    tries = [F.nullif(F.regexp_extract(agent, rf"(?i){token}/([0-9][0-9.]*)", 1), F.lit(""))
-             for token in VERSION_TOKENS]
-    return F.coalesce(*tries)
+    tries = ", ".join(f"nullif(regexp_extract({agent}, '(?i){token}/([0-9][0-9.]*)', 1), '')"
+                      for token in VERSION_TOKENS)
+    return F.expr(f"coalesce({tries})")
 
 
-def is_mobile(agent: Column) -> Column:
-    return F.coalesce(_any_like(F.lower(agent), MOBILE), F.lit(False)).cast("int")
+def _flag(agent: str, patterns) -> Column:
+    return F.expr(f"cast(coalesce({_any_like(agent, patterns)}, false) as int)")
 
 
-def is_bot(agent: Column) -> Column:
-    return F.coalesce(_any_like(F.lower(agent), BOT), F.lit(False)).cast("int")
+def is_mobile(agent: str) -> Column:
+    return _flag(agent, MOBILE)
 
 
-def agent_columns(agent: Column, rules=None) -> dict[str, Column]:
+def is_bot(agent: str) -> Column:
+    return _flag(agent, BOT)
+
+
+def agent_columns(agent: str, rules=None) -> dict[str, Column]:
+    """All agent features of a column (or SQL expression); ``rules`` replaces lists by name."""
     rules = {**RULES, **(rules or {})}
     return {
         "browser": classify(agent, rules["browser"]),

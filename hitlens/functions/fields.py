@@ -83,26 +83,20 @@ def contains_any(text: Column, tokens) -> Column:
 # ---- client address -------------------------------------------------------------
 
 # First octets treated as private.
-PRIVATE_FIRST_OCTETS = ("10", "192", "172")
+PRIVATE_FIRST_OCTETS = (10, 192, 172)
 
 
-def _first_octet(ip: Column) -> Column:
+def first_octet(ip: Column) -> Column:
     """First octet of a four-part address, else null."""
     return F.when(occurrences(ip, ".") == 3,
                   F.substring_index(ip, ".", 1).try_cast("int"))
 
 
-def is_private_ip(ip: Column) -> Column:
-    return flag(_first_octet(ip).isNotNull()
-                & F.substring_index(ip, ".", 1).isin(*PRIVATE_FIRST_OCTETS))
+def is_private(octet: Column) -> Column:
+    return flag(octet.isin(*PRIVATE_FIRST_OCTETS))
 
 
-def ip_first_octet(ip: Column) -> Column:
-    return F.coalesce(_first_octet(ip), F.lit(0))
-
-
-def subnet_class(ip: Column) -> Column:
-    octet = _first_octet(ip)
+def subnet_class(octet: Column) -> Column:
     return (F.when(octet.isNull(), "Unknown").when(octet < 128, "A")
             .when(octet < 192, "B").otherwise("C"))
 

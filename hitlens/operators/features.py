@@ -50,7 +50,7 @@ def uri_features(df: DataFrame) -> DataFrame:
 def user_agent_dim(df: DataFrame, rules=None) -> DataFrame:
     """One row per distinct user agent with its classification."""
     return (df.select("user_agent").distinct()
-            .withColumns(agents.agent_columns(F.col("user_agent"), rules)))
+            .withColumns(agents.agent_columns("user_agent", rules)))
 
 
 def enrich_user_agents(df: DataFrame, rules=None, via: str = "inline") -> DataFrame:
@@ -64,25 +64,25 @@ def enrich_user_agents(df: DataFrame, rules=None, via: str = "inline") -> DataFr
     if "user_agent" not in df.columns:
         return df
     if via == "inline":
-        return df.withColumns(agents.agent_columns(F.col("user_agent"), rules))
+        return df.withColumns(agents.agent_columns("user_agent", rules))
     if via != "dimension":
         raise ValueError(f"via must be 'inline' or 'dimension', not {via!r}")
     # a missing agent needs no lookup, so the most common hot key never enters the join
     dim = user_agent_dim(df.where(F.col("user_agent").isNotNull()), rules)
     names = [c for c in dim.columns if c != "user_agent"]
-    unknown = agents.agent_columns(F.lit(None).cast("string"), rules)
+    unknown = agents.agent_columns("cast(null as string)", rules)
     return (df.join(dim, "user_agent", "left")
             .withColumns({c: F.when(F.col("user_agent").isNull(), unknown[c])
                           .otherwise(F.col(c)) for c in names}))
 
 
 def ip_features(df: DataFrame) -> DataFrame:
-    ip = F.col("ip")
-    return df.withColumns({
-        "is_private_ip": fields.is_private_ip(ip),
-        "ip_first_octet": fields.ip_first_octet(ip),
-        "subnet_class": fields.subnet_class(ip),
-    })
+    octet = F.col("_octet")
+    return (df.withColumn("_octet", fields.first_octet(F.col("ip"))).withColumns({
+        "is_private_ip": fields.is_private(octet),
+        "ip_first_octet": F.coalesce(octet, F.lit(0)),
+        "subnet_class": fields.subnet_class(octet),
+    }).drop("_octet"))
 
 
 def extract_features(df: DataFrame, rules=None) -> DataFrame:

@@ -16,43 +16,31 @@ _MARK = "\u0001"
 _CLF_FIELDS = _MARK.join(f"${i + 1}" for i in range(len(LAYOUTS["clf"])))
 
 
-def _clean(text: Column) -> Column:
-    """Drop one pair of enclosing quotes; an empty field is null."""
-    quoted = text.startswith('"') & text.endswith('"') & (F.length(text) >= 2)
-    bare = F.when(quoted, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    return F.nullif(bare, F.lit(""))
-
-
-def _part(i: int) -> Column:
-    return F.get("_parts", F.lit(i))
+# One pair of enclosing quotes is dropped from every field; few lines have any.
+_UNQUOTED = r"""transform({parts}, p -> if(p rlike '^".*"$' and length(p) > 1,
+                                           substring(p, 2, length(p) - 2), p))"""
 
 
 def _tab_layout() -> Column:
     width = F.size("_parts")
-    day_and_time = (_part(0).rlike(r"^\d{4}-\d{2}-\d{2}$")
-                    & _part(1).rlike(r"^\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?$"))
+    day_and_time = (F.get("_parts", F.lit(0)).rlike(r"^\d{4}-\d{2}-\d{2}$")
+                    & F.get("_parts", F.lit(1)).rlike(r"^\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?$"))
     return (F.when((width <= len(LAYOUTS["tsv11"])) & day_and_time, "tsv11")
             .when(width <= len(LAYOUTS["tsv9"]), "tsv9"))
 
 
-def _raw_fields(layout: str) -> dict[str, Column]:
-    """Canonical name -> raw text; fields missing from a short line are null."""
-    names = [RENAMES.get(name, name) for name in LAYOUTS[layout]]
-    return {name: _clean(_part(i)) for i, name in enumerate(names)}
-
-
-def _by_layout(name: str, layouts: Sequence[str]) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
+def _field(name: str, layouts: Sequence[str]) -> Column:
+    """Text of a canonical field: its position depends on the layout of the line; fields
+    missing from a short line are null."""
+    places = {}
     for layout in layouts:
-        raw = _raw_fields(layout)
-        if name == "when" and "date" in raw:
-            out = out.when(F.col("_kind") == layout,
-                           F.concat(raw["date"], F.lit(" "), raw["time"]))
-        elif name == "when":
-            out = out.when(F.col("_kind") == layout, raw["timestamp"])
-        elif name in raw:
-            out = out.when(F.col("_kind") == layout, raw[name])
-    return out
+        names = [RENAMES.get(raw, raw) for raw in LAYOUTS[layout]]
+        if name in names:
+            places[layout] = names.index(name)
+    if not places:
+        return F.expr("cast(null as string)")
+    cases = " ".join(f"when '{layout}' then {i}" for layout, i in places.items())
+    return F.expr(f"nullif(get(_parts, case _kind {cases} end), '')")
 
 
 def parse_lines(lines: DataFrame, layout: str = "auto",
@@ -89,9 +77,14 @@ def parse_lines(lines: DataFrame, layout: str = "auto",
         limit = len(LAYOUTS[layout])
         # too long a line is set aside, never shifted
         fits = width == limit if layout == "clf" else width <= limit
-        rows = rows.withColumn("_parts", parts).withColumn("_kind", F.when(fits, layout))
-    rows = rows.withColumn("_when", _by_layout("when", kinds))
-    fields = [_by_layout(name, kinds).alias(name) for name in CANONICAL.fieldNames()[1:]]
+        rows = rows.withColumn("_parts", parts).withColumn("_kind", F.when(fits, F.lit(layout)))
+    quoted = F.col("value").contains('"') & (F.col("_kind") != "clf")
+    rows = rows.withColumn("_parts", F.when(quoted, F.expr(_UNQUOTED.format(parts="_parts")))
+                           .otherwise(F.col("_parts")))
+    when = F.coalesce(F.concat(_field("date", kinds), F.lit(" "), _field("time", kinds)),
+                      _field("timestamp", kinds))
+    rows = rows.withColumn("_when", when)
+    fields = [_field(name, kinds).alias(name) for name in CANONICAL.fieldNames()[1:]]
     row = F.struct(parse_datetime(F.col("_when"), formats).alias("datetime"), *fields)
     guess = F.col("_kind").isin("tsv9", "space11")  # shapes that many other lines share
     return (rows.select("value", "source_file", "_kind", F.inline(F.array(row)))
@@ -183,23 +176,33 @@ def read_logs(spark: SparkSession, path, layout: str = "auto", *,
     return good, parsed.where(~known).select("source_file", "layout", "raw_line")
 
 
-def with_datetime(df: DataFrame, formats: Sequence[str] = DEFAULT_FORMATS) -> DataFrame:
-    """Add ``datetime`` from date + time, else timestamp, else the first column."""
+def _datetime_of(df: DataFrame, formats: Sequence[str]) -> Column:
+    """Time from date + time, else timestamp, else the first column."""
     if {"date", "time"} <= set(df.columns):
         when = F.concat(F.col("date"), F.lit(" "), F.col("time"))
     elif "timestamp" in df.columns:
         when = F.col("timestamp")
     else:
         when = F.col(f"`{df.columns[0]}`")
-    return df.withColumn("datetime", parse_datetime(when.cast("string"), formats))
+    return parse_datetime(when.cast("string"), formats)
+
+
+def with_datetime(df: DataFrame, formats: Sequence[str] = DEFAULT_FORMATS) -> DataFrame:
+    """Add ``datetime``, null where the time cannot be read."""
+    return df.withColumn("datetime", _datetime_of(df, formats))
 
 
 def standardize(df: DataFrame, formats: Sequence[str] = DEFAULT_FORMATS) -> DataFrame:
     """Canonical names and a ``datetime``; rows without a readable time are dropped."""
-    if "datetime" not in df.columns:
-        df = with_datetime(df, formats)
-    df = df.withColumnsRenamed({k: v for k, v in RENAMES.items() if k in df.columns})
+    present = {RENAMES.get(c, c) for c in df.columns}
     for name in ("ip", "status"):
-        if name not in df.columns:
+        if name not in present:
             raise ValueError(f"column {name!r} is required")
-    return df.where(F.col("datetime").isNotNull())
+    if "datetime" in df.columns:
+        df = df.where(F.col("datetime").isNotNull())
+    else:
+        # parse and drop in one step: a filter on the parsed time would be pushed below the
+        # projection and parse it again
+        readable = F.array_compact(F.array(_datetime_of(df, formats)))
+        df = df.select("*", F.explode(readable).alias("datetime"))
+    return df.withColumnsRenamed({k: v for k, v in RENAMES.items() if k in df.columns})
