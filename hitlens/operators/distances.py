@@ -35,4 +35,6 @@ def block_pairs(left: DataFrame, right: DataFrame, place: list[str]):
     names = [*place, "_i", "_j"]
     probe = left.withColumn("_j", others).withColumnRenamed("_block", "_i")
     build = right.withColumn("_i", others).withColumnRenamed("_block", "_j")
+    # both sides may stem from one frame: give them columns of their own
+    probe, build = probe.toDF(*probe.columns), build.toDF(*build.columns)
     return probe.groupBy(*names).cogroup(build.groupBy(*names))
