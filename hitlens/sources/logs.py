@@ -121,6 +121,8 @@ def _read_csv(spark: SparkSession, path, formats) -> DataFrame | None:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, unread]])
     rows = (reader.schema(schema).option("enforceSchema", False)
             .option("columnNameOfCorruptRecord", unread)
+            # a row's length is judged by all its fields, whichever a query reads
+            .option("columnPruning", False)
             .option("nullValue", "\u0000").csv(path))
     # Only the raw line of an irregular row is kept; its last named field tells long from short.
     too_long = F.col(unread).isNotNull() & F.col(f"`{header[-1]}`").isNotNull()

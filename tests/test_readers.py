@@ -88,7 +88,16 @@ def test_read_folder_of_mixed_files(spark, tmp_path):
     lines = [r.raw_line for r in bad.collect()]
     assert "junk" in lines and "2024-01-01 00:00:06,8.8.8.7,200,/x,a,b,c" in lines
     assert read_logs(spark, str(tmp_path), extensions=["bin"]).count() == 1
-    assert read_logs(spark, str(tmp_path), "csv").count() == 2
+    # the verdict on a row does not depend on the columns a query reads
+    csv = read_logs(spark, str(tmp_path), "csv")
+    assert csv.count() == 2 and csv.select("ip").count() == 2 and len(csv.collect()) == 2
+
+
+def test_csv_files_must_share_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,ip,status\n2024-01-01 00:00:04,8.8.8.8,200\n")
+    (tmp_path / "b.csv").write_text("ip,timestamp,status\n8.8.8.8,2024-01-01 00:00:04,200\n")
+    with pytest.raises(Exception, match="b.csv|a.csv"):
+        read_logs(spark, str(tmp_path), "csv").collect()
 
 
 def test_times_do_not_depend_on_the_session_zone(spark):
