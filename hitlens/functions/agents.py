@@ -44,8 +44,15 @@ VERSION_TOKENS = ("googlebot", "bingbot", "edg", "opr", "firefox", "chrome", "ve
 RULES = {"browser": BROWSERS, "os": SYSTEMS, "device": DEVICES}
 
 
+def _like(agent: str, pattern: str) -> str:
+    """A pattern of several parts needs a regex: search for its first part before."""
+    parts = pattern.strip("%").split("%")
+    test = f"lower({agent}) like '{pattern}'"
+    return test if len(parts) == 1 else f"(lower({agent}) like '%{parts[0]}%' and {test})"
+
+
 def _any_like(agent: str, patterns) -> str:
-    return "(" + " or ".join(f"lower({agent}) like '{p}'" for p in patterns) + ")"
+    return "(" + " or ".join(_like(agent, p) for p in patterns) + ")"
 
 
 def classify(agent: str, rules) -> Column:
@@ -55,10 +62,12 @@ def classify(agent: str, rules) -> Column:
 
 
 def browser_version(agent: str) -> Column:
-    """Version text after the first known token; null when there is none."""
-    tries = ", ".join(f"nullif(regexp_extract({agent}, '(?i){token}/([0-9][0-9.]*)', 1), '')"
-                      for token in VERSION_TOKENS)
-    return F.expr(f"coalesce({tries})")
+    """Version text after the first known token; null when it has none."""
+    cases = " ".join(
+        f"when lower({agent}) like '%{token}/%' then "
+        f"nullif(regexp_extract(lower({agent}), '{token}/([0-9][0-9.]*)', 1), '')"
+        for token in VERSION_TOKENS)
+    return F.expr(f"case {cases} end")
 
 
 def _flag(agent: str, patterns) -> Column:

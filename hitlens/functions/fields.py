@@ -48,15 +48,10 @@ def parse_datetime(text: Column, formats=DEFAULT_FORMATS) -> Column:
     return F.coalesce(*attempts)
 
 
-def bucket_start(ts: Column, grain: str) -> Column:
-    """Start of the hour or day. Naive arithmetic: ``date_trunc`` would pass through the
-    session time zone."""
-    day = F.to_date(ts).cast("timestamp_ntz")
-    if grain == "day":
-        return day
-    if grain == "hour":
-        return day + F.make_dt_interval(F.lit(0), F.hour(ts))
-    raise ValueError(f"grain must be 'hour' or 'day', not {grain!r}")
+def day_hour(day: Column, hour: Column) -> Column:
+    """Naive time of an hour of a day (``date_trunc`` would pass through the session time
+    zone)."""
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour)
 
 
 def seconds_between(start: Column, end: Column) -> Column:

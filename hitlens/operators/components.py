@@ -2,26 +2,37 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from hitlens.operators.grouping import hot_keys, salted_join
 from hitlens.session import checkpoint
 
+# Fewer edges than this make no hot task, whatever their shape.
+_MANY_EDGES = 1_000_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _with_hub(edges: DataFrame, hub: DataFrame, many: bool) -> DataFrame:
+    """Edges (a, b) with the least node ``m`` that ``a`` sees."""
+    if not many:
+        return edges.join(hub.select("a", "m"), "a")
+    return salted_join(edges, hub.select("a", "m"), ["a"], hot_keys(hub, ["a"], "degree"), "inner")
+
+
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """Re-hang neighbours on the least node they see.
 
     Large star moves the greater neighbours of a node, small star its lesser ones and
-    itself. The minimum combines map-side and the join back is split by AQE when a node
-    has very many neighbours; no neighbour list is ever built.
+    itself. The minimum combines map-side, and the edges of a node with very many
+    neighbours are salted for the join back; no neighbour list is ever built.
     """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hub = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a"), F.least("a", "m").alias("m"))
-        moved = both.where(F.col("b") > F.col("a")).join(hub, "a").select(
+        hub = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"),
+                                    F.count("*").alias("degree"))
+        moved = _with_hub(both.where(F.col("b") > F.col("a")), hub, many).select(
             F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.where(F.col("a") != F.col("b")).distinct()
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    hub = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(hub, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hub = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    moved = _with_hub(down, hub, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = hub.select(F.col("a"), F.col("m").alias("b"))
     return moved.union(own).where(F.col("a") != F.col("b")).distinct()
 
@@ -42,7 +53,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = checkpoint(edges.where(F.col("a") != F.col("b")).distinct())
     seen = _fingerprint(current)
     while True:
-        current = checkpoint(_star(_star(current, large=True), large=False))
+        many = seen[0] > _MANY_EDGES
+        current = checkpoint(_star(_star(current, True, many), False, many))
         now = _fingerprint(current)
         if now == seen:
             break

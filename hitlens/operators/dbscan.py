@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hitlens.operators.components import connected_components
 from hitlens.operators.distances import BLOCK_ROWS, block_pairs, hash_block, strips
+from hitlens.operators.grouping import hot_keys, salted_join
 from hitlens.session import checkpoint
 
 NOISE = -1
@@ -168,7 +169,8 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     placed = _place(points, tree, eps, id_type)
     sizes = placed.groupBy("leaf").agg(
         F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_blocks"))
-    placed = checkpoint(placed.join(sizes, "leaf")
+    # leaves are at most as many as sampled points
+    placed = checkpoint(placed.join(F.broadcast(sizes), "leaf")
                         .withColumn("_block", hash_block(F.col("pid"), F.col("_blocks"))))
 
     def count(left, right):
@@ -194,8 +196,8 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
               .join(core_label.withColumnRenamed("pid", "b"), "b")
               .groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("label")))
     by_vector = (core_label.union(border.select("pid", "label"))
-                 .join(points.select("pid", F.col("x").alias("_x")), "pid").select("_x", "label"))
-    return (rows.withColumn("_v", vector)
-            .join(by_vector, F.col("_v") == F.col("_x"), "left")
+                 .join(points, "pid").select(F.col("x").alias("_point"), "label"))
+    frequent = hot_keys(points.withColumnRenamed("x", "_point"), ["_point"], "weight")
+    return (salted_join(rows.withColumn("_point", vector), by_vector, ["_point"], frequent)
             .withColumn(name, F.coalesce(F.col("label"), F.lit(NOISE).cast("long")))
-            .drop("_v", "_x", "label"))
+            .drop("_point", "label"))

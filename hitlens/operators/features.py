@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from hitlens.functions import agents, fields
+from hitlens.operators.grouping import attach
 
 
 def temporal_features(df: DataFrame) -> DataFrame:
@@ -57,9 +58,9 @@ def enrich_user_agents(df: DataFrame, rules=None, via: str = "inline") -> DataFr
     """Add browser, os, device, is_mobile and is_bot.
 
     ``inline`` evaluates the rules on each row, which needs no shuffle. ``dimension``
-    classifies each distinct agent once and joins back; it pays off for expensive rule
-    sets. The join carries no broadcast hint: Catalyst broadcasts the dimension when its
-    measured size allows and splits skewed agents otherwise.
+    classifies each distinct agent once and joins back, frequent agents salted; it pays
+    off for expensive rule sets. Catalyst broadcasts the dimension where its measured size
+    allows.
     """
     if "user_agent" not in df.columns:
         return df
@@ -67,13 +68,7 @@ def enrich_user_agents(df: DataFrame, rules=None, via: str = "inline") -> DataFr
         return df.withColumns(agents.agent_columns("user_agent", rules))
     if via != "dimension":
         raise ValueError(f"via must be 'inline' or 'dimension', not {via!r}")
-    # a missing agent needs no lookup, so the most common hot key never enters the join
-    dim = user_agent_dim(df.where(F.col("user_agent").isNotNull()), rules)
-    names = [c for c in dim.columns if c != "user_agent"]
-    unknown = agents.agent_columns("cast(null as string)", rules)
-    return (df.join(dim, "user_agent", "left")
-            .withColumns({c: F.when(F.col("user_agent").isNull(), unknown[c])
-                          .otherwise(F.col(c)) for c in names}))
+    return attach(df, user_agent_dim(df, rules), ["user_agent"])
 
 
 def ip_features(df: DataFrame) -> DataFrame:

@@ -1,22 +1,68 @@
-"""Helpers to attach group-level numbers to rows without cross joins."""
+"""Helpers to attach group-level numbers to rows without cross joins or hot tasks."""
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+# A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of the rows.
+HOT_KEYS, SALTS = 256, 64
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """The most frequent keys: a list of bounded length, whatever the data."""
+    return counts.orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS).select(*keys)
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame,
+                how: str = "left") -> DataFrame:
+    """Null-safe join of rows with a table of one row per key.
+
+    Rows of a hot key are spread over ``SALTS`` tasks and its lookup row is copied to each.
+    Adaptive skew handling would not do: it does not split a side that shares the shuffle
+    of an aggregate. The list of hot keys is at most ``HOT_KEYS`` rows long, hence the
+    broadcasts.
+    """
+    mark = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
+                                  F.lit(True).alias("_hot")))
+
+    def marked(df: DataFrame) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+        return df.join(mark, same, "left").drop(*[f"_hot_{k}" for k in keys])
+
+    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    # any salt is right, so a task that is run again may draw other ones
+    left = marked(rows).withColumn(
+        "_salt", F.when(is_hot, F.floor(F.rand(7) * SALTS)).otherwise(0).cast("int")).drop("_hot")
+    last = F.when(is_hot, F.lit(SALTS - 1)).otherwise(F.lit(0))
+    names = [c for c in lookup.columns if c not in keys]
+    right = marked(lookup).withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], *names, "_copy")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return (left.join(right, [*same, F.col("_salt") == F.col("_copy")], how)
+            .drop(*[f"_key_{k}" for k in keys], "_salt", "_copy"))
+
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add the columns of ``stats`` (one row per key, or one row) to ``df``.
 
     Without keys the row becomes a scalar subquery: nothing is joined. With keys it is a
-    null-safe equi-join whose strategy (broadcast, or sort-merge with skew splitting) is
-    chosen at run time from the measured size of ``stats``.
+    salted join; the keys are counted first, in a pass that reads nothing else and combines
+    map-side.
     """
     names = [c for c in stats.columns if c not in keys]
     if not keys:
         row = stats.select(F.struct(*names)).scalar()
         return (df.withColumn("_stats", row)
                 .withColumns({n: F.col(f"_stats.{n}") for n in names}).drop("_stats"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_count"))
+    return salted_join(df, stats, keys, hot_keys(counts, keys, "_count"))
+
+
+def attach_per_group(groups: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``attach`` for a table that has one row per key itself: no key can be hot."""
+    if not keys:
+        return attach(groups, stats)
+    names = [c for c in stats.columns if c not in keys]
     right = stats.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *names)
-    condition = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return df.join(right, condition, "left").drop(*[f"_key_{k}" for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return groups.join(right, same, "left").drop(*[f"_key_{k}" for k in keys])

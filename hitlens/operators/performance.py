@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hitlens.operators.grouping import attach
+from hitlens.operators.grouping import attach, attach_per_group
 from hitlens.operators.rules import messages
 
 _GIB = 1024.0 ** 3
@@ -63,7 +63,7 @@ def performance_state(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
         (F.max("_n") / F.avg("_n")).alias("peak_ratio"),
         (F.sum("_bytes") / F.lit(_GIB) if has_bytes else no_bytes).alias("bandwidth_gb"))
     if has_time:
-        return attach(state, slow_request_stats(df, keys=keys), keys)
+        return attach_per_group(state, slow_request_stats(df, keys=keys), keys)
     return state.withColumns({"slow_requests": F.lit(None).cast("long"),
                               "slow_share": F.lit(None).cast("double")})
 

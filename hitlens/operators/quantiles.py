@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from hitlens.operators.grouping import attach
 
 _ACCURACY = 100_000
+_SLICES = 1024
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, *, keys: Sequence[str] = (),
@@ -15,12 +16,14 @@ def exact_quantile(df: DataFrame, column: str, q: float, *, keys: Sequence[str]
 
     The ``percentile`` aggregate keeps every distinct value of a group in one hash map.
     Here a mergeable sketch first brackets the wanted rank; one partially aggregated pass
-    then counts rows below the bracket and per value inside it, and only these few values
-    are ordered. The answer is exact: the bracket is wider than the sketch error.
+    then counts rows below the bracket and per value inside it. The bracket is cut into
+    slices, and only the values of the one or two slices that hold the wanted ranks are
+    ordered. The answer is exact: the bracket is wider than the sketch error.
     """
     keys = list(keys)
     margin = 4.0 / _ACCURACY
-    values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
+    values = df.where(F.col(column).isNotNull()).select(
+        *keys, F.col(column).alias("_v"), F.lit(1).cast("long").alias("_c"))
     bounds = values.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         F.percentile_approx("_v", max(0.0, q - margin), _ACCURACY).alias("_lo0"),
@@ -32,20 +35,35 @@ def exact_quantile(df: DataFrame, column: str, q: float, *, keys: Sequence[str]
         *keys, "_n",
         F.when(few | F.lit(q <= margin), F.col("_min")).otherwise(F.col("_lo0")).alias("_lo"),
         F.when(few | F.lit(q >= 1 - margin), F.col("_max")).otherwise(F.col("_hi0")).alias("_hi"))
+    if keys:  # the bounds are joined, so shrink the rows first
+        values = values.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    width = F.col("_hi") - F.col("_lo")
+    place = F.least(F.lit(_SLICES - 1), F.floor(
+        F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), width), F.lit(0.0)) * _SLICES))
+    inside = F.col("_v") >= F.col("_lo")
     counted = (attach(values, bounds, keys)
                .where(F.col("_v") <= F.col("_hi"))
-               .groupBy(*keys, F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-               .agg(F.count("*").alias("_c"), F.first("_n").alias("_n")))
-    order = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_end", F.sum("_c").over(order))
+               .groupBy(*keys, F.when(inside, place).otherwise(-1).cast("int").alias("_slice"),
+                        F.when(inside, F.col("_v")).alias("_v"))
+               .agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n")))
     position = (F.col("_n") - 1) * F.lit(float(q))
     low, high = F.floor(position), F.ceil(position)
 
-    def holds(rank):
-        return (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
+    def holds(rank, end, size):
+        return (F.col(end) > rank) & (F.col(end) - F.col(size) <= rank)
 
+    slices = counted.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_size"), F.first("_n").alias("_n"))
+    upto = F.sum("_size").over(W.partitionBy(*keys).orderBy("_slice"))  # at most _SLICES + 1 rows
+    wanted = (slices.withColumn("_upto", upto)
+              .where(holds(low, "_upto", "_size") | holds(high, "_upto", "_size"))
+              .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_key_slice"),
+                      (F.col("_upto") - F.col("_size")).alias("_before")))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    ranked = (counted.join(wanted, [*same, F.col("_slice") == F.col("_key_slice")])
+              .withColumn("_end", F.col("_before") + F.sum("_c").over(
+                  W.partitionBy(*keys, "_slice").orderBy("_v"))))
     return (ranked.groupBy(*keys)
-            .agg(F.max(F.when(holds(low), F.col("_v"))).alias("_a"),
-                 F.max(F.when(holds(high), F.col("_v"))).alias("_b"),
+            .agg(F.max(F.when(holds(low, "_end", "_c"), F.col("_v"))).alias("_a"),
+                 F.max(F.when(holds(high, "_end", "_c"), F.col("_v"))).alias("_b"),
                  F.max(position - low).alias("_f"))
             .select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name)))

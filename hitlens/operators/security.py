@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hitlens.functions.fields import ATTACK_LABELS, ATTACK_TOKENS, attack_flag
-from hitlens.operators.grouping import attach
+from hitlens.operators.grouping import attach, attach_per_group
 from hitlens.operators.rules import messages
 
 # Thresholds of the suspicion and threat rules.
@@ -115,7 +115,7 @@ def recommendations_for(df: DataFrame, level: DataFrame, *, keys: Sequence[str]
     """Advice rows, in report order, given the threat level."""
     bots = F.avg("is_bot") if "is_bot" in df.columns else F.lit(0.0)
     shares = df.groupBy(*keys).agg(F.avg("is_error").alias("error_share"), bots.alias("bot_share"))
-    state = attach(shares, level.select(*keys, "total_suspicious"), keys)
+    state = attach_per_group(shares, level.select(*keys, "total_suspicious"), keys)
     return messages(state, "recommendation", [
         (F.col("total_suspicious") > 0,
          F.lit("Consider blocking or rate-limiting suspicious IP addresses")),

@@ -9,15 +9,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hitlens.functions.fields import bucket_start
+from hitlens.functions.fields import day_hour
 
 _STEP = {"hour": "interval 1 hour", "day": "interval 1 day"}
 
 
-def _metric_aggregates(df: DataFrame, metrics: Sequence[str]) -> list[Column]:
-    known = {"requests": F.count("ip"), "rows": F.count("*"), "is_error": F.sum("is_error"),
-             "bytes": F.sum("bytes"), "response_time": F.avg("response_time")}
-    return [known[m].alias(m) for m in metrics if m in ("requests", "rows") or m in df.columns]
+def _aggregate(metric: str) -> Column:
+    if metric == "rows":
+        return F.count("*")
+    if metric == "requests":
+        return F.count("ip")
+    return F.avg(metric) if metric == "response_time" else F.sum(metric)
 
 
 def rollup(df: DataFrame, grain: str = "hour", metrics: Sequence[str] | None = None, *,
@@ -28,8 +30,13 @@ def rollup(df: DataFrame, grain: str = "hour", metrics: Sequence[str] | None = N
     """
     if metrics is None:
         metrics = ["requests", "is_error", "bytes"] + (["response_time"] if grain == "hour" else [])
-    buckets = (df.groupBy(*keys, bucket_start(F.col("datetime"), grain).alias("datetime"))
-               .agg(*_metric_aggregates(df, metrics)))
+    # rows are grouped by plain numbers; bucket times are built from the few groups
+    parts = {"hour": [F.to_date("datetime").alias("_day"), F.hour("datetime").alias("_hour")],
+             "day": [F.to_date("datetime").alias("_day")]}[grain]
+    start = day_hour(F.col("_day"), F.col("_hour") if grain == "hour" else F.lit(0))
+    known = [m for m in metrics if m in ("rows", "requests") or m in df.columns]
+    buckets = (df.groupBy(*keys, *parts).agg(*[_aggregate(m).alias(m) for m in known])
+               .select(*keys, start.alias("datetime"), *known))
     return fill_gaps(buckets, grain, keys=keys) if fill else buckets
 
 

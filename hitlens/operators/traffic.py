@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hitlens.functions.fields import seconds_between
-from hitlens.operators.grouping import attach
+from hitlens.operators.grouping import attach_per_group
 from hitlens.operators.quantiles import exact_quantile
 
 _GIB = 1024.0 ** 3
@@ -78,7 +78,7 @@ def response_time_stats(df: DataFrame, *, keys: Sequence[str] = (), exact: bool
             F.when(any_time, F.percentile_approx("response_time", 0.95)).alias(p95))
     stats = df.groupBy(*keys).agg(*_response_aggregates())
     ranked = exact_quantile(df, "response_time", 0.95, keys=keys, name=p95)
-    return (attach(stats, ranked, keys)
+    return (attach_per_group(stats, ranked, keys)
             .withColumn(p95, F.when(F.col("avg_response_time").isNotNull(), F.col(p95))))
 
 

@@ -19,9 +19,9 @@ _AGENT = {
   when regexp_matches(user_agent, '(?i)version/.*mobile.*safari') then 'Mobile Safari'
   when regexp_matches(user_agent, '(?i)version/.*safari') then 'Safari'
   when regexp_matches(user_agent, '(?i)curl/') then 'curl' else 'Other' end""",
-    "browser_version": "coalesce(" + ", ".join(
-        f"nullif(regexp_extract(user_agent, '(?i){t}/([0-9][0-9.]*)', 1), '')"
-        for t in ("googlebot", "bingbot", "edg", "opr", "firefox", "chrome", "version", "curl")) + ")",
+    "browser_version": "case " + " ".join(
+        f"when regexp_matches(user_agent, '(?i){t}/') then nullif(regexp_extract(user_agent, '(?i){t}/([0-9][0-9.]*)', 1), '')"
+        for t in ("googlebot", "bingbot", "edg", "opr", "firefox", "chrome", "version", "curl")) + " end",
     "os": """case when user_agent is null then 'Unknown'
   when regexp_matches(user_agent, '(?i)windows') then 'Windows'
   when regexp_matches(user_agent, '(?i)iphone|ipad|ipod') then 'iOS'

@@ -156,3 +156,9 @@ def test_pipeline(feats):
     few = cluster.cluster_ips(feats([request(ip=f"{i}") for i in range(3)]))
     assert few.count() == 3 and "cluster" not in few.columns
     assert F is not None
+
+
+def test_components_with_salted_hubs(spark, monkeypatch):
+    from hitlens.operators import components
+    monkeypatch.setattr(components, "_MANY_EDGES", 0)
+    test_components(spark)

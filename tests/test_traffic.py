@@ -68,3 +68,15 @@ def test_exact_quantile_large_and_skewed(spark):
     got = {r.k: r.quantile for r in exact_quantile(df, "v", 0.95, keys=["k"]).collect()}
     for k, part in pdf.groupby("k"):
         assert got[k] == pytest.approx(np.quantile(part.v, 0.95), abs=1e-9)
+
+
+def test_salted_join_keeps_every_row(spark, monkeypatch):
+    from hitlens.operators import grouping
+    monkeypatch.setattr(grouping, "HOT_KEYS", 2)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 7).alias("k"), "id")
+    stats = rows.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    out = grouping.attach(rows, stats, ["k"]).toPandas()
+    assert len(out) == 3000 and out.id.is_unique and out.top.notna().all()
+    for _, part in out.groupby("k", dropna=False):
+        assert (part.n == len(part)).all() and (part.top == part.id.max()).all()
