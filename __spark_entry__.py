@@ -272,6 +272,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda f: forecast.forecast(timeseries.rollup(f, **by_method), **by_method)),
         # streams
         "live_traffic": _streamed(live.live_traffic),
+        "live_ip_profile": _streamed(
+            live.live_ip_profile, ["window_start", "ip", "requests", "is_error_mean"]),
         "live_attacks": _streamed(live.live_attacks, ATTACK_COLUMNS),
         # everything
         "full_report": _full_report,

@@ -10,7 +10,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hitlens.operators.dbscan import NOISE, dbscan
-from hitlens.operators.distances import BLOCK_ROWS, block_pairs, hash_block, strips
+from hitlens.operators.distances import block_pairs, block_rows, hash_block, strips
 from hitlens.operators.grouping import attach
 from hitlens.operators.traffic import ip_profile, profile_columns
 from hitlens.session import checkpoint
@@ -81,7 +81,7 @@ def _silhouette_column(k: int, label: str, sums: list[Column], sizes: list[Colum
 
 
 def euclidean_silhouettes(df: DataFrame, cols: Sequence[str], labels: dict[str, int], *,
-                          id_col: str = "ip", block_rows: int = BLOCK_ROWS) -> dict[str, float]:
+                          id_col: str = "ip", block: int | None = None) -> dict[str, float]:
     """Mean silhouette of several labelings in one pass over the distances.
 
     ``labels`` maps a label column to its number of clusters. The work is quadratic in the
@@ -90,7 +90,8 @@ def euclidean_silhouettes(df: DataFrame, cols: Sequence[str], labels: dict[str,
     """
     clusters = [(label, c) for label, k in labels.items() for c in range(k)]
     names = [f"_s{i}" for i in range(len(clusters))]
-    blocks = F.lit(max(1, -(-df.count() // block_rows))).cast("long")
+    n = df.count()
+    blocks = F.lit(max(1, -(-n // (block or block_rows(n))))).cast("long")
     points = df.select(
         F.col(id_col).alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"),
         F.array(*[F.col(label).cast("int") for label in labels]).alias("_labels"),

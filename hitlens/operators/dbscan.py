@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from hitlens.operators.components import connected_components
-from hitlens.operators.distances import BLOCK_ROWS, block_pairs, hash_block, strips
+from hitlens.operators.distances import block_pairs, block_rows, hash_block, strips
 from hitlens.operators.grouping import hot_keys, salted_join
 from hitlens.session import checkpoint
 
@@ -147,7 +147,7 @@ def _numbered(clusters: DataFrame) -> DataFrame:
 
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: int = 5, *,
            id_col: str = "ip", name: str = "outlier_cluster",
-           block_rows: int = BLOCK_ROWS) -> DataFrame:
+           block: int | None = None) -> DataFrame:
     """Add the cluster label of each row, or -1 for noise.
 
     A point counts itself as a neighbour. Clusters are numbered by their least core row in
@@ -161,14 +161,15 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
                         .groupBy("x").agg(F.min("_id").alias("pid"), F.count("*").alias("weight"))
                         .select("pid", "x", "weight"))
     n = points.count()
+    block = block or block_rows(n)
     thinning = max(1, n // _SAMPLE)  # the sample only decides where space is cut
     sample = (points.where(F.pmod(F.xxhash64("pid"), F.lit(thinning)) == 0).select("x").collect()
-              if n > block_rows else [])
-    tree = (_split_space(np.array([r["x"] for r in sample]), eps, n // block_rows)
+              if n > block else [])
+    tree = (_split_space(np.array([r["x"] for r in sample]), eps, n // block)
             if sample else [(-1, 0.0, 0, -1)])
     placed = _place(points, tree, eps, id_type)
     sizes = placed.groupBy("leaf").agg(
-        F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_blocks"))
+        F.ceil(F.count("*") / F.lit(block)).cast("long").alias("_blocks"))
     # leaves are at most as many as sampled points
     placed = checkpoint(placed.join(F.broadcast(sizes), "leaf")
                         .withColumn("_block", hash_block(F.col("pid"), F.col("_blocks"))))

@@ -8,8 +8,14 @@ the task is a few numbers per point.
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK_ROWS = 2048
-_STRIP = 512
+MIN_BLOCK, MAX_BLOCK = 2048, 16_384
+_STRIP = 256
+
+
+def block_rows(n: int) -> int:
+    """Rows per block: small ones keep few points parallel, large ones keep the copies of
+    many points (one per block they meet) few. Either fits a task easily."""
+    return max(MIN_BLOCK, min(MAX_BLOCK, n // 64))
 
 
 def strips(left: np.ndarray, right: np.ndarray):

@@ -30,9 +30,10 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: Da
         return df.join(mark, same, "left").drop(*[f"_hot_{k}" for k in keys])
 
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    # any salt is right, so a task that is run again may draw other ones
-    left = marked(rows).withColumn(
-        "_salt", F.when(is_hot, F.floor(F.rand(7) * SALTS)).otherwise(0).cast("int")).drop("_hot")
+    # The salt follows the input partition: unlike a random draw it is the same when a lost
+    # task runs again, and it also parts rows that are copies of each other.
+    salt = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    left = marked(rows).withColumn("_salt", F.when(is_hot, salt).otherwise(0)).drop("_hot")
     last = F.when(is_hot, F.lit(SALTS - 1)).otherwise(F.lit(0))
     names = [c for c in lookup.columns if c not in keys]
     right = marked(lookup).withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).select(

@@ -297,6 +297,9 @@ def build() -> dict[str, str]:
         "live_traffic": f"""with {_FEAT} select date_trunc('hour', datetime)::timestamp as window_start,
  (date_trunc('hour', datetime) + interval 1 hour)::timestamp as window_end, count(*)::bigint as requests, sum(is_error)::bigint as errors
  from feat group by 1, 2 having window_end <= (select max(datetime) from feat) - interval 1 hour""",
+        "live_ip_profile": f"""with {_FEAT} select date_trunc('hour', datetime)::timestamp as window_start, ip, count(*)::bigint as requests,
+ round(avg(is_error), 6) as is_error_mean from feat group by 1, 2
+ having window_start + interval 1 hour <= (select max(datetime) from feat) - interval 1 hour""",
         "live_attacks": f"""with {_ATTACK} select event_id, ip, uri, is_sql_injection, is_xss, is_traversal from hits
  where is_sql_injection + is_xss + is_traversal > 0""",
     }

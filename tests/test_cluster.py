@@ -38,25 +38,25 @@ def blobs(seed, sizes, d, spread, far=0.0):
     return np.concatenate(parts)
 
 
-@pytest.mark.parametrize("seed,sizes,d,far,block_rows", [
+@pytest.mark.parametrize("seed,sizes,d,far,block", [
     (0, [60, 60, 20], 2, 4, 2048),     # one leaf, one block
     (1, [200, 150, 50], 2, 6, 40),     # hot leaves cut into blocks, space cut into leaves
     (2, [100, 100, 30], 3, 20, 30),
     (3, [150, 10], 4, 0.5, 25),        # one blob that no cut can divide
 ])
-def test_dbscan_matches_brute_force(spark, seed, sizes, d, far, block_rows):
+def test_dbscan_matches_brute_force(spark, seed, sizes, d, far, block):
     x = blobs(seed, sizes, d, 0.35, far)
     x = np.concatenate([x, np.repeat(x[:3], 4, axis=0)])  # copies
     x = x[np.random.default_rng(seed).permutation(len(x))]
     df, cols = frame(spark, x)
-    out = dbscan(df, cols, block_rows=block_rows).toPandas().sort_values("ip")
+    out = dbscan(df, cols, block=block).toPandas().sort_values("ip")
     assert out.outlier_cluster.tolist() == brute_dbscan(x, 0.5, 5).tolist()
 
 
 def test_dbscan_many_copies_of_one_point(spark):
     x = np.concatenate([np.zeros((300, 2)), np.full((4, 2), 9.0), [[0.4, 0.0], [0.8, 0.0]]])
     df, cols = frame(spark, x)
-    out = dbscan(df, cols, block_rows=10).toPandas().sort_values("ip")
+    out = dbscan(df, cols, block=10).toPandas().sort_values("ip")
     assert out.outlier_cluster.tolist() == brute_dbscan(x, 0.5, 5).tolist()
 
 
@@ -99,8 +99,8 @@ def brute_silhouette(x, labels):
     return float(np.mean(scores))
 
 
-@pytest.mark.parametrize("block_rows", [2048, 20])
-def test_euclidean_silhouette(spark, block_rows):
+@pytest.mark.parametrize("block", [2048, 20])
+def test_euclidean_silhouette(spark, block):
     x = blobs(4, [40, 30, 25, 1], 3, 0.8, 3)
     df, cols = frame(spark, x)
     three = np.arange(len(x)) % 3
@@ -109,7 +109,7 @@ def test_euclidean_silhouette(spark, block_rows):
         [(f"p{i:05}", int(a), int(b)) for i, (a, b) in enumerate(zip(three, two))],
         "ip string, three int, two int")
     got = cluster.euclidean_silhouettes(df.join(marks, "ip"), cols, {"three": 3, "two": 2},
-                                        block_rows=block_rows)
+                                        block=block)
     assert got["three"] == pytest.approx(brute_silhouette(x, three))
     assert got["two"] == pytest.approx(brute_silhouette(x, two))
 
