@@ -1,6 +1,6 @@
 """Typed reads of raw log fields, as Catalyst expressions only."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ISO = "iso"
 DEFAULT_FORMATS = (
@@ -13,17 +13,18 @@ DEFAULT_FORMATS = (
 
 
 def to_number(col: Column) -> Column:
-    """Double, or null where the text is not a plain number.
+    """Text as double, or null where the text is not a plain number.
 
     Java reads ``1d``, ``0x1p3`` and ``NaN`` as doubles; a log reader should not, so any
     letter but the exponent makes the field null.
     """
-    text = col.cast("string")
-    return F.when(~text.rlike("[A-DF-Za-df-z]"), text.try_cast("double"))
+    return F.when(~col.rlike("[A-DF-Za-df-z]"), col.try_cast("double"))
 
 
-def number_or_zero(col: Column) -> Column:
-    return F.coalesce(to_number(col), F.lit(0.0))
+def numeric(df: DataFrame, name: str) -> Column:
+    """A column as double; text is read, numbers are taken as they are."""
+    col = F.col(name)
+    return to_number(col) if df.schema[name].dataType == T.StringType() else col.cast("double")
 
 
 def utc_naive(instant: Column) -> Column:

@@ -20,7 +20,7 @@ def temporal_features(df: DataFrame) -> DataFrame:
 
 def status_features(df: DataFrame) -> DataFrame:
     status = F.col("status")
-    return df.withColumn("status", fields.to_number(status)).withColumns({
+    return df.withColumn("status", fields.numeric(df, "status")).withColumns({
         "is_error": fields.flag(status >= 400),
         "is_server_error": fields.flag(status >= 500),
         "is_client_error": fields.flag((status >= 400) & (status < 500)),
@@ -31,7 +31,8 @@ def status_features(df: DataFrame) -> DataFrame:
 def size_features(df: DataFrame) -> DataFrame:
     for name in ("bytes", "response_time"):
         if name in df.columns:
-            df = (df.withColumn(name, fields.number_or_zero(F.col(name)))
+            value = F.coalesce(fields.numeric(df, name), F.lit(0.0))
+            df = (df.withColumn(name, value)
                   .withColumn(f"{name}_log", F.log1p(name)))
     return df
 

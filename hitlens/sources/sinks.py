@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from hitlens.functions.fields import numeric
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """JSON has no NaN: replace it, at top level, by null."""
@@ -23,8 +25,9 @@ def write_report(report: dict[str, DataFrame], path: str, mode: str = "overwrite
 def write_logs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Standardised logs as Parquet by day, so that later scans prune days and columns.
 
-    The rebalance gathers a day into few files and splits a busy day over several tasks.
+    Status, bytes and response time become numbers, null where unreadable. The rebalance gathers a day into few files and splits a busy day over several tasks.
     """
-    (df.withColumn("date", F.to_date("datetime"))
+    numbers = {n: numeric(df, n) for n in ("status", "bytes", "response_time") if n in df.columns}
+    (df.withColumns({**numbers, "date": F.to_date("datetime")})
      .hint("rebalance", "date")
      .write.mode(mode).partitionBy("date").parquet(path))

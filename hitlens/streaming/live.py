@@ -4,9 +4,19 @@ Times are cast to zoned timestamps, which watermarks require. In append mode a w
 appears once the watermark has passed it.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitlens.operators.security import attack_hits
+from hitlens.sources.logs import parse_lines
+
+
+def live_logs(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
+    """Log lines of files as they arrive in a folder, in the canonical table; unreadable lines
+    are left out."""
+    lines = spark.readStream.text(path).where(F.trim("value") != "")
+    parsed = parse_lines(lines, layout)
+    return (parsed.where(F.col("layout").isNotNull() & F.col("datetime").isNotNull())
+            .drop("layout", "raw_line", "source_file"))
 
 
 def _windowed(df: DataFrame, length: str, late: str):

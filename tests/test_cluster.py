@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import request
 from hitlens.operators import cluster
@@ -155,7 +154,6 @@ def test_pipeline(feats):
     assert len(cluster.cluster_summary(out).columns) == 9
     few = cluster.cluster_ips(feats([request(ip=f"{i}") for i in range(3)]))
     assert few.count() == 3 and "cluster" not in few.columns
-    assert F is not None
 
 
 def test_components_with_salted_hubs(spark, monkeypatch):

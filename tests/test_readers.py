@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from hitlens.operators.features import extract_features
 from hitlens.schema import CANONICAL
 from hitlens.sources.logs import parse_lines, read_logs, standardize, with_datetime
 from hitlens.sources.sinks import write_logs, write_report
@@ -133,4 +134,8 @@ def test_sinks(spark, tmp_path):
     logs = parse_lines(spark.createDataFrame([(TSV11,), (COMMON,)], "value string"))
     write_logs(logs, str(tmp_path / "logs"))
     assert {p.name for p in (tmp_path / "logs").glob("date=*")} == {"date=2024-01-01", "date=2000-10-10"}
-    assert spark.read.parquet(str(tmp_path / "logs")).count() == 2
+    stored = spark.read.parquet(str(tmp_path / "logs"))
+    assert stored.schema["status"].dataType.simpleString() == "double" and stored.count() == 2
+    text, typed = (sorted(map(repr, extract_features(x).select(
+        "ip", "status", "is_error", "bytes", "response_time").collect())) for x in (logs, stored))
+    assert text == typed

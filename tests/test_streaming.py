@@ -26,3 +26,15 @@ def test_profiles(spark, log, tmp_path):
 
 def test_attacks(spark, log, tmp_path):
     assert run(spark, log, tmp_path, live.live_attacks, "attacks").count() == 30
+
+
+def test_lines_to_windows(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("\n".join(
+        f'1.1.1.1 - - [10/Oct/2000:{h:02d}:00:00 +0000] "GET /{h} HTTP/1.1" 200 5' for h in range(5)) + "\njunk\n")
+    stream = extract_features(live.live_logs(spark, str(folder)))
+    query = (live.live_traffic(stream).writeStream.format("memory").queryName("lines").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert [r.requests for r in spark.table("lines").collect()] == [1, 1, 1]
