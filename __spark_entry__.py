@@ -165,13 +165,13 @@ ATTACK_COLUMNS = ["event_id", "ip", "uri", "is_sql_injection", "is_xss", "is_tra
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
     by_method = {"keys": ["method"]}
-    good = F.col("layout").isNotNull() & F.col("datetime").isNotNull()
+    good = "layout is not null and datetime is not null"
     return {
         # sources
         "parsed_lines": lambda s, d: _tidy(_parsed(s, d).where(good).select(
             "datetime", "ip", "method", "uri", "status", "bytes", "response_time", "referer",
             "user_agent", "protocol", "cookie", "layout")),
-        "quarantined_lines": lambda s, d: _tidy(_parsed(s, d).where(~good).select("raw_line")),
+        "quarantined_lines": lambda s, d: _tidy(_parsed(s, d).where(f"not ({good})").select("raw_line")),
         "standardized_log": lambda s, d: _tidy(_standardized(s, d).select(
             "event_id", "datetime", "ip", "method", "uri", "status", "bytes", "response_time",
             "referer", "user_agent")),

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import __spark_entry__ as entry
 import check_oracle
 
@@ -10,6 +14,11 @@ def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_registry_needs_no_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 50"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
