@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hitlens.operators.components import connected_components
 from hitlens.operators.distances import block_pairs, block_rows, hash_block, strips
@@ -134,15 +134,10 @@ def _numbered(clusters: DataFrame) -> DataFrame:
                          .withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
-    before = {r["_part"]: r["_size"] for r in sizes.collect()}
-    offset, offsets = 0, []
-    for p in sorted(before):
-        offsets += [F.lit(int(p)).cast("long"), F.lit(offset).cast("long")]
-        offset += before[p]
-    if not offsets:
-        return ordered.select("component", F.lit(0).cast("long").alias("label"))
-    return ordered.select(
-        "component", (F.create_map(*offsets)[part] + place).alias("label"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    return (ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .select("component", (F.col("_before") + place).alias("label")))
 
 
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: int = 5, *,
@@ -192,7 +187,10 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     member = connected_components(edges.where("core").select("a", "b").union(lone))
     member = checkpoint(member)
     labels = _numbered(member.select("component").distinct())
-    core_label = member.join(labels, "component").select(F.col("node").alias("pid"), "label")
+    # one cluster may hold most of the points
+    sizes = member.groupBy("component").agg(F.count("*").alias("_size"))
+    core_label = (salted_join(member, labels, ["component"], hot_keys(sizes, ["component"], "_size"))
+                  .select(F.col("node").alias("pid"), "label"))
     border = (edges.where(~F.col("core"))
               .join(core_label.withColumnRenamed("pid", "b"), "b")
               .groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("label")))

@@ -97,7 +97,7 @@ def _forest(df: DataFrame, cols: list[str], keys: list[str], trees: int, sample:
                            ([column] for column in grown)))
         return pd.DataFrame(values)
 
-    schema = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(_TREE).fields)
+    schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(_TREE).fields)
     return (drawn.select(*keys, *[c for c in cols if c not in keys], "tree", "_draw")
             .groupBy(*keys, "tree").applyInPandas(grow, schema))
 
@@ -117,11 +117,11 @@ def isolation_forest_anomalies(df: DataFrame, cols: Sequence[str] = ("requests",
     rows = checkpoint(df)
     forest = _forest(rows, cols, keys, trees, sample, seed)
     scored_schema = T.StructType(rows.schema.fields + [T.StructField("isolation_score", T.DoubleType())])
-    names = ("tree", "rows", "feature", "threshold", "below", "above", "path")
+    names = ["tree", "rows", "feature", "threshold", "below", "above", "path"]
     if keys:
         def score_group(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-            return pdf.assign(isolation_score=_score(
-                pdf[cols].to_numpy(float), list(model.sort_values("tree")[list(names)].itertuples(index=False, name=None))))
+            forest = model.sort_values("tree")[names].itertuples(index=False, name=None)
+            return pdf.assign(isolation_score=_score(pdf[cols].to_numpy(float), list(forest)))
 
         # a series has one row per bucket of time, a forest a fixed number of nodes
         scored = (rows.groupBy(*keys).cogroup(forest.groupBy(*keys))

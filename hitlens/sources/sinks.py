@@ -25,7 +25,8 @@ def write_report(report: dict[str, DataFrame], path: str, mode: str = "overwrite
 def write_logs(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Standardised logs as Parquet by day, so that later scans prune days and columns.
 
-    Status, bytes and response time become numbers, null where unreadable. The rebalance gathers a day into few files and splits a busy day over several tasks.
+    Status, bytes and response time become numbers, null where unreadable. The rebalance
+    gathers a day into few files and splits a busy day over several tasks.
     """
     numbers = {n: numeric(df, n) for n in ("status", "bytes", "response_time") if n in df.columns}
     (df.withColumns({**numbers, "date": F.to_date("datetime")})

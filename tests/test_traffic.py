@@ -49,8 +49,8 @@ def test_profile_of_a_single_request(feats):
     assert "bytes_mean" not in traffic.ip_profile(slim).columns
 
 
-@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 0.99, 1.0])
-@pytest.mark.parametrize("n", [1, 2, 21, 1000])
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.95])
+@pytest.mark.parametrize("n", [2, 21, 1000])
 def test_exact_quantile_small(spark, n, q):
     values = np.random.default_rng(n).integers(0, 50, n).astype(float)
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
