@@ -21,6 +21,14 @@ from hitlens.streaming import live  # noqa: E402
 from oracle.sql import build  # noqa: E402
 from oracle.weblog import LINES, WEBLOG  # noqa: E402
 
+try:  # the driver may delete these two
+    import corpus_pipeline
+    from hitlens.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "hitlens.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 STATISTICAL = ("zscore", "moving_average")
 TWO_FEATURES = ("is_mobile_mean", "is_bot_mean")
@@ -166,6 +174,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each callable takes (spark, sf_dir)."""
     by_method = {"keys": ["method"]}
     good = "layout is not null and datetime is not null"
+    llm = {}
+    if llm_queries is not None:
+        llm = llm_queries.queries() | {"pipeline": corpus_pipeline.run}
     return {
         # sources
         "parsed_lines": lambda s, d: _tidy(_parsed(s, d).where(good).select(
@@ -277,9 +288,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "live_attacks": _streamed(live.live_attacks, ATTACK_COLUMNS),
         # everything
         "full_report": _full_report,
-    }
+    } | llm
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for every query that SQL can express."""
-    return build()
+    llm = llm_queries.oracle_sql() if llm_queries is not None else {}
+    if llm_queries is not None and corpus_pipeline.ORACLE_SQL is not None:
+        llm = llm | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return build() | llm
