@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitlens.llm import bpe
+from hitlens.llm import bpe, chat, sharding, syncmers
+from hitlens.session import shared_folder
+
+SHARDS = 16
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def _sharding(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    written = sharding.shuffle_shards(_documents(spark, sf), SHARDS, path)
+    return sharding.shard_digest(written, SHARDS)
+
+
+def _chat(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"))
+    given = spark.read.parquet(f"{sf}/conversations.parquet").select(*own.columns)
+    return chat.read_back(chat.format_conversations(given.unionByName(own)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": _sharding,
+        "op3_syncmers": lambda s, d: syncmers.fingerprints(_documents(s, d)),
+        "op10_chat": _chat,
         "op8_byte_bpe": lambda s, d: bpe.encode_and_digest(_documents(s, d)),
     }
 
