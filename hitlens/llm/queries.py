@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitlens.llm import bpe, chat, sharding, syncmers
+from hitlens.llm import bpe, chat, pii, sharding, syncmers, toxicity
 from hitlens.session import shared_folder
 
 SHARDS = 16
@@ -33,10 +33,26 @@ def _chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(given.unionByName(own)))
 
 
+def _toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _documents(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon = toxicity.fit(toxicity.training_rows(documents, labels))
+    return toxicity.score(documents, lexicon).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+        "hits")
+
+
+def _pii(spark: SparkSession, sf: str) -> DataFrame:
+    documents = _documents(spark, sf)
+    return pii.span_digests(pii.detect(documents, pii.fit(documents)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": _sharding,
         "op3_syncmers": lambda s, d: syncmers.fingerprints(_documents(s, d)),
+        "op4_pii": _pii,
+        "op5_toxicity": _toxicity,
         "op10_chat": _chat,
         "op8_byte_bpe": lambda s, d: bpe.encode_and_digest(_documents(s, d)),
     }
