@@ -313,9 +313,10 @@ def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.array_join(F.transform(
             array, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-              for k in BASE]
-    return found.select(id_col, *counts, F.sha2(listed(base), 256).alias("base_sha256"),
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(id_col, *map(number, BASE), F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(spans).alias("spans"))
 
 
