@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hitlens.llm import bpe, chat, pii, sharding, syncmers, toxicity
+from hitlens.llm import (
+    bpe, chat, decontaminate, licenses, pii, sharding, syncmers, toxicity)
 from hitlens.session import shared_folder
 
 SHARDS = 16
@@ -49,14 +50,19 @@ def _pii(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": lambda s, d: licenses.license_matches(_documents(s, d)),
         "op2_sharding": _sharding,
         "op3_syncmers": lambda s, d: syncmers.fingerprints(_documents(s, d)),
         "op4_pii": _pii,
         "op5_toxicity": _toxicity,
         "op10_chat": _chat,
+        "op7_decontamination": lambda s, d: decontaminate.contaminated(
+            _documents(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op8_byte_bpe": lambda s, d: bpe.encode_and_digest(_documents(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_licenses": licenses.oracle(),
+    }
