@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BUCKET_BYTES = 32 << 20
 SEED = 42
+# One row for each of so many buckets is small enough to broadcast; beyond, the join shuffles.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def shard_of(id_col: Column, shards: int, seed: int = SEED) -> Column:
@@ -73,6 +75,8 @@ def shuffle_shards(df: DataFrame, shards: int, path: str, *, id_col: str = "doc_
     offsets = written.groupBy("shard", "bucket").agg(F.count("*").alias("rows")).select(
         F.col("bucket").alias("_bucket"), F.coalesce(F.sum("rows").over(before), F.lit(0))
         .alias("_before"))
+    if shards * per_shard <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     return written.join(offsets, F.col("bucket") == F.col("_bucket")).select(
         "record", "bucket", "position", (F.col("_before") + F.col("position")).alias("slot"),
         "shard")
