@@ -131,9 +131,12 @@ def license_matches(df: DataFrame, templates: Mapping[str, str] | None = None, *
     met = F.concat(*[_tagged(F.array_intersect(b, _literal(keys[n])), n)
                      for n, b in enumerate(bands)])
     held = F.array_intersect("_sh", _literal(set().union(*shingles.values())))
-    parts = parts.select("_id", "_sh", met.alias("_met")).where(F.size("_met") > 0)
-    parts = parts.select("_id", "_met", held.alias("_held"), F.transform(
-        held, lambda x: F.array_position("_sh", x)).alias("_places"))
+    # the row number also keeps the optimizer from moving filters below the arrays, where it
+    # would compute them anew for every element
+    parts = parts.select("_id", "_sh", met.alias("_met"), held.alias("_held"),
+                         F.monotonically_increasing_id().alias("_row"))
+    parts = parts.where(F.size("_met") > 0).select("_id", "_row", "_met", "_held", F.transform(
+        "_held", lambda x: F.array_position("_sh", x)).alias("_places"))
     if index:
         lookup = spark.range(1).select(F.inline(F.array(*[
             F.struct(F.lit(n).alias("band"), F.lit(key).cast("bigint").alias("key"),
@@ -142,7 +145,7 @@ def license_matches(df: DataFrame, templates: Mapping[str, str] | None = None, *
         lookup = spark.range(0).selectExpr("0 as band", "id as key", "'' as template")
     found = (parts.select("*", F.inline("_met")).drop("_met")
              .join(F.broadcast(lookup), ["band", "key"])
-             .groupBy("_id", "_held", "_places", "template").agg(F.count("*").alias("_n")))
+             .groupBy("_id", "_row", "_held", "_places", "template").agg(F.count("*").alias("_n")))
     own = F.lit(None).cast("array<bigint>")
     for name, values in shingles.items():
         own = F.when(F.col("template") == name, _literal(values)).otherwise(own)
@@ -166,17 +169,22 @@ def oracle(table: str = "documents", threshold: float = CONTAINMENT) -> str:
     names = ", ".join("('{}', '{}')".format(n, t.replace("'", "''"))
                       for n, t in sorted(TEMPLATES.items()))
 
-    def listed(text):
-        words = (f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-                 ", ' ')")
-        return (f"list_transform(range(1, len({words}) - {K - 2}), "
-                f"i -> array_to_string(list_slice({words}, i, i + {K - 1}), ' '))")
+    def shingled(key, text, source):
+        words = (f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', "
+                 "'g')), ' ')")
+        run = " || ' ' || ".join(["w", *[f"lead(w, {j}) over o" for j in range(1, K)]])
+        return f"""
+  select {key} k, sh, min(p) p from (
+    select {key}, p, {run} sh from (
+      select {key}, unnest(ws) w, generate_subscripts(ws, 1) p from (
+        select {key}, {words} ws from {source}))
+    window o as (partition by {key} order by p)) where sh is not null group by all"""
+
     return f"""
-with t as (select template, {listed('body')} sh from (values {names}) v(template, body)),
-u as (select template, list_distinct(sh) sh from t),
-d as (select doc_id, {listed("coalesce(text, '')")} sh from {table}),
-m as (select doc_id, template, u.sh own, d.sh sh,
-        len(list_intersect(u.sh, d.sh)) n from d, u where list_has_any(d.sh, u.sh))
-select doc_id, template, n / len(own)::double containment, n::bigint shingles,
-  list_min(list_transform(list_intersect(own, sh), x -> list_position(sh, x)))::bigint - 1 first_word
-from m where n / len(own)::double >= {threshold}"""
+with t as ({shingled('template', 'body', f'(values {names}) v(template, body)')}),
+d as ({shingled('doc_id', "coalesce(text, '')", table)}),
+m as (select d.k doc_id, t.k as template, count(*)::bigint shingles, min(d.p)::bigint - 1 first_word
+      from d join t using (sh) group by all)
+select doc_id, template, shingles / n::double containment, shingles, first_word
+from m join (select k as template, count(*) n from t group by k) using (template)
+where shingles / n::double >= {threshold}"""
