@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitlens.llm import (
-    bpe, chat, decontaminate, licenses, pii, sharding, syncmers, toxicity)
+    bpe, chat, decontaminate, licenses, pii, sharding, syncmers, token_counts, toxicity)
 from hitlens.session import shared_folder
 
 SHARDS = 16
@@ -48,6 +48,12 @@ def _pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.span_digests(pii.detect(documents, pii.fit(documents)))
 
 
+def _token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    ledger = token_counts.Ledger(spark, f"{path}/ledger")
+    return token_counts.replay(_documents(spark, sf), ledger, f"{path}/documents")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": lambda s, d: licenses.license_matches(_documents(s, d)),
@@ -58,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat": _chat,
         "op7_decontamination": lambda s, d: decontaminate.contaminated(
             _documents(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
+        "op9_token_counts": _token_counts,
         "op8_byte_bpe": lambda s, d: bpe.encode_and_digest(_documents(s, d)),
     }
 
@@ -65,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_licenses": licenses.oracle(),
+        "op9_token_counts": token_counts.ORACLE,
     }
