@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitlens.llm import (
-    bpe, chat, decontaminate, licenses, pii, sharding, syncmers, token_counts, toxicity)
+    bpe, chat, decontaminate, licenses, ngram_join, pii, sharding, syncmers, token_counts, toxicity)
 from hitlens.session import shared_folder
 
 SHARDS = 16
@@ -62,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": _pii,
         "op5_toxicity": _toxicity,
         "op10_chat": _chat,
+        "op6_ngram_join": lambda s, d: ngram_join.similarity_components(_documents(s, d)),
         "op7_decontamination": lambda s, d: decontaminate.contaminated(
             _documents(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op9_token_counts": _token_counts,
