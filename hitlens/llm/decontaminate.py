@@ -233,6 +233,20 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return df.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def held_items(df: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """Distinct ids of the documents that hold an item."""
-    return contaminated(df, benchmark, **names).select(names.get("id_col", "doc_id")).distinct()
+def clean_rows(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
+               item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows whose text holds no item, with all their columns."""
+    def keep(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in pieces(batch, text_col, 2 << 20):
+                    found = index.find([(t or "").encode()
+                                        for t in piece.column(text_col).to_pylist()])
+                    good = np.ones(piece.num_rows, bool)
+                    good[[f[0] for f in found]] = False
+                    yield piece.filter(pa.array(good))
+        return run
+
+    for index in _blocks(benchmark, item_col, item_text_col):
+        df = df.mapInArrow(keep(index), df.schema)
+    return df

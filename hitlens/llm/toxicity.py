@@ -263,15 +263,31 @@ def score(df: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id",
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def clean_rows(df: DataFrame, lexicon: Lexicon, *, text_col: str = "text") -> DataFrame:
+    """The rows whose score is below 0.5, with all their columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text_col):
+                values = [lexicon.value(t) for t in piece.column(text_col).to_pylist()]
+                yield piece.filter(pa.array(lexicon.score(values) < 0.5))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: Column) -> Column:
     """Whether a document is held out from learning: crc32 of the id as text is divisible by 5."""
-    return F.coalesce(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0,
-                      F.lit(False))
+    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+# So many labels (an id and a flag each) are small enough to broadcast; beyond, the join shuffles.
+BROADCAST_LABELS = 2_000_000
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts and labels of the documents that are not held out."""
-    own = labels.select(F.col("doc_id").alias("_label_id"), F.col("toxic").cast("int"))
+    own = labels.select(F.col("doc_id").alias("_label_id"), F.col("toxic").cast("int")).where(
+        F.col("_label_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("_label_id")))
+    if own.count() <= BROADCAST_LABELS:
+        own = F.broadcast(own)
     return documents.select("doc_id", "text").join(
-        own, F.col("doc_id") == F.col("_label_id")).where(~held_out(F.col("doc_id"))).select(
-        "text", "toxic")
+        own, F.col("doc_id") == F.col("_label_id")).select("text", "toxic")
