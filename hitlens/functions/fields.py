@@ -34,13 +34,23 @@ def utc_naive(instant: Column) -> Column:
         F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
+_OFFSET = r"\s*([+-]\d{2}):?(\d{2})$"
+
+
+def _iso(text: Column) -> Column:
+    """ISO time; one with an offset or ``Z`` is an instant and becomes UTC."""
+    zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}\S*\s*(Z|[+-]\d{2}:?\d{2})$")
+    instant = utc_naive(F.regexp_replace(text, _OFFSET, "$1:$2").try_cast("timestamp"))
+    return F.when(zoned, instant).when(text.rlike(r"^\d{4}-\d{2}-\d{2}"),
+                                       text.try_cast("timestamp_ntz"))
+
+
 def parse_datetime(text: Column, formats=DEFAULT_FORMATS) -> Column:
     """First format that reads ``text``; null when none does."""
     attempts = []
     for fmt in formats:
         if fmt == ISO:
-            attempts.append(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"),
-                                   text.try_cast("timestamp_ntz")))
+            attempts.append(_iso(text))
         elif fmt.endswith("Z"):
             attempts.append(utc_naive(F.try_to_timestamp(text, F.lit(fmt))))
         else:  # an explicit zone keeps the session's daylight-saving rules out of it

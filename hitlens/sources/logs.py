@@ -1,8 +1,10 @@
 """Access-log reader: every line is recognised by its own shape, in one narrow pass."""
 
+import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hitlens.functions.fields import DEFAULT_FORMATS, parse_datetime
@@ -102,45 +104,69 @@ def _any_case_glob(extension: str) -> str:
     return "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in extension)
 
 
-def _read_csv(spark: SparkSession, path, formats) -> DataFrame | None:
-    """Comma files with a header of canonical (or raw) names; None when there are none.
-
-    Every field is text. The header of each file is checked against the first one, a short
-    row is padded with nulls, and a long row keeps only its raw line.
-    """
-    reader = spark.read.option("pathGlobFilter", _any_case_glob("csv")).option("header", True)
-    try:
-        header = reader.csv(path).columns
-    except AnalysisException as error:
-        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-            return None
-        raise
-    if not header:
-        return None
-    unread = "_unread"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, unread]])
-    rows = (reader.schema(schema).option("enforceSchema", False)
+def _csv_headers(spark: SparkSession, path) -> dict[str, list[str]]:
+    """Header line -> the comma files that begin with it (the driver lists files anyway)."""
+    lines = (spark.read.option("pathGlobFilter", _any_case_glob("csv")).text(path)
+             .where((F.trim("value") != "") & (F.col("_metadata.file_block_start") == 0))
+             .select(F.col("_metadata.file_path").alias("file"), "value",
+                     F.monotonically_increasing_id().alias("at")))
+    found: dict[str, list[str]] = {}
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    for row in first.orderBy("header", "file").collect():
+        # metadata holds URLs, readers take globs
+        plain = re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(row["file"]))
+        found.setdefault(row["header"], []).append(plain)
+    return found
+
+
+def _read_csv_files(spark: SparkSession, header: str, files: list[str], formats) -> DataFrame:
+    """Comma files of one header. Every field is text; a short row is padded with nulls, a long
+    one keeps only its raw line. Under a header that names fewer than two known fields no row
+    can be used."""
+    names = [n.strip() for n in next(csv.reader([header.lstrip("\ufeff")]))]
+    missing = F.lit(None).cast("string")
+    known = {*CANONICAL.fieldNames(), "date", "time", "timestamp"}
+    fields = {RENAMES.get(n, n).lower(): i for i, n in reversed(list(enumerate(names)))}
+    if len(known & fields.keys()) < 2:
+        lines = spark.read.text(files).where(F.trim("value") != "")
+        return lines.select(
+            F.lit(None).cast("timestamp_ntz").alias("datetime"),
+            *[missing.alias(n) for n in CANONICAL.fieldNames()[1:]], missing.alias("layout"),
+            F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw_line"))
+    unread, columns = "_unread", [f"_c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, unread]])
+    rows = (spark.read.option("header", True).schema(schema)
             .option("columnNameOfCorruptRecord", unread)
             # a row's length is judged by all its fields, whichever a query reads
             .option("columnPruning", False)
-            .option("nullValue", "\u0000").csv(path))
+            .option("nullValue", "\u0000").csv(files))
     # Only the raw line of an irregular row is kept; its last named field tells long from short.
-    too_long = F.col(unread).isNotNull() & F.col(f"`{header[-1]}`").isNotNull()
+    too_long = F.col(unread).isNotNull() & F.col(columns[-1]).isNotNull()
     rows = rows.withColumn("layout", F.when(~too_long, F.lit("csv")))
-    named = {RENAMES.get(c, c).lower(): F.nullif(F.col(f"`{c}`"), F.lit("")) for c in header}
+    named = {name: F.nullif(F.col(columns[i]), F.lit("")) for name, i in fields.items()}
     if {"date", "time"} <= named.keys():
         when = F.concat(named["date"], F.lit(" "), named["time"])
     else:
-        when = named.get("timestamp", named.get("datetime", F.col(f"`{header[0]}`")))
-    missing = F.lit(None).cast("string")
+        when = named.get("timestamp", named.get("datetime", F.col(columns[0])))
     kept = F.col("layout").isNotNull()
+    labels = [F.col(c).alias(n if names.count(n) == 1 else f"{n}_{i}")
+              for i, (c, n) in enumerate(zip(columns, names))]
     return rows.select(
         F.when(kept, parse_datetime(when, formats)).alias("datetime"),
         *[F.when(kept, named.get(name, missing)).alias(name)
           for name in CANONICAL.fieldNames()[1:]],
         "layout", F.col("_metadata.file_path").alias("source_file"),
-        F.coalesce(F.col(unread), F.to_json(F.struct(*[F.col(f"`{c}`") for c in header])))
-        .alias("raw_line"))
+        F.coalesce(F.col(unread), F.to_json(F.struct(*labels))).alias("raw_line"))
+
+
+def _read_csv(spark: SparkSession, path, formats) -> DataFrame | None:
+    """Comma files with headers of canonical (or raw) names, each group of files with its own;
+    None when there are none."""
+    out = None
+    for header, files in _csv_headers(spark, path).items():
+        rows = _read_csv_files(spark, header, files, formats)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def read_logs(spark: SparkSession, path, layout: str = "auto", *,

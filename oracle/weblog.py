@@ -46,7 +46,7 @@ from weblog
 LINES = f"""
 select p.*, case kind
  when 'tsv11' then concat(date, '{{t}}', time, '{{t}}', ip, '{{t}}', method, '{{t}}', coalesce(uri, ''), '{{t}}', status, '{{t}}', bytes, '{{t}}', response_time, '{{t}}', referer, '{{t}}', coalesce(user_agent, ''), '{{t}}', 'sid=', cast(event_id as string))
- when 'tsv9' then concat(date, ' ', time, '{{t}}', ip, '{{t}}', method, '{{t}}', coalesce(uri, ''), '{{t}}', status, '{{t}}', bytes, '{{t}}', response_time)
+ when 'tsv9' then concat(date, ' ', time, case event_id % 3 when 0 then '+02:00' when 1 then 'Z' else '' end, '{{t}}', ip, '{{t}}', method, '{{t}}', coalesce(uri, ''), '{{t}}', status, '{{t}}', bytes, '{{t}}', response_time)
  when 'clf' then concat(ip, ' - - [', substr(date, 9, 2), '/', mon, '/', substr(date, 1, 4), ':', time, ' +0000] "', method, ' ', u, ' HTTP/1.1" ', status, ' ', bytes, ' "', referer, '" "', a, '"')
  when 'space11' then concat(ip, ' - - ', date, 'T', time, ' ', method, ' ', u, ' HTTP/1.1 ', status, ' ', bytes, ' "', referer, '" "', a, '"')
  when 'junk' then concat('### rotated ', cast(event_id as string))

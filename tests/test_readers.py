@@ -94,11 +94,24 @@ def test_read_folder_of_mixed_files(spark, tmp_path):
     assert csv.count() == 2 and csv.select("ip").count() == 2 and len(csv.collect()) == 2
 
 
-def test_csv_files_must_share_a_header(spark, tmp_path):
+def test_csv_files_with_different_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("timestamp,ip,status\n2024-01-01 00:00:04,8.8.8.8,200\n")
-    (tmp_path / "b.csv").write_text("ip,timestamp,status\n8.8.8.8,2024-01-01 00:00:04,200\n")
-    with pytest.raises(Exception, match="b.csv|a.csv"):
-        read_logs(spark, str(tmp_path), "csv").collect()
+    (tmp_path / "b [1].csv").write_text("ip,timestamp,status,uri\n8.8.4.4,2024-01-01 00:00:05,404,/x\n")
+    (tmp_path / "c.csv").write_text("ip,status,date,time,ip\n1.1.1.1,200,2024-01-01,00:00:06,9.9.9.9\n")
+    (tmp_path / "odd.csv").write_text("some,other,table\n1,2,3\n")
+    good, bad = read_logs(spark, str(tmp_path), "csv", quarantine=True)
+    assert sorted((r.ip, r.status, r.uri, r.datetime.second) for r in good.collect()) == [
+        ("1.1.1.1", "200", None, 6), ("8.8.4.4", "404", "/x", 5), ("8.8.8.8", "200", None, 4)]
+    assert sorted(r.raw_line for r in bad.collect()) == ["1,2,3", "some,other,table"]
+
+
+def test_offsets_are_instants(spark):
+    texts = ["2024-01-01T10:00:00+02:00", "2024-01-01T08:00:00Z", "2024-01-01 10:00:00 +0200",
+             "2024-01-01T08:00:00", "2024-01-01 03:00:00.000-0500"]
+    lines = ["\t".join([t, "1.1.1.1", "GET", "/", "200", "1", "1"]) for t in texts]
+    lines.append('1.1.1.1 - - [01/Jan/2024:10:00:00 +0200] "GET / HTTP/1.1" 200 1')
+    lines.append(f'1.1.1.1 - - {texts[0]} GET / HTTP/1.1 200 5 "r" "a"')
+    assert {r.datetime for r in parse(spark, *lines).values()} == {datetime(2024, 1, 1, 8)}
 
 
 def test_times_do_not_depend_on_the_session_zone(spark):
