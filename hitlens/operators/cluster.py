@@ -18,9 +18,11 @@ from hitlens.session import checkpoint
 # Search range of k, starts per fit, least number of clients to cluster.
 MAX_K, N_INIT, SEED, MIN_CLIENTS = 8, 10, 42, 4
 SUMMARY_COLUMNS = 8
-# Above this many points the mean-distance silhouette, quadratic by nature, gives way to
-# the linear squared-distance one.
-EUCLIDEAN_LIMIT = 20_000
+# Distance of the silhouette at every size: squared Euclidean is linear in the points. The mean
+# distance ("euclidean") is quadratic and has to be asked for.
+SQUARED, EUCLIDEAN = "squaredEuclidean", "euclidean"
+# Points of one partition of a fit.
+FIT_ROWS = 100_000
 _SCALED = "z_"
 
 
@@ -40,6 +42,14 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df)
 
 
+def _fixed_vectors(df: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
+    """Id and features in partitions and an order that depend on the ids alone, so that seeded
+    starts draw the same points however the input is laid out."""
+    parts = max(1, -(-df.count() // FIT_ROWS))
+    return (_vectors(df, cols).select(id_col, "_features").repartition(parts, id_col)
+            .sortWithinPartitions(id_col))
+
+
 def _fit_kmeans(vectors: DataFrame, k: int, starts: int, seed: int):
     """Best of several starts by within-cluster cost."""
     best, cost = None, None
@@ -51,10 +61,10 @@ def _fit_kmeans(vectors: DataFrame, k: int, starts: int, seed: int):
     return best
 
 
-def kmeans_clusters(df: DataFrame, k: int, cols: Sequence[str], *, n_init: int = N_INIT,
-                    seed: int = SEED) -> DataFrame:
-    """Add the k-means ``cluster`` of each row."""
-    vectors = _vectors(df, cols).persist()
+def kmeans_clusters(df: DataFrame, k: int, cols: Sequence[str], *, id_col: str = "ip",
+                    n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
+    """Add the k-means ``cluster`` of each row; it does not depend on the input's partitions."""
+    vectors = _fixed_vectors(df, cols, id_col).persist()
     try:
         model = _fit_kmeans(vectors, k, n_init, seed)
     finally:
@@ -125,37 +135,43 @@ def euclidean_silhouettes(df: DataFrame, cols: Sequence[str], labels: dict[str,
     return rows.agg(*scores).first().asDict()
 
 
+def silhouette(df: DataFrame, cols: Sequence[str], label: str, *, id_col: str = "ip",
+               metric: str = SQUARED) -> float:
+    """Mean silhouette of a labelling 0, 1, ... of the rows."""
+    if metric == EUCLIDEAN:
+        k = df.agg(F.max(label)).first()[0] + 1
+        return euclidean_silhouettes(df, cols, {label: k}, id_col=id_col)[label]
+    rows = _vectors(df, cols).withColumn(label, F.col(label).cast("double"))
+    return ClusteringEvaluator(featuresCol="_features", predictionCol=label,
+                               metricName="silhouette", distanceMeasure=metric).evaluate(rows)
+
+
 def silhouettes_by_k(df: DataFrame, cols: Sequence[str], max_k: int = MAX_K, *,
-                     id_col: str = "ip", metric: str = "auto", n_init: int = 1,
+                     id_col: str = "ip", metric: str = SQUARED, n_init: int = N_INIT,
                      seed: int = SEED) -> dict[int, float]:
-    """Silhouette of the k-means labeling for every k from 2 to max_k (less than the rows).
+    """Silhouette of the k-means labelling for every k from 2 to max_k (less than the rows).
 
-    The search fits one start per k by default. ``metric`` is ``euclidean`` (mean distance),
-    ``squaredEuclidean`` (linear in the points) or ``auto``: the first up to
-    ``EUCLIDEAN_LIMIT`` points, then the second.
+    ``metric`` is ``squaredEuclidean``, linear in the points, or ``euclidean`` (mean distance),
+    which is quadratic; the size of the input never changes it.
     """
-    vectors = _vectors(df, cols).persist()
+    if metric not in (SQUARED, EUCLIDEAN):
+        raise ValueError(f"metric must be {SQUARED!r} or {EUCLIDEAN!r}, not {metric!r}")
+    vectors = _fixed_vectors(df, cols, id_col).persist()
     try:
         n = vectors.count()
-        last = min(max_k, n - 1)
         if n < MIN_CLIENTS:
             return {}
-        if metric == "auto":
-            metric = "euclidean" if n <= EUCLIDEAN_LIMIT else "squaredEuclidean"
-        labelled, scores = vectors, {}
-        for k in range(2, last + 1):
-            model = _fit_kmeans(vectors, k, n_init, seed).setPredictionCol(f"_k{k}")
-            if metric == "euclidean":
+        ks = range(2, min(max_k, n - 1) + 1)
+        models = {k: _fit_kmeans(vectors, k, n_init, seed).setPredictionCol(f"_k{k}") for k in ks}
+        if metric == EUCLIDEAN:
+            labelled = _vectors(df, cols)
+            for model in models.values():
                 labelled = model.transform(labelled)
-            else:
-                scores[k] = ClusteringEvaluator(
-                    featuresCol="_features", predictionCol=f"_k{k}", metricName="silhouette",
-                    distanceMeasure=metric).evaluate(model.transform(vectors))
-        if metric == "euclidean":
-            found = euclidean_silhouettes(
-                labelled, cols, {f"_k{k}": k for k in range(2, last + 1)}, id_col=id_col)
-            scores = {k: found[f"_k{k}"] for k in range(2, last + 1)}
-        return scores
+            found = euclidean_silhouettes(labelled, cols, {f"_k{k}": k for k in ks}, id_col=id_col)
+            return {k: found[f"_k{k}"] for k in ks}
+        return {k: ClusteringEvaluator(
+            featuresCol="_features", predictionCol=f"_k{k}", metricName="silhouette",
+            distanceMeasure=metric).evaluate(model.transform(vectors)) for k, model in models.items()}
     finally:
         vectors.unpersist()
 
@@ -205,7 +221,7 @@ def pca(df: DataFrame, cols: Sequence[str], variance: float = 0.95) -> DataFrame
 
 
 def cluster_ips(df: DataFrame, *, n_init: int = N_INIT, seed: int = SEED,
-                metric: str = "auto") -> DataFrame:
+                metric: str = SQUARED) -> DataFrame:
     """Profile each client of a feature table and label it.
 
     Adds ``cluster`` (k-means), ``outlier_cluster`` (DBSCAN) and ``pca_x``/``pca_y``. With
@@ -218,7 +234,7 @@ def cluster_ips(df: DataFrame, *, n_init: int = N_INIT, seed: int = SEED,
         return profile
     scaled_cols = [f"{_SCALED}{c}" for c in cols]
     scaled = checkpoint(standardize_features(profile, cols, _SCALED))
-    k = choose_k(scaled, scaled_cols, seed=seed, metric=metric)
+    k = choose_k(scaled, scaled_cols, seed=seed, metric=metric, n_init=n_init)
     out = kmeans_clusters(scaled, k, scaled_cols, n_init=n_init, seed=seed)
     out = pca_2d(out, scaled_cols)
     return dbscan(out, scaled_cols).drop(*scaled_cols)

@@ -2,21 +2,17 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from hitlens.operators.grouping import hot_keys, salted_join
+from hitlens.operators.grouping import TARGET_ROWS, salted_join
 from hitlens.session import checkpoint
 
-# Fewer edges than this make no hot task, whatever their shape.
-_MANY_EDGES = 1_000_000
 
-
-def _with_hub(edges: DataFrame, hub: DataFrame, many: bool) -> DataFrame:
+def _with_hub(edges: DataFrame, hub: DataFrame, target: int) -> DataFrame:
     """Edges (a, b) with the least node ``m`` that ``a`` sees."""
-    if not many:
-        return edges.join(hub.select("a", "m"), "a")
-    return salted_join(edges, hub.select("a", "m"), ["a"], hot_keys(hub, ["a"], "degree"), "inner")
+    return salted_join(edges, hub.select("a", "m"), ["a"], hub, "inner", count="degree",
+                       target=target)
 
 
-def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, target: int) -> DataFrame:
     """Re-hang neighbours on the least node they see.
 
     Large star moves the greater neighbours of a node, small star its lesser ones and
@@ -27,12 +23,12 @@ def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hub = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"),
                                     F.count("*").alias("degree"))
-        moved = _with_hub(both.where(F.col("b") > F.col("a")), hub, many).select(
+        moved = _with_hub(both.where(F.col("b") > F.col("a")), hub, target).select(
             F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.where(F.col("a") != F.col("b")).distinct()
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     hub = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-    moved = _with_hub(down, hub, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_hub(down, hub, target).select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = hub.select(F.col("a"), F.col("m").alias("b"))
     return moved.union(own).where(F.col("a") != F.col("b")).distinct()
 
@@ -43,7 +39,7 @@ def _fingerprint(edges: DataFrame):
                            F.sum(mixed.bitwiseAND(F.lit(0xFFFFF)))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, *, target: int = TARGET_ROWS) -> DataFrame:
     """Edges (a, b) -> (node, component), the component being its least node.
 
     Converges in a number of rounds logarithmic in the longest chain. Every round ends in a
@@ -53,8 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = checkpoint(edges.where(F.col("a") != F.col("b")).distinct())
     seen = _fingerprint(current)
     while True:
-        many = seen[0] > _MANY_EDGES
-        current = checkpoint(_star(_star(current, True, many), False, many))
+        current = checkpoint(_star(_star(current, True, target), False, target))
         now = _fingerprint(current)
         if now == seen:
             break

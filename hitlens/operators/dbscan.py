@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hitlens.operators.components import connected_components
 from hitlens.operators.distances import block_pairs, block_rows, hash_block, strips
-from hitlens.operators.grouping import hot_keys, salted_join
+from hitlens.operators.grouping import salted_join
 from hitlens.session import checkpoint
 
 NOISE = -1
@@ -189,14 +189,15 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     labels = _numbered(member.select("component").distinct())
     # one cluster may hold most of the points
     sizes = member.groupBy("component").agg(F.count("*").alias("_size"))
-    core_label = (salted_join(member, labels, ["component"], hot_keys(sizes, ["component"], "_size"))
+    core_label = (salted_join(member, labels, ["component"], sizes, count="_size")
                   .select(F.col("node").alias("pid"), "label"))
     border = (edges.where(~F.col("core"))
               .join(core_label.withColumnRenamed("pid", "b"), "b")
               .groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("label")))
     by_vector = (core_label.union(border.select("pid", "label"))
                  .join(points, "pid").select(F.col("x").alias("_point"), "label"))
-    frequent = hot_keys(points.withColumnRenamed("x", "_point"), ["_point"], "weight")
-    return (salted_join(rows.withColumn("_point", vector), by_vector, ["_point"], frequent)
+    frequent = points.withColumnRenamed("x", "_point")
+    return (salted_join(rows.withColumn("_point", vector), by_vector, ["_point"], frequent,
+                        count="weight")
             .withColumn(name, F.coalesce(F.col("label"), F.lit(NOISE).cast("long")))
             .drop("_point", "label"))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from hitlens.functions.fields import seconds_between
+from hitlens.operators.timeseries import after, steps_between
 
 # Fixed values of the model.
 HORIZON, SHOWN, MIN_HOURS = 48, 24, 48
@@ -25,7 +26,7 @@ TREND_SCALE, CHANGE_SCALE, SEASONAL_SCALE, NOISE_SCALE = 5.0, 0.05, 10.0, 0.5
 INTERVAL_Z = 1.959964  # 95 %
 
 _BLOCK = 4096
-_HOUR = "interval 1 hour"
+
 
 
 def _fourier(days: Column, period: int, order: int) -> list[Column]:
@@ -132,10 +133,10 @@ def fit_forecast(series: DataFrame, *, time: str = "datetime", value: str = "req
 def future_frame(series: DataFrame, periods: int = HORIZON, *, time: str = "datetime",
                  keys: Sequence[str] = ()) -> DataFrame:
     """History of a regular hourly series followed by ``periods`` further hours."""
-    step = F.expr(_HOUR)
-    last = F.col("_end") + step * F.lit(periods)
-    return (series.groupBy(*keys).agg(F.min(time).alias("_start"), F.max(time).alias("_end"))
-            .select(*keys, "_end", F.explode(F.sequence("_start", last, step)).alias("ds"))
+    ends = series.groupBy(*keys).agg(F.min(time).alias("_start"), F.max(time).alias("_end"))
+    hours = F.timestamp_diff("HOUR", F.col("_start"), F.col("_end")) + periods
+    return (steps_between(ends.where(F.col("_start").isNotNull()), hours)
+            .select(*keys, "_end", after(F.col("_start"), F.col("_step")).alias("ds"))
             .select(*keys, "ds", (F.col("ds") > F.col("_end")).alias("is_future")))
 
 
@@ -152,14 +153,13 @@ def predict(model: DataFrame, periods: int = HORIZON, *, keys: Sequence[str] = (
     interval holds the noise and, beyond the history, slope changes as frequent and as
     large on average as those fitted.
     """
-    step = F.expr(_HOUR)
     width = 2 + CHANGEPOINTS
     changes = F.slice("beta", 3, CHANGEPOINTS)
     used = F.least(F.lit(CHANGEPOINTS), F.floor(F.col("_n") * HISTORY_SHARE) - 1)
     mean_change = F.aggregate(changes, F.lit(0.0), lambda acc, v: acc + F.abs(v)) / used
-    rows = (model.withColumn("_change", mean_change).withColumn("_used", used)
-            .withColumn("ds", F.explode(F.sequence(
-                "_start", F.col("_end") + step * F.lit(periods), step)))
+    hours = F.timestamp_diff("HOUR", F.col("_start"), F.col("_end")) + periods
+    rows = (steps_between(model.withColumn("_change", mean_change).withColumn("_used", used), hours)
+            .withColumn("ds", after(F.col("_start"), F.col("_step"))).drop("_step")
             .withColumn("_epoch_hour", _epoch_hours(F.col("ds")))
             .withColumn("_hour", F.rint(F.col("_epoch_hour") - _epoch_hours(F.col("_start"))))
             .withColumn("_x", _design()))

@@ -2,61 +2,78 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-# A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS, SALTS = 256, 64
+from hitlens.session import checkpoint
 
+# Rows of one key that a task may get; a key with more is spread over as many salts as needed.
+TARGET_ROWS = 500_000
+# A table of one row per key is broadcast up to so many bytes (as JSON text), and joined beyond.
+BROADCAST_BYTES = 16 << 20
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-    """The most frequent keys: a list of bounded length, whatever the data."""
-    return counts.orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS).select(*keys)
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table as JSON text, summed on the executors."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
 
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], hot: DataFrame,
-                how: str = "left") -> DataFrame:
+
+def with_salts(rows: DataFrame, counts: DataFrame, keys: Sequence[str], count: str = "count",
+               target: int = TARGET_ROWS) -> DataFrame:
+    """Add ``_salt`` and ``_salts``: a key of n rows gets ceil(n / target) salts.
+
+    A row's salt comes from the hash of its columns, so it is the same when a lost task runs
+    again. Keys of more than ``target`` rows are at most rows / target, hence the broadcast.
+    """
+    hot = counts.where(F.col(count) > target).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys],
+        F.ceil(F.col(count) / target).cast("int").alias("_salts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    drawn = F.xxhash64(*[f"`{f.name}`" for f in rows.schema.fields
+                         if not isinstance(f.dataType, T.MapType)])
+    return (rows.join(F.broadcast(hot), same, "left").drop(*[f"_hot_{k}" for k in keys])
+            .withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+            .withColumn("_salt", F.pmod(drawn, F.col("_salts")).cast("int")))
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], counts: DataFrame,
+                how: str = "left", *, count: str = "count",
+                target: int = TARGET_ROWS) -> DataFrame:
     """Null-safe join of rows with a table of one row per key.
 
-    Rows of a hot key are spread over ``SALTS`` tasks and its lookup row is copied to each.
-    Adaptive skew handling would not do: it does not split a side that shares the shuffle
-    of an aggregate. The list of hot keys is at most ``HOT_KEYS`` rows long, hence the
-    broadcasts.
+    ``counts`` holds the rows of each key. Rows of a hot key are spread over its salts and its
+    lookup row is copied to each. Adaptive skew handling would not do: it does not split a
+    side that shares the shuffle of an aggregate.
     """
-    mark = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
-                                  F.lit(True).alias("_hot")))
-
-    def marked(df: DataFrame) -> DataFrame:
-        same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-        return df.join(mark, same, "left").drop(*[f"_hot_{k}" for k in keys])
-
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    # The salt follows the input partition: unlike a random draw it is the same when a lost
-    # task runs again, and it also parts rows that are copies of each other.
-    salt = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    left = marked(rows).withColumn("_salt", F.when(is_hot, salt).otherwise(0)).drop("_hot")
-    last = F.when(is_hot, F.lit(SALTS - 1)).otherwise(F.lit(0))
+    left = with_salts(rows, counts, keys, count, target).drop("_salts")
     names = [c for c in lookup.columns if c not in keys]
-    right = marked(lookup).withColumn("_copy", F.explode(F.sequence(F.lit(0), last))).select(
+    right = with_salts(lookup, counts, keys, count, target).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(
         *[F.col(k).alias(f"_key_{k}") for k in keys], *names, "_copy")
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     return (left.join(right, [*same, F.col("_salt") == F.col("_copy")], how)
             .drop(*[f"_key_{k}" for k in keys], "_salt", "_copy"))
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = (), *,
+           limit: int = BROADCAST_BYTES) -> DataFrame:
     """Add the columns of ``stats`` (one row per key, or one row) to ``df``.
 
-    Without keys the row becomes a scalar subquery: nothing is joined. With keys it is a
-    salted join; the keys are counted first, in a pass that reads nothing else and combines
-    map-side.
+    Without keys the row becomes a scalar subquery: nothing is joined. With keys the table is
+    computed and measured: up to ``limit`` bytes it is broadcast and no row of ``df`` is
+    shuffled, beyond it the rows per key are counted and the join is salted by them.
     """
     names = [c for c in stats.columns if c not in keys]
     if not keys:
         row = stats.select(F.struct(*names)).scalar()
         return (df.withColumn("_stats", row)
                 .withColumns({n: F.col(f"_stats.{n}") for n in names}).drop("_stats"))
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_count"))
-    return salted_join(df, stats, keys, hot_keys(counts, keys, "_count"))
+    lookup = checkpoint(stats)
+    if measured_bytes(lookup) > limit:
+        counts = df.groupBy(*keys).agg(F.count("*").alias("count"))
+        return salted_join(df, lookup, keys, counts)
+    right = F.broadcast(lookup.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *names))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(right, same, "left").drop(*[f"_key_{k}" for k in keys])
 
 
 def attach_per_group(groups: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

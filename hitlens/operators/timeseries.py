@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hitlens.functions.fields import day_hour
 
-_STEP = {"hour": "interval 1 hour", "day": "interval 1 day"}
-
 
 def _aggregate(metric: str) -> Column:
     if metric == "rows":
@@ -40,18 +38,40 @@ def rollup(df: DataFrame, grain: str = "hour", metrics: Sequence[str] | None = N
     return fill_gaps(buckets, grain, keys=keys) if fill else buckets
 
 
+# Steps in one array: long gaps are exploded block by block.
+_BLOCK = 4096
+
+
+def steps_between(df: DataFrame, steps: Column, name: str = "_step") -> DataFrame:
+    """Each row once for every number from 0 to ``steps``, as a column; no row holds them all."""
+    return (df.withColumn("_steps", steps.cast("long"))
+            .withColumn("_block", F.explode(F.sequence(
+                F.lit(0).cast("long"), F.floor(F.col("_steps") / _BLOCK))))
+            .withColumn(name, F.explode(F.sequence(
+                F.col("_block") * _BLOCK,
+                F.least(F.col("_steps"), F.col("_block") * _BLOCK + (_BLOCK - 1)))))
+            .drop("_steps", "_block"))
+
+
+def after(start: Column, step: Column, grain: str = "hour") -> Column:
+    """Time ``step`` hours or days after ``start``."""
+    days = step if grain == "day" else F.floor(step / 24)
+    hours = F.lit(0) if grain == "day" else F.pmod(step, F.lit(24))
+    return start + F.make_dt_interval(days.cast("int"), hours.cast("int"))
+
+
 def fill_gaps(df: DataFrame, grain: str = "hour", *, keys: Sequence[str] = ()) -> DataFrame:
     """Regular calendar from the first to the last bucket; absent buckets and nulls are 0.
 
     Each bucket emits itself and the empty buckets up to its successor, so the series is
     read once and no calendar is joined.
     """
-    step = F.expr(_STEP[grain])
+    unit = {"hour": "HOUR", "day": "DAY"}[grain]
     values = [c for c in df.columns if c not in (*keys, "datetime")]
     following = F.lead("datetime").over(W.partitionBy(*keys).orderBy("datetime"))
-    last = F.coalesce(F.col("_next") - step, F.col("datetime"))
-    return (df.withColumn("_next", following)
-            .withColumn("_bucket", F.explode(F.sequence(F.col("datetime"), last, step)))
+    empty = F.coalesce(F.timestamp_diff(unit, F.col("datetime"), F.col("_next")) - 1, F.lit(0))
+    return (steps_between(df.withColumn("_next", following), empty)
+            .withColumn("_bucket", after(F.col("datetime"), F.col("_step"), grain))
             .select(*keys, F.col("_bucket").alias("datetime"),
                     *[F.coalesce(F.when(F.col("_bucket") == F.col("datetime"), F.col(v)),
                                  F.lit(0)).alias(v) for v in values]))

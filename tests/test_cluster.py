@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import request
 from hitlens.operators import cluster
@@ -156,7 +157,33 @@ def test_pipeline(feats):
     assert few.count() == 3 and "cluster" not in few.columns
 
 
-def test_components_with_salted_hubs(spark, monkeypatch):
-    from hitlens.operators import components
-    monkeypatch.setattr(components, "_MANY_EDGES", 0)
-    test_components(spark)
+def test_components_with_salted_hubs(spark):
+    rows = [(100, 100 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    want = {**{100 + i: 100 for i in range(60)}, **{i: 0 for i in range(21)}}
+    for target in (5, 1_000_000):
+        got = connected_components(df, target=target).collect()
+        assert {r.node: r.component for r in got} == want
+
+
+def test_kmeans_does_not_depend_on_partitions(spark):
+    x = np.random.default_rng(8).normal(size=(400, 3))
+    df, cols = frame(spark, x)
+    a, b = (cluster.kmeans_clusters(d, 4, cols, n_init=3).toPandas().sort_values("ip").cluster.tolist()
+            for d in (df, df.repartition(7)))
+    assert a == b
+
+
+def test_one_metric_at_every_size(spark):
+    for n in (19_000, 21_000):
+        rows = spark.range(n).select(F.col("id").alias("ip"), *[
+            (F.when(F.col("id") % 3 == i, 20).otherwise(0) + F.rand(i)).alias(f"f{i}") for i in range(2)])
+        assert cluster.choose_k(rows, ["f0", "f1"], 4, n_init=1) == 3
+    labels = df_labels = np.arange(90) % 3
+    x = np.random.default_rng(9).normal(size=(90, 2)) + labels[:, None]
+    df, cols = frame(spark, x)
+    marked = df.withColumn("band", F.expr("cast(substr(ip, 2) as int) % 3"))
+    assert cluster.silhouette(marked, cols, "band", metric="euclidean") == pytest.approx(
+        brute_silhouette(x, df_labels))
+    with pytest.raises(ValueError):
+        cluster.choose_k(df, cols, metric="auto")

@@ -38,3 +38,24 @@ def test_lines_to_windows(spark, tmp_path):
              .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     query.awaitTermination()
     assert [r.requests for r in spark.table("lines").collect()] == [1, 1, 1]
+
+
+def test_run_to_the_end_returns_open_windows(spark, log, tmp_path):
+    rows = [request(at=60 * i, status="500" if i % 4 == 0 else "200") for i in range(300)]
+    log(rows).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    stream = extract_features(spark.readStream.schema(LOG_SCHEMA).parquet(str(tmp_path / "in")))
+    out = live.run_to_end(live.live_traffic(stream), str(tmp_path / "out"), ["window_start", "window_end"])
+    assert [(r.requests, r.errors) for r in out.orderBy("window_start").collect()] == [(60, 15)] * 5
+
+
+def test_quarantine_of_a_stream(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text('1.1.1.1 - - [10/Oct/2000:01:00:00 +0000] "GET / HTTP/1.1" 200 5\njunk\n')
+    (folder / "b.bin").write_text("other\n")
+    good, bad = live.live_logs(spark, str(folder), quarantine=True)
+    for frame, name in ((good, "good_lines"), (bad, "bad_lines")):
+        (frame.writeStream.format("memory").queryName(name).trigger(availableNow=True)
+         .option("checkpointLocation", str(tmp_path / name)).start().awaitTermination())
+    assert spark.table("good_lines").count() == 1
+    assert [r.raw_line for r in spark.table("bad_lines").collect()] == ["junk"]

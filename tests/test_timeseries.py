@@ -94,3 +94,14 @@ def test_votes_per_key(hours):
     assert {r.host: r["count"] for r in out.groupBy("host").count().collect()} == {"a": 31}
     got = anomalies.anomaly_summary(out, keys=["host"]).first()
     assert got.total_anomalies == 1 and got.max_requests == 300
+
+
+def test_a_very_long_gap(spark, feats):
+    from datetime import datetime
+    rows = spark.createDataFrame([(datetime(1970, 1, 1), 3), (datetime(2024, 1, 1, 5), 4)],
+                                 "datetime timestamp_ntz, requests long")
+    out = ts.fill_gaps(rows)
+    hours = (datetime(2024, 1, 1, 5) - datetime(1970, 1, 1)).days * 24 + 5 + 1
+    assert out.agg({"requests": "sum"}).first()[0] == 7 and out.count() == hours
+    assert out.select("datetime").distinct().count() == hours
+    assert ts.fill_gaps(rows, "day").count() == hours // 24 + 1

@@ -70,13 +70,34 @@ def test_exact_quantile_large_and_skewed(spark):
         assert got[k] == pytest.approx(np.quantile(part.v, 0.95), abs=1e-9)
 
 
-def test_salted_join_keeps_every_row(spark, monkeypatch):
+def test_attach_keeps_every_row(spark):
     from hitlens.operators import grouping
-    monkeypatch.setattr(grouping, "HOT_KEYS", 2)
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 7).alias("k"), "id")
     stats = rows.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n"))
-    out = grouping.attach(rows, stats, ["k"]).toPandas()
-    assert len(out) == 3000 and out.id.is_unique and out.top.notna().all()
-    for _, part in out.groupby("k", dropna=False):
-        assert (part.n == len(part)).all() and (part.top == part.id.max()).all()
+    for limit in (grouping.BROADCAST_BYTES, 0):
+        out = grouping.attach(rows, stats, ["k"], limit=limit).toPandas()
+        assert len(out) == 3000 and out.id.is_unique and out.top.notna().all()
+        for _, part in out.groupby("k", dropna=False):
+            assert (part.n == len(part)).all() and (part.top == part.id.max()).all()
+
+
+def test_hot_key_is_spread(spark):
+    from hitlens.operators import grouping
+    rows = spark.range(10_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"),
+                                      "id")
+    counts = rows.groupBy("k").count()
+    salted = grouping.with_salts(rows, counts, ["k"], target=500).where("k = -1")
+    parts = [r["count"] for r in salted.groupBy("_salt").count().collect()]
+    assert len(parts) == 18 and max(parts) < 2 * min(parts)
+    joined = grouping.salted_join(rows, counts, ["k"], counts, target=500)
+    assert joined.where("k = -1").agg(F.count("*"), F.min("count")).first()[:] == (9000, 9000)
+
+
+def test_small_dimension_shuffles_no_request(feats):
+    from hitlens.operators import features
+    out = features.enrich_user_agents(
+        feats([request(agent=f"curl/{i % 3}") for i in range(50)]).drop(
+            "browser", "browser_version", "os", "device", "is_mobile", "is_bot"), via="dimension")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 50 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
