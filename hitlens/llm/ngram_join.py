@@ -11,8 +11,8 @@ Before that, sets that cannot be linked are kept apart, without losing a link:
   ``n - ceil(t n) + l`` ones (``l`` grows to 8 with the size). So only shingles that two sets have
   in these prefixes matter, and only sets with at least ``l`` of them.
 * Equal sets are one; the prefix of a set is handed on once per task.
-* First each set joins the group of its most common prefix shingle; sets found linked become one
-  component. Then every group that still holds two components is joined, and a pair is compared in
+* First each set joins the group of its most common prefix shingle; sets found linked there become
+  one component. Then every group that still holds two components is joined, and a pair is compared in
   the first of its groups only.
 * Large groups are cut into blocks of sets. In the first round each block meets one block of
   pivots; in the second all pairs of blocks meet.
@@ -124,9 +124,9 @@ def _common(source: DataFrame, k: int, most: int, folder: str) -> np.ndarray:
         least = row["size"]
     if least is None:
         return np.zeros(0, np.uint64)
-    rows = counts.where(size >= least).collect()
-    rows.sort(key=lambda r: (r["n"], r["shingle"]))
-    return np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    rows = counts.where(size >= least).toArrow()
+    shingle, n = rows.column("shingle").to_numpy(), rows.column("n").to_numpy()
+    return shingle[np.lexsort((shingle, n))].view(np.uint64)
 
 
 class Trie:
@@ -197,7 +197,8 @@ class Trie:
 
 def trie_links(classes: np.ndarray, sets: list[np.ndarray], component: np.ndarray,
                allowed=None, threshold=THRESHOLD) -> list[tuple[int, int]]:
-    """Links that join the components of a block as far as its sets are linked.
+    """Links (least class, class) that join the components of a block as far as its sets are
+    linked: a star over one class of each.
 
     ``allowed(i)`` marks the sets that ``i`` may be compared with here (default: all).
     """
@@ -206,8 +207,8 @@ def trie_links(classes: np.ndarray, sets: list[np.ndarray], component: np.ndarra
     if len(keep) < 2:
         return []
     tree = Trie([sets[i] for i in keep])
-    classes, root = classes[keep], component[keep].copy()
-    links = []
+    classes, before = classes[keep], component[keep]
+    root = before.copy()
     for x in range(len(keep)):
         wanted = root != root[x]
         wanted[:x] = False
@@ -215,9 +216,15 @@ def trie_links(classes: np.ndarray, sets: list[np.ndarray], component: np.ndarra
             wanted &= allowed(keep[x])[keep]
         for y in tree.matches(tree.sets[x], wanted, threshold):
             if root[x] != root[y]:
-                links.append((int(classes[x]), int(classes[y])))
                 root[root == root[y]] = root[x]
                 wanted &= root != root[x]
+    links = []
+    for own in np.unique(root[root != before]):
+        members = classes[root == own]
+        least = int(members.min())
+        # a star to one member of each component that was there before
+        _, at = np.unique(before[root == own], return_index=True)
+        links += [(least, int(m)) for m in members[at] if m != least]
     return links
 
 
@@ -331,11 +338,12 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
         "class", "group", "block", F.lit(0).alias("first"), "second",
         F.col("class").alias("component"), F.lit(None).cast("array<long>").alias("groups"))
     links = written(_links_of(first.join(sets, "class"), threshold), "links1")
-    found = connected_components(links)
 
-    # second round: the groups that still hold several components, all blocks against all
-    labelled = core.join(found.select(F.col("node").alias("class"), "component"), "class", "left")
-    labelled = written(labelled.withColumn("component", F.coalesce("component", "class")), "labelled")
+    # second round: the groups that still hold several components, all blocks against all; the
+    # least class a set was linked with in the first round names its component
+    label = links.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("component"))
+    labelled = written(core.join(label, "class", "left").withColumn(
+        "component", F.coalesce("component", "class")), "labelled")
     groups = labelled.groupBy("shingle").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.bit_xor(F.xxhash64("class")).alias("mark"),
@@ -355,10 +363,7 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     second = placed.select("class", "component", "groups", "group", block.alias("block"),
                            F.inline(meets))
     more = written(_links_of(second.join(sets, "class"), threshold), "links2")
-    if more.limit(1).count():
-        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
-            more)
-        found = connected_components(joined)
+    found = connected_components(links.unionByName(more))
 
     # the smallest id of each component
     least = documents.where("class is not null").groupBy("class").agg(F.min("__id").alias("least"))
