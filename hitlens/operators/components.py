@@ -8,8 +8,7 @@ from hitlens.session import checkpoint
 
 def _with_hub(edges: DataFrame, hub: DataFrame, target: int) -> DataFrame:
     """Edges (a, b) with the least node ``m`` that ``a`` sees."""
-    return salted_join(edges, hub.select("a", "m"), ["a"], hub, "inner", count="degree",
-                       target=target)
+    return salted_join(edges, hub, ["a"], hub, "inner", count="degree", target=target)
 
 
 def _star(edges: DataFrame, large: bool, target: int) -> DataFrame:

@@ -40,13 +40,18 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], counts:
                 target: int = TARGET_ROWS) -> DataFrame:
     """Null-safe join of rows with a table of one row per key.
 
-    ``counts`` holds the rows of each key. Rows of a hot key are spread over its salts and its
+    ``counts`` holds the rows of each key; a column ``count`` of the lookup does the same for it
+    and is not part of the result. Rows of a hot key are spread over its salts and its
     lookup row is copied to each. Adaptive skew handling would not do: it does not split a
     side that shares the shuffle of an aggregate.
     """
     left = with_salts(rows, counts, keys, count, target).drop("_salts")
-    names = [c for c in lookup.columns if c not in keys]
-    right = with_salts(lookup, counts, keys, count, target).withColumn(
+    names = [c for c in lookup.columns if c not in (*keys, count)]
+    if count in lookup.columns:  # a lookup row that knows its rows needs no list of hot keys
+        lookup = lookup.withColumn("_salts", F.greatest(F.ceil(F.col(count) / target), F.lit(1)))
+    else:
+        lookup = with_salts(lookup, counts, keys, count, target)
+    right = lookup.withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select(
         *[F.col(k).alias(f"_key_{k}") for k in keys], *names, "_copy")
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]

@@ -90,8 +90,11 @@ def test_hot_key_is_spread(spark):
     salted = grouping.with_salts(rows, counts, ["k"], target=500).where("k = -1")
     parts = [r["count"] for r in salted.groupBy("_salt").count().collect()]
     assert len(parts) == 18 and max(parts) < 2 * min(parts)
-    joined = grouping.salted_join(rows, counts, ["k"], counts, target=500)
-    assert joined.where("k = -1").agg(F.count("*"), F.min("count")).first()[:] == (9000, 9000)
+    top = rows.groupBy("k").agg(F.max("id").alias("top"))
+    for lookup in (top, top.join(counts, "k")):
+        joined = grouping.salted_join(rows, lookup, ["k"], counts, target=500)
+        assert joined.columns == ["k", "id", "top"]
+        assert joined.where("k = -1").agg(F.count("*"), F.min("top")).first()[:] == (9000, 9999)
 
 
 def test_small_dimension_shuffles_no_request(feats):
