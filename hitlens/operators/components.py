@@ -2,33 +2,28 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from hitlens.operators.grouping import TARGET_ROWS, salted_join
 from hitlens.session import checkpoint
 
 
-def _with_hub(edges: DataFrame, hub: DataFrame, target: int) -> DataFrame:
-    """Edges (a, b) with the least node ``m`` that ``a`` sees."""
-    return salted_join(edges, hub, ["a"], hub, "inner", count="degree", target=target)
-
-
-def _star(edges: DataFrame, large: bool, target: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Re-hang neighbours on the least node they see.
 
     Large star moves the greater neighbours of a node, small star its lesser ones and
-    itself. The minimum combines map-side, and the edges of a node with very many
-    neighbours are salted for the join back; no neighbour list is ever built.
+    itself. The minimum combines map-side and is written out, so that the join back reads two
+    plain inputs and adaptive execution can split a node with very many neighbours; no
+    neighbour list is ever built.
     """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hub = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"),
-                                    F.count("*").alias("degree"))
-        moved = _with_hub(both.where(F.col("b") > F.col("a")), hub, target).select(
-            F.col("b").alias("a"), F.col("m").alias("b"))
+        hub = checkpoint(both.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m")))
+        moved = both.where(F.col("b") > F.col("a")).join(hub, F.col("a") == F.col("_a")).select(
+            F.col("b").alias("a"), F.least("_a", "m").alias("b"))
         return moved.where(F.col("a") != F.col("b")).distinct()
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    hub = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-    moved = _with_hub(down, hub, target).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    own = hub.select(F.col("a"), F.col("m").alias("b"))
+    hub = checkpoint(down.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("m")))
+    moved = down.join(hub, F.col("a") == F.col("_a")).select(
+        F.col("b").alias("a"), F.col("m").alias("b"))
+    own = hub.select(F.col("_a").alias("a"), F.col("m").alias("b"))
     return moved.union(own).where(F.col("a") != F.col("b")).distinct()
 
 
@@ -38,7 +33,7 @@ def _fingerprint(edges: DataFrame):
                            F.sum(mixed.bitwiseAND(F.lit(0xFFFFF)))).first())
 
 
-def connected_components(edges: DataFrame, *, target: int = TARGET_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (node, component), the component being its least node.
 
     Converges in a number of rounds logarithmic in the longest chain. Every round ends in a
@@ -48,7 +43,7 @@ def connected_components(edges: DataFrame, *, target: int = TARGET_ROWS) -> Data
     current = checkpoint(edges.where(F.col("a") != F.col("b")).distinct())
     seen = _fingerprint(current)
     while True:
-        current = checkpoint(_star(_star(current, True, target), False, target))
+        current = checkpoint(_star(checkpoint(_star(current, True)), False))
         now = _fingerprint(current)
         if now == seen:
             break

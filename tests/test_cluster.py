@@ -157,15 +157,6 @@ def test_pipeline(feats):
     assert few.count() == 3 and "cluster" not in few.columns
 
 
-def test_components_with_salted_hubs(spark):
-    rows = [(100, 100 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(20)]
-    df = spark.createDataFrame(rows, "a long, b long")
-    want = {**{100 + i: 100 for i in range(60)}, **{i: 0 for i in range(21)}}
-    for target in (5, 1_000_000):
-        got = connected_components(df, target=target).collect()
-        assert {r.node: r.component for r in got} == want
-
-
 def test_kmeans_does_not_depend_on_partitions(spark):
     x = np.random.default_rng(8).normal(size=(400, 3))
     df, cols = frame(spark, x)
