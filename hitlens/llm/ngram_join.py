@@ -12,8 +12,10 @@ Before that, sets that cannot be linked are kept apart, without losing a link:
   in these prefixes matter, and only sets with at least ``l`` of them.
 * Equal sets are one; the prefix of a set is handed on once per task.
 * First each set joins the group of its most common prefix shingle; sets found linked there become
-  one component. Then every group that still holds two components is joined, and a pair is compared in
-  the first of its groups only.
+  one component. Then every group that still holds two components is joined; a pair is
+  compared in the first of its groups only.
+* In the second round the prefixes travel first: a set goes on to a group only if its prefix leaves
+  a link with another set there possible.
 * Large groups are cut into blocks of sets. In the first round each block meets one block of
   pivots; in the second all pairs of blocks meet.
 
@@ -43,6 +45,8 @@ K, THRESHOLD = 4, (85, 100)
 COMMON = 1 << 16
 # Sets per block of a large group; classes of sets that are sent to all tasks at most.
 BLOCK, BROADCAST_ROWS = 500, 1_000_000
+# Shingles that a task counts at once, and how often one has to occur among them to be common.
+_COUNTED, _OFTEN = 4_000_000, 4
 # Sets whose prefix a task remembers to have handed on.
 _REMEMBERED = 1_000_000
 
@@ -101,15 +105,25 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
 
 
 def _common(source: DataFrame, k: int, most: int, folder: str) -> np.ndarray:
-    """Shingles that several sets of a piece share, at most ``most``, the most common last."""
+    """Shingles that a few sets of some stretch of the input share, at most ``most`` of them, the
+    most common last."""
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        value, n = np.unique(np.concatenate(found), return_counts=True)
+        often = n >= _OFTEN
+        return pa.RecordBatch.from_arrays(
+            [pa.array(value[often].view(np.int64)), pa.array(n[often].astype(np.int64))],
+            names=["shingle", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for _, sets in _sets(batches, k):
-            if sets:
-                value, n = np.unique(np.concatenate(sets), return_counts=True)
-                value, n = value[n > 1], n[n > 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["shingle", "n"])
+            found += sets
+            size += sum(map(len, sets))
+            if size > _COUNTED:
+                yield counted(found)
+                found, size = [], 0
+        if found:
+            yield counted(found)
 
     path = f"{folder}/common"
     (source.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -228,33 +242,86 @@ def trie_links(classes: np.ndarray, sets: list[np.ndarray], component: np.ndarra
     return links
 
 
+class _Block:
+    """The rows of one task: sets (or prefixes), and which pairs are to be compared here."""
+
+    def __init__(self, table: pa.Table, arrays: str):
+        self.classes = table.column("class").to_numpy()
+        self.sets = self._lists(table, arrays)
+        self.component = table.column("component").to_numpy()
+        self.blocks = table.column("block").to_numpy()
+        self.first, self.second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+        self.member = None
+        if table.column("groups").null_count < len(table):
+            lists = self._lists(table, "groups")
+            known, number = np.unique(np.concatenate(lists), return_inverse=True)
+            self.member = np.zeros((len(table), len(known)), bool)
+            self.member[np.repeat(np.arange(len(table)), [len(s) for s in lists]), number] = True
+            self.here = int(np.searchsorted(known, table.column("group")[0].as_py()))
+            self.home = table.column("home").to_numpy()
+
+    @staticmethod
+    def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+        return [np.asarray(s.values) for chunk in table.column(name).chunks for s in chunk]
+
+    def allowed(self, i: int) -> np.ndarray:
+        """Sets that ``i`` meets in this task: not those of its first round's group, and those of
+        several common groups in the first one only."""
+        if self.member is None:
+            return np.ones(len(self.classes), bool)
+        ok = (self.member & self.member[i]).argmax(axis=1) == self.here
+        ok &= self.member[:, self.here] & (self.home != self.home[i])
+        return ok & (self.blocks != self.blocks[i]) if self.first != self.second else ok
+
+
 def _links_of(assigned: DataFrame, threshold) -> DataFrame:
-    """Join each task's block: rows of (task, block, first, second, class, keys, component, groups)."""
+    """Links found in each block of rows (group, block, first, second, class, keys, component,
+    groups, home)."""
     def run(table: pa.Table) -> pa.Table:
-        rows = table.combine_chunks()
-        classes = rows.column("class").to_numpy()
-        sets = [np.asarray(s.values) for s in rows.column("keys").chunk(0)]
-        blocks = rows.column("block").to_numpy()
-        first, second = rows.column("first")[0].as_py(), rows.column("second")[0].as_py()
-        group = rows.column("group")[0].as_py()
-        allowed = None
-        if rows.column("groups").null_count < len(rows):
-            lists = [np.asarray(s.values) for s in rows.column("groups").chunk(0)]
-            known, number = np.unique(np.concatenate(lists), return_inverse=True)
-            member = np.zeros((len(rows), len(known)), bool)
-            member[np.repeat(np.arange(len(rows)), [len(s) for s in lists]), number] = True
-            here = int(np.searchsorted(known, group))
-
-            def allowed(i):
-                ok = (member & member[i]).argmax(axis=1) == here
-                return ok & (blocks != blocks[i]) if first != second else ok
-        links = trie_links(classes, sets, rows.column("component").to_numpy(), allowed, threshold)
+        block = _Block(table, "keys")
+        links = trie_links(block.classes, block.sets, block.component, block.allowed, threshold)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()),
                          "b": pa.array([x[1] for x in links], pa.int64())})
 
     return assigned.groupBy("group", "first", "second").applyInArrow(run, "a long, b long")
 
 
+def may_link(own: np.ndarray, other: np.ndarray, n: int, m: int, threshold=THRESHOLD) -> bool:
+    """Whether sets of sizes n and m with these prefixes can be linked.
+
+    Up to the end of the prefix that ends first both sets are known; beyond it they share at most
+    what remains of the smaller rest.
+    """
+    last = min(own[-1], other[-1])
+    own, other = own[:np.searchsorted(own, last, "right")], other[:np.searchsorted(other, last, "right")]
+    at = np.searchsorted(own, other)
+    at[at == len(own)] = 0
+    both = int((own[at] == other).sum()) if len(own) else 0
+    return both + min(n - len(own), m - len(other)) >= least_overlap(n, m, threshold)
+
+
+def _likely_of(assigned: DataFrame, threshold) -> DataFrame:
+    """Of rows as above with ``prefix`` and ``size`` for ``keys``: the places (group, first, second,
+    class) whose set may be linked with another one there."""
+    def run(table: pa.Table) -> pa.Table:
+        block = _Block(table, "prefix")
+        sizes = table.column("size").to_numpy()
+        keep = np.zeros(len(sizes), bool)
+        for i, own in enumerate(block.sets):
+            wanted = block.allowed(i) & (block.component != block.component[i])
+            wanted &= (sizes * threshold[1] >= sizes[i] * threshold[0]) & (
+                sizes * threshold[0] <= sizes[i] * threshold[1])
+            wanted[:i + 1] = False
+            for j in np.flatnonzero(wanted):
+                if not (keep[i] and keep[j]) and may_link(
+                        own, block.sets[j], int(sizes[i]), int(sizes[j]), threshold):
+                    keep[i] = keep[j] = True
+        return table.select(["group", "first", "second", "class"]).filter(pa.array(keep))
+
+    return assigned.groupBy("group", "first", "second").applyInArrow(
+        run, "group long, first int, second int, class long")
+
+
 def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                           k: int = K, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Documents -> (id_col, n_shingles, component_id): the smallest id reachable by links.
@@ -334,35 +401,49 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("class"), blocks).cast("int")
     others = F.when(block == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
+    none = F.lit(None).cast("array<long>").alias("groups")
     first = home.select("class", "group", block.alias("block"), F.explode(others).alias("second")).select(
         "class", "group", "block", F.lit(0).alias("first"), "second",
-        F.col("class").alias("component"), F.lit(None).cast("array<long>").alias("groups"))
+        F.col("class").alias("component"), none, F.col("class").alias("home"))
     links = written(_links_of(first.join(sets, "class"), threshold), "links1")
 
     # second round: the groups that still hold several components, all blocks against all; the
     # least class a set was linked with in the first round names its component
     label = links.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("component"))
-    labelled = written(core.join(label, "class", "left").withColumn(
+    # all pairs of a group that is one block have been compared; else a set stands for itself
+    done = home.select("class", F.when(F.col("n") <= BLOCK, F.col("group")).otherwise(
+        F.col("class")).alias("home"))
+    labelled = written(core.join(done, "class").join(label, "class", "left").withColumn(
         "component", F.coalesce("component", "class")), "labelled")
     groups = labelled.groupBy("shingle").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min("home").alias("home1"), F.max("home").alias("home2"),
         F.bit_xor(F.xxhash64("class")).alias("mark"),
-        F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("mark2")).where("low < high")
+        F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("mark2")).where(
+        "low < high and home1 < home2")
     # groups of the same sets are one
     groups = groups.groupBy("n", "mark", "mark2").agg(F.min("shingle").alias("group"))
     pairs = labelled.join(groups.select("group", F.col("n").alias("size")),
                           F.col("shingle") == F.col("group"))
     per_class = pairs.groupBy("class").agg(
-        F.first("component").alias("component"), F.sort_array(F.collect_list("group")).alias("groups"),
-        F.collect_list(F.struct("group", "size")).alias("all"))
-    placed = per_class.select("class", "component", "groups", F.inline("all"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        F.first("component").alias("component"), F.first("home").alias("home"), F.sort_array(F.collect_list("group")).alias("groups"),
+        F.collect_list(F.struct("group", F.col("size").alias("members"))).alias("all"))
+    placed = per_class.select("class", "component", "home", "groups", F.inline("all"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("class"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
         F.least(block, j).alias("first"), F.greatest(block, j).alias("second")))
-    second = placed.select("class", "component", "groups", "group", block.alias("block"),
-                           F.inline(meets))
-    more = written(_links_of(second.join(sets, "class"), threshold), "links2")
+    second = written(placed.select("class", "component", "home", "groups", "group",
+                                   block.alias("block"), F.inline(meets)), "second")
+    # prefixes tell most pairs apart, so whole sets travel for the few others only
+    size = F.size("keys")
+    prefixes = sets.select("class", size.cast("long").alias("size"), F.slice(
+        "keys", 1, F.least(size, size - F.ceil(size * threshold[0] / threshold[1]).cast("int")
+                           + F.greatest(F.lit(1), F.least(F.lit(8), F.floor(size / 8).cast("int")))))
+        .alias("prefix"))
+    likely = written(_likely_of(second.join(prefixes, "class"), threshold), "likely")
+    rest = second.join(likely, ["group", "first", "second", "class"])
+    more = written(_links_of(rest.join(sets, "class"), threshold), "links2")
     found = connected_components(links.unionByName(more))
 
     # the smallest id of each component

@@ -85,7 +85,7 @@ class Lexicon:
     """Weighted terms, exception phrases, and the logistic function of the score."""
 
     def __init__(self, weights: dict[str, float], exceptions: list[str] = (),
-                 slope: float = 1.0, bias: float = 0.0):
+                 slope: float = 1.0, bias: float = -1.0):
         self.weights, self.exceptions = dict(weights), list(exceptions)
         self.slope, self.bias = slope, bias
         self._machine = None
