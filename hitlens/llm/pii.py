@@ -56,7 +56,7 @@ _PHONE_LOCAL = re.compile(r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
                           r"|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _MAIL_TEXT = re.compile(r"\b\w{1,40} ?[(\[] ?at ?[)\]] ?\w{1,40}(?: ?[(\[] ?dot ?[)\]] ?|\.)\w{2,20}\b")
-_NAME = re.compile(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b")
+_NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -101,6 +101,16 @@ def matches(text: str) -> list[tuple[str, int, int, bool]]:
     return found
 
 
+def _name_in(match: re.Match) -> tuple[int, int]:
+    """A run of capitalised words, from the first given name on that another word follows."""
+    start = match.start()
+    for word in match[0].split(" ")[:-1]:
+        if word in GIVEN_NAMES:
+            return start, match.end()
+        start += len(word) + 1
+    return match.span()
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Matches of the base and the looser patterns; the latter only beside valid base spans."""
     found = matches(text)
@@ -111,7 +121,7 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
         loose += [("identity", *m.span()) for m in _IDENTITY.finditer(text)]
     if "at]" in text or "at)" in text or "at ]" in text or "at )" in text:
         loose += [("mail_text", *m.span()) for m in _MAIL_TEXT.finditer(text)]
-    loose += [("name", *m.span()) for m in _NAME.finditer(text)]
+    loose += [("name", *_name_in(m)) for m in _NAME.finditer(text)]
     for kind, a, b in loose:
         if not any(x < b and a < y for x, y in taken):
             found.append((kind, a, b, False))

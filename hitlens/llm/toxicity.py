@@ -70,7 +70,7 @@ def fold(text: str) -> str:
 def _read_digits(match: re.Match) -> str:
     word = match[0]
     letters = sum(c.isalpha() for c in word)
-    if 2 * letters < len(word):
+    if 3 * letters < len(word):
         return word
     # a run of $ or @ at the end is decoration
     core = word.rstrip("$@")
