@@ -73,17 +73,20 @@ def _forest(df: DataFrame, cols: list[str], keys: list[str], trees: int, sample:
             seed: int) -> DataFrame:
     """One row per (key and) tree, grown on its own hash-ordered sample.
 
-    Rows draw a pseudo-random number per tree and are dropped at once unless it is small
-    enough to be in about twice the sample, so only that much is shuffled. The exact sample
-    is the smallest numbers of these.
+    One hash places a row among the trees: it joins every tree whose share of the unit line
+    it meets, about twice the sample per tree, and only those rows exist. The exact sample of
+    a tree is the least of a second draw.
     """
     size = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    unit = float(1 << 40)
+    share = F.least(F.lit(1.0), F.lit(float(_OVERSAMPLE * sample)) / F.col("_rows"))
+    place = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 40)) / unit
+    joins = F.ceil(F.lit(trees) * F.col("_share") - F.col("_place")).cast("int")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), *df.columns), F.lit(1 << 40))
-    drawn = (attach(df, size, keys)
-             .withColumn("tree", F.explode(F.sequence(
-                 F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-             .withColumn("_draw", draw)
-             .where(F.col("_draw") < F.lit(float(1 << 40)) * _OVERSAMPLE * sample / F.col("_rows")))
+    drawn = (attach(df, size, keys).withColumn("_share", share).withColumn("_place", place)
+             .withColumn("_join", F.explode(F.when(joins > 0, F.sequence(F.lit(0), joins - 1))))
+             .withColumn("tree", F.floor((F.col("_place") + F.col("_join")) / F.col("_share")))
+             .where(F.col("tree") < trees).withColumn("_draw", draw))
     depth = int(np.ceil(np.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -92,17 +92,32 @@ def score_from_state(state: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame
     return state.select(*keys, score.alias("performance_score"), band.alias("score_band"))
 
 
+# The messages, word for word.
+BOTTLENECKS = {
+    "slow_mean": "Slow average response time: %.0fms",
+    "slow_share": "High number of slow requests: %d",
+    "errors": "High error rate: %.1f%%",
+    "peak": "Uneven traffic distribution - consider load balancing",
+}
+TIPS = {
+    "bandwidth": "High bandwidth usage - optimize content delivery",
+    "errors": "Reduce error rates by fixing broken links and server issues",
+    "caching": "Implement caching to improve response times",
+    "watch": "Monitor traffic patterns for capacity planning",
+}
+
+
 def bottlenecks_from_state(state: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     c = _conditions()
     # banker's rounding first: Java's format rounds halves up
-    mean = F.format_string("Slow average response time: %.0fms", F.bround("mean_response", 0))
-    rate = F.format_string("High error rate: %.1f%%", F.bround(F.col("error_share") * 100, 1))
+    mean = F.format_string(BOTTLENECKS["slow_mean"], F.bround("mean_response", 0))
+    rate = F.format_string(BOTTLENECKS["errors"], F.bround(F.col("error_share") * 100, 1))
     return messages(state, "bottleneck", [
         (c["slow_mean"], mean),
         (c["slow_share"],
-         F.format_string("High number of slow requests: %d", F.col("slow_requests"))),
+         F.format_string(BOTTLENECKS["slow_share"], F.col("slow_requests"))),
         (c["errors"], rate),
-        (c["peak"], F.lit("Uneven traffic distribution - consider load balancing")),
+        (c["peak"], F.lit(BOTTLENECKS["peak"])),
     ], keys=keys)
 
 
@@ -110,12 +125,12 @@ def tips_from_state(state: DataFrame, has_response_time: bool, *,
                     keys: Sequence[str] = ()) -> DataFrame:
     heavy = F.coalesce(F.col("bandwidth_gb") > HEAVY_GB, F.lit(False))
     return messages(state, "tip", [
-        (heavy, F.lit("High bandwidth usage - optimize content delivery")),
+        (heavy, F.lit(TIPS["bandwidth"])),
         (~heavy & (F.col("error_share") > 0),
-         F.lit("Reduce error rates by fixing broken links and server issues")),
+         F.lit(TIPS["errors"])),
         (~heavy & F.lit(has_response_time),
-         F.lit("Implement caching to improve response times")),
-        (~heavy, F.lit("Monitor traffic patterns for capacity planning")),
+         F.lit(TIPS["caching"])),
+        (~heavy, F.lit(TIPS["watch"])),
     ], keys=keys)
 
 

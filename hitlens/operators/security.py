@@ -39,19 +39,22 @@ def attack_pattern_counts(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFra
                 "%s: %d requests", label[F.col("pattern")], F.col("requests"))))
 
 
-def ip_security_profile(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+def ip_security_profile(df: DataFrame, *, keys: Sequence[str] = (),
+                        approx: bool = False) -> DataFrame:
     """Requests, errors, distinct times and distinct URIs per client.
 
     Spark spreads the distinct counts over (ip, value), so one scanner with millions of
-    URIs is counted by many tasks.
+    URIs is counted by many tasks. ``approx`` counts them by mergeable sketches instead, which
+    shuffles one row per client and task.
     """
-    uris = F.count_distinct(F.col("uri")) if "uri" in df.columns else F.lit(0).cast("long")
+    count_distinct = F.approx_count_distinct if approx else F.count_distinct
+    uris = count_distinct(F.col("uri")) if "uri" in df.columns else F.lit(0).cast("long")
     return df.where(F.col("ip").isNotNull()).groupBy(*keys, "ip").agg(
         F.count("is_error").alias("is_error_count"),
         F.sum("is_error").alias("is_error_sum"),
         F.avg("is_error").alias("is_error_mean"),
         F.count("datetime").alias("datetime_count"),
-        F.count_distinct(F.col("datetime")).alias("datetime_nunique"),
+        count_distinct(F.col("datetime")).alias("datetime_nunique"),
         uris.alias("uri_nunique"))
 
 
@@ -66,9 +69,13 @@ def _suspicion() -> Column:
             | (F.col("uri_nunique") > MAX_URIS))
 
 
-def suspicious_clients(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Every client with mostly errors, an unusual volume or scanning behaviour."""
-    profile = ip_security_profile(df, keys=keys)
+def suspicious_clients(df: DataFrame, *, keys: Sequence[str] = (),
+                       approx: bool = False) -> DataFrame:
+    """Every client with mostly errors, an unusual volume or scanning behaviour.
+
+    With ``approx`` the client's URIs are estimated, so clients near the limit may differ.
+    """
+    profile = ip_security_profile(df, keys=keys, approx=approx)
     return attach(profile, distinct_times(df, keys=keys), keys).where(_suspicion())
 
 
@@ -111,18 +118,23 @@ def threat_level(df: DataFrame, *, keys: Sequence[str] = (), compat: bool = Fals
     return level_of(suspects, keys=keys, compat=compat)
 
 
+# The advice, word for word.
+ADVICE = {
+    "clients": "Consider blocking or rate-limiting suspicious IP addresses",
+    "errors": "High error rate detected - review server configuration",
+    "bots": "High bot traffic - implement bot protection measures",
+}
+
+
 def recommendations_for(df: DataFrame, level: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Advice rows, in report order, given the threat level."""
     bots = F.avg("is_bot") if "is_bot" in df.columns else F.lit(0.0)
     shares = df.groupBy(*keys).agg(F.avg("is_error").alias("error_share"), bots.alias("bot_share"))
     state = attach_per_group(shares, level.select(*keys, "total_suspicious"), keys)
     return messages(state, "recommendation", [
-        (F.col("total_suspicious") > 0,
-         F.lit("Consider blocking or rate-limiting suspicious IP addresses")),
-        (F.col("error_share") > 0.1,
-         F.lit("High error rate detected - review server configuration")),
-        (F.col("bot_share") > 0.3,
-         F.lit("High bot traffic - implement bot protection measures")),
+        (F.col("total_suspicious") > 0, F.lit(ADVICE["clients"])),
+        (F.col("error_share") > 0.1, F.lit(ADVICE["errors"])),
+        (F.col("bot_share") > 0.3, F.lit(ADVICE["bots"])),
     ], keys=keys)
 
 
