@@ -44,11 +44,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every kept document, with their digests."""
-    ids = bpe.encode_documents(docs.select(F.struct("doc_id", "source", "lang").alias("row"), "text"),
-                               id_col="row")
-    digests = bpe.encoding_digests(ids.select(F.struct("row", "token_ids").alias("row"), "token_ids"),
-                                   id_col="row")
-    return digests.select("row.row.*", "row.token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    rows = docs.select(F.struct("doc_id", "source", "lang").alias("row"), "text")
+    return bpe.encode_documents(rows, id_col="row", digests=True).select(
+        "row.*", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", keep_one_of_each_group),

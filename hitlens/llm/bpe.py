@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, types as T
 from hitlens.llm.batches import pieces, ragged
 
 # Entries of a worker's table of known pieces; when it is full the table starts anew.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 300_000
 # Matrix widths of the length buckets; a longer piece is merged in a row of its own.
 WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
 _NONE = np.int32(2**31 - 1)
@@ -278,69 +278,56 @@ def load(path: str | None = None, pattern: str | None = None) -> ByteBPE:
 
 
 def encode_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                     path: str | None = None, pattern: str | None = None) -> DataFrame:
+                     path: str | None = None, pattern: str | None = None, ids: bool = True,
+                     digests: bool = False) -> DataFrame:
     """Rows of documents -> (id_col, token_ids array<long>, n_tokens); null texts as empty ones.
 
-    ``path`` names a rank file that every executor can read.
+    ``digests`` adds ids_sha256 (ids as little-endian 32-bit numbers) and decoded_sha256 (the
+    bytes decoded from the ids) in the same pass; ``ids=False`` leaves the ids out. ``path`` names
+    a rank file that every executor can read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:
-            for piece in pieces(batch):
-                ids, ends = coder.encode(piece.column("text").to_pylist())
-                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0),
-                     pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64))),
-                     pa.array(np.diff(np.concatenate([[0], ends])).astype(np.int64))],
-                    names=[id_col, "token_ids", "n_tokens"])
-
-    source = df.select(df[id_col], df[text_col].cast("string").alias("text"))
-    schema = T.StructType([df.schema[id_col], T.StructField("token_ids", T.ArrayType(T.LongType())),
-                           T.StructField("n_tokens", T.LongType())])
+            for piece in pieces(batch, "__text"):
+                found, ends = coder.encode(piece.column("__text").to_pylist())
+                edges = np.concatenate([[0], ends]).astype(np.int64)
+                out = [piece.column(0)]
+                if ids:
+                    out.append(pa.ListArray.from_arrays(
+                        pa.array(edges, pa.int32()), pa.array(found.astype(np.int64))))
+                out.append(pa.array(np.diff(edges)))
+                if digests:
+                    parts = [found[a:b] for a, b in zip(edges[:-1], edges[1:])]
+                    out.append(pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest()
+                                         for p in parts], pa.string()))
+                    out.append(pa.array([hashlib.sha256(coder.decode(p)).hexdigest()
+                                         for p in parts], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    source = df.select(df[id_col], df[text_col].cast("string").alias("__text"))
+    schema = T.StructType([
+        df.schema[id_col], *[T.StructField("token_ids", T.ArrayType(T.LongType()))] * ids,
+        T.StructField("n_tokens", T.LongType()),
+        *[T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")] * digests])
     return source.mapInArrow(run, schema)
 
 
-def encoding_digests(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "token_ids",
-                     path: str | None = None, pattern: str | None = None,
-                     decoded: bool = False) -> DataFrame:
-    """(id_col, token ids) -> (id_col, n_tokens, ids_sha256, decoded_sha256[, text])."""
+def decode_documents(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "token_ids",
+                     path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id_col, token ids) -> (id_col, text); null ids as none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:
-            lists = batch.column("ids")
-            values = np.asarray(lists.flatten(), np.int64)
-            ends = np.cumsum(np.asarray(pa.compute.fill_null(
-                pa.compute.list_value_length(lists), 0), np.int64))
-            counts, hashes, plain, texts, start = [], [], [], [], 0
-            for end in ends:
-                ids = values[start:end]
-                text = coder.decode(ids)
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                plain.append(hashlib.sha256(text).hexdigest())
-                if decoded:
-                    texts.append(text.decode(errors="replace"))
-                start = end
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()),
-                      pa.array(plain, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if decoded:
-                arrays.append(pa.array(texts, pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    fields = [df.schema[id_col], T.StructField("n_tokens", T.LongType()),
-              T.StructField("ids_sha256", T.StringType()),
-              T.StructField("decoded_sha256", T.StringType())]
-    if decoded:
-        fields.append(T.StructField("decoded", T.StringType()))
-    return df.select(df[id_col], df[ids_col].alias("ids")).mapInArrow(run, T.StructType(fields))
-
-
-def encode_and_digest(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                      path: str | None = None, pattern: str | None = None) -> DataFrame:
+            texts = [coder.decode(np.array(ids or [], np.int64)).decode(errors="replace")
+                     for ids in batch.column("__ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())],
+                                             names=[id_col, "text"])
+
+    return df.select(df[id_col], df[ids_col].alias("__ids")).mapInArrow(
+        run, T.StructType([df.schema[id_col], T.StructField("text", T.StringType())]))
+
+
+def encode_and_digest(df: DataFrame, **names) -> DataFrame:
     """Documents -> (id_col, n_tokens, ids_sha256, decoded_sha256); null texts as empty ones."""
-    return encoding_digests(
-        encode_documents(df, id_col=id_col, text_col=text_col, path=path, pattern=pattern),
-        id_col=id_col, path=path, pattern=pattern)
+    return encode_documents(df, ids=False, digests=True, **names)

@@ -53,6 +53,8 @@ def test_bpe_equals_tiktoken(spark, documents, empty):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.encode_and_digest(documents).count() == len(TEXTS) + 2
     assert bpe.encode_and_digest(empty).count() == 0
+    back = bpe.decode_documents(bpe.encode_documents(documents)).collect()
+    assert sorted(r.text for r in back) == sorted(r.text or "" for r in documents.collect())
 
 
 def test_bpe_on_random_strings():
