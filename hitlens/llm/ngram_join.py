@@ -251,32 +251,38 @@ class _Block:
         self.component = table.column("component").to_numpy()
         self.blocks = table.column("block").to_numpy()
         self.first, self.second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
-        self.member = None
-        if table.column("groups").null_count < len(table):
-            lists = self._lists(table, "groups")
-            known, number = np.unique(np.concatenate(lists), return_inverse=True)
-            self.member = np.zeros((len(table), len(known)), bool)
-            self.member[np.repeat(np.arange(len(table)), [len(s) for s in lists]), number] = True
-            self.here = int(np.searchsorted(known, table.column("group")[0].as_py()))
-            self.home = table.column("home").to_numpy()
+        self.home = table.column("home").to_numpy()
+        # shingles before the group's that several sets have: such sets meet in an earlier group
+        group, self.shared = table.column("group")[0].as_py(), None
+        if table.column("later")[0].as_py():
+            heads = [s[:np.searchsorted(s, group)] for s in self.sets]
+            number = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            value, at, n = np.unique(np.concatenate(heads), return_inverse=True, return_counts=True)
+            often = n > 1
+            column = np.cumsum(often) - 1
+            self.shared = np.zeros((len(heads), int(often.sum())), bool)
+            mark = often[at]
+            self.shared[number[mark], column[at[mark]]] = True
 
     @staticmethod
     def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
         return [np.asarray(s.values) for chunk in table.column(name).chunks for s in chunk]
 
     def allowed(self, i: int) -> np.ndarray:
-        """Sets that ``i`` meets in this task: not those of its first round's group, and those of
-        several common groups in the first one only."""
-        if self.member is None:
+        """Sets that ``i`` meets in this task: in the second round not those of its first
+        round's group, and those of several common groups in the first one only."""
+        if self.shared is None:
             return np.ones(len(self.classes), bool)
-        ok = (self.member & self.member[i]).argmax(axis=1) == self.here
-        ok &= self.member[:, self.here] & (self.home != self.home[i])
+        ok = self.home != self.home[i]
+        own = np.flatnonzero(self.shared[i])
+        if len(own):
+            ok &= ~self.shared[:, own].any(axis=1)
         return ok & (self.blocks != self.blocks[i]) if self.first != self.second else ok
 
 
 def _links_of(assigned: DataFrame, threshold) -> DataFrame:
     """Links found in each block of rows (group, block, first, second, class, keys, component,
-    groups, home)."""
+    home, later)."""
     def run(table: pa.Table) -> pa.Table:
         block = _Block(table, "keys")
         links = trie_links(block.classes, block.sets, block.component, block.allowed, threshold)
@@ -394,6 +400,13 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     sets = written(chosen.mapInArrow(whole, "class long, keys array<long>"), "sets")
 
+    def beside(places: DataFrame, arrays: DataFrame | None = None) -> DataFrame:
+        """Places with their sets; few places are sent to the sets, many meet them by class."""
+        arrays = sets if arrays is None else arrays
+        places = written(places, f"places-{uuid.uuid4().hex}")
+        small = places.count() <= BROADCAST_ROWS
+        return arrays.join(F.broadcast(places) if small else places, "class")
+
     # first round: every set in its most common group, blocks against pivots
     home = core.groupBy("class").agg(F.max_by(
         F.struct("shingle", "n"), F.struct("n", "shingle")).alias("home")).select(
@@ -401,11 +414,10 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("class"), blocks).cast("int")
     others = F.when(block == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
-    none = F.lit(None).cast("array<long>").alias("groups")
     first = home.select("class", "group", block.alias("block"), F.explode(others).alias("second")).select(
         "class", "group", "block", F.lit(0).alias("first"), "second",
-        F.col("class").alias("component"), none, F.col("class").alias("home"))
-    links = written(_links_of(first.join(sets, "class"), threshold), "links1")
+        F.col("class").alias("component"), F.col("class").alias("home"), F.lit(False).alias("later"))
+    links = written(_links_of(beside(first), threshold), "links1")
 
     # second round: the groups that still hold several components, all blocks against all; the
     # least class a set was linked with in the first round names its component
@@ -423,27 +435,23 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
         "low < high and home1 < home2")
     # groups of the same sets are one
     groups = groups.groupBy("n", "mark", "mark2").agg(F.min("shingle").alias("group"))
-    pairs = labelled.join(groups.select("group", F.col("n").alias("size")),
-                          F.col("shingle") == F.col("group"))
-    per_class = pairs.groupBy("class").agg(
-        F.first("component").alias("component"), F.first("home").alias("home"), F.sort_array(F.collect_list("group")).alias("groups"),
-        F.collect_list(F.struct("group", F.col("size").alias("members"))).alias("all"))
-    placed = per_class.select("class", "component", "home", "groups", F.inline("all"))
+    placed = labelled.select("shingle", "class", "component", "home").join(
+        groups.select("group", F.col("n").alias("members")), F.col("shingle") == F.col("group"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("class"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
         F.least(block, j).alias("first"), F.greatest(block, j).alias("second")))
-    second = written(placed.select("class", "component", "home", "groups", "group",
-                                   block.alias("block"), F.inline(meets)), "second")
+    second = written(placed.select("class", "component", "home", "group", block.alias("block"),
+                                   F.inline(meets), F.lit(True).alias("later")), "second")
     # prefixes tell most pairs apart, so whole sets travel for the few others only
     size = F.size("keys")
     prefixes = sets.select("class", size.cast("long").alias("size"), F.slice(
         "keys", 1, F.least(size, size - F.ceil(size * threshold[0] / threshold[1]).cast("int")
                            + F.greatest(F.lit(1), F.least(F.lit(8), F.floor(size / 8).cast("int")))))
         .alias("prefix"))
-    likely = written(_likely_of(second.join(prefixes, "class"), threshold), "likely")
+    likely = written(_likely_of(beside(second, prefixes), threshold), "likely")
     rest = second.join(likely, ["group", "first", "second", "class"])
-    more = written(_links_of(rest.join(sets, "class"), threshold), "links2")
+    more = written(_links_of(beside(rest), threshold), "links2")
     found = connected_components(links.unionByName(more))
 
     # the smallest id of each component
