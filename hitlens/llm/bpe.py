@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, types as T
 from hitlens.llm.batches import pieces, ragged
 
 # Entries of a worker's table of known pieces; when it is full the table starts anew.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 200_000
+# Text encoded at once: the lists of its words take some twenty times as much memory.
+TEXT_BYTES = 2 << 20
 # Matrix widths of the length buckets; a longer piece is merged in a row of its own.
 WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
 _NONE = np.int32(2**31 - 1)
@@ -289,7 +291,7 @@ def encode_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:
-            for piece in pieces(batch, "__text"):
+            for piece in pieces(batch, "__text", TEXT_BYTES):
                 found, ends = coder.encode(piece.column("__text").to_pylist())
                 edges = np.concatenate([[0], ends]).astype(np.int64)
                 out = [piece.column(0)]
