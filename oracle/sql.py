@@ -334,7 +334,7 @@ def build() -> dict[str, str]:
   (select unnest(generate_series(min(date_trunc('day', datetime)), max(date_trunc('day', datetime)), interval 1 day)) from feat)),
  hours as (select count(*) as n from
   (select unnest(generate_series(min(date_trunc('hour', datetime)), max(date_trunc('hour', datetime)), interval 1 hour)) from feat)),
- some as (select * from one
+ parts as (select * from one
   union all select 'status_breakdown', least(10, count(distinct status)) from feat
   union all select 'top_uris', least(10, count(distinct uri)) from feat
   union all select 'top_user_agents', least(5, count(distinct user_agent)) from feat
@@ -343,7 +343,7 @@ def build() -> dict[str, str]:
   union all select 'suspicious_ips', count(*) from (@suspicious_ips@)
   union all select 'hourly', n from hours union all select 'daily', n from days
   union all select 'forecast', n + 48 from hours union all select 'forecast_next', 24)
- select section, rows::bigint as rows from some""",
+ select section, rows::bigint as rows from parts""",
     }
     sql["report_sections"] = sql["report_sections"].replace("@suspicious_ips@", sql["suspicious_ips"])
     return sql
