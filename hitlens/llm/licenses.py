@@ -1,14 +1,15 @@
 """License notices in documents, found by MinHash and verified by shingle containment.
 
 Words are lower-cased runs of letters and digits, shingles are five words. The shingles of a text are
-taken in overlapping windows of ``WINDOW`` shingles; a band is the least or the greatest hash in a window
-under one of ``HASHES`` hash functions. A template is retrieved where a window and one of the
-template's windows agree in a band. A window shares at least one shingle with a notice inside it
-in ``WINDOW`` windows, and that shingle is a band of a window with the chance ``2 / WINDOW`` for
-each hash function, so that a template with a single shingle in the text is missed with a chance of
-``(1 - 2 / WINDOW) ** (HASHES * WINDOW)``, below 2e-4, and a longer one with far less. Retrieved
-templates are then verified: the share of a template's shingles that the text holds must reach the
-threshold, 0.8 unless given.
+taken in overlapping windows of ``WINDOW`` shingles, which also overhang both ends of the text and hold
+what is there; a band is the least or the greatest hash in a window under one of ``HASHES`` hash
+functions. A template is retrieved where a window and one of the template's windows agree in a band.
+Where a text holds ``WINDOW`` shingles of a template in a row, this is certain, as both have the same
+window; a shingle at an end of the text is a band itself; one further inside is a band of none of its
+windows with the chance ``miss_chance()``, 3e-4 on average over all shingles. Templates of fewer than
+``WINDOW`` shingles would depend on that chance, so each of their shingles is a key as it is and they
+are never missed. Retrieved templates are then verified: the share of a template's shingles that the
+text holds must reach the threshold, 0.8 unless given.
 
 Only built-in expressions run on the documents. Templates are a parameter of bounded size; those of
 fewer than five words are refused. Null and empty texts match nothing; repeated rows each match; an
@@ -18,6 +19,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import product
+from math import comb
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,8 +62,19 @@ TEMPLATES = {
 
 
 def miss_chance(window: int = WINDOW, hashes: int = HASHES, shared: int = 1) -> float:
-    """Bound on the chance to miss a template of which a text holds ``shared`` shingles in a row."""
-    return max(0.0, 1 - 2 / window) ** (hashes * window) if shared <= window else 0.0
+    """Chance that a shingle inside a text is a band of none of the windows that hold it.
+
+    This is so if each of them has a lower and a higher neighbour of it. They share neighbours, so
+    it is counted over all patterns of lower and higher ones, under random hashes. 0 for ``shared``
+    shingles in a row that fill a window.
+    """
+    if shared >= window:
+        return 0.0
+    near = 2 * (window - 1)
+    patterns = [p for p in product((0, 1), repeat=near)
+                if all(0 < sum(p[i:i + window - 1]) < window - 1 for i in range(window))]
+    one = sum(1 / ((near + 1) * comb(near, sum(p))) for p in patterns)
+    return one ** hashes
 
 
 def _with_shingles(df: DataFrame, text: str, k: int) -> DataFrame:
@@ -76,16 +90,22 @@ def _with_shingles(df: DataFrame, text: str, k: int) -> DataFrame:
 
 
 def _with_bands(df: DataFrame, window: int, hashes: int) -> DataFrame:
-    """Add ``_band0`` ...: for each hash function the least and the greatest hash per window."""
+    """Add ``_band0`` ...: for each hash function the least and the greatest hash per window.
+
+    Windows overhang both ends by up to ``window - 1`` shingles.
+    """
     for n in range(hashes):
         order = f"_order{n}"
         df = df.withColumn(order, F.col("_sh") if n == 0 else F.transform(
             "_sh", lambda x: F.xxhash64(F.lit(n), x)))
 
         def windows(pick) -> Column:
-            return F.transform(
+            inside = F.transform(
                 F.sequence(F.lit(0), F.greatest(F.size(order) - window, F.lit(0))),
                 lambda i: pick(F.slice(order, i + 1, window)))
+            ends = [pick(F.slice(order, at, n)) for n in range(1, window) for at in (
+                F.lit(1), F.greatest(F.size(order) - n, F.lit(0)) + 1)]
+            return F.concat(inside, F.array(*ends)) if ends else inside
 
         some = F.size(order) > 0
         none = F.array().cast("array<bigint>")
@@ -123,13 +143,16 @@ def license_matches(df: DataFrame, templates: Mapping[str, str] | None = None, *
         raise ValueError(f"more than {MOST_SHINGLES} shingles of templates")
     # templates of each key, by band: the index of a bounded library
     index = sorted({(n, key, r["template"]) for r in rows for n, b in enumerate(bands)
-                    for key in r[b]})
+                    for key in r[b]}
+                   # and of the shingles of templates that fill no window
+                   | {(len(bands), key, name) for name, own in shingles.items()
+                      if len(own) < window for key in own})
     parts = _with_bands(_with_shingles(df.select(
         df[id_col].alias("_id"), df[text_col].cast("string").alias("_text")), "_text", k),
         window, hashes)
-    keys = [{key for m, key, _ in index if m == n} for n in range(len(bands))]
+    keys = [{key for m, key, _ in index if m == n} for n in range(len(bands) + 1)]
     met = F.concat(*[_tagged(F.array_intersect(b, _literal(keys[n])), n)
-                     for n, b in enumerate(bands)])
+                     for n, b in enumerate([*bands, "_sh"]) if n < len(bands) or keys[n]])
     held = F.array_intersect("_sh", _literal(set().union(*shingles.values())))
     # the row number also keeps the optimizer from moving filters below the arrays, where it
     # would compute them anew for every element

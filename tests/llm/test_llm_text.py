@@ -251,6 +251,29 @@ def test_licences_equal_plain_containment(spark, documents, empty):
         licenses.license_matches(df, {"short": "only four words here"})
 
 
+def test_licences_of_one_shingle_at_any_place(spark):
+    rnd = random.Random(11)
+    notice = {"one": "released under the mit license", "two": "do as you like with it"}
+    say = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for i in range(3000):
+        before, after = ((0, 30), (15, 15), (30, 0), (1, 30), (30, 1), (2, 2))[i % 6]
+        texts.append(" ".join([*say(before), notice["two" if i % 12 > 5 else "one"], *say(after)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.template) for r in licenses.license_matches(df, notice).collect())
+    assert got == [(i, n) for i, t in enumerate(texts) for n in notice if notice[n] in t]
+    # bands alone: shingles at the ends are bands, others but for the chance stated
+    shingled = licenses._with_bands(licenses._with_shingles(df, "text", 5), 3, 3).collect()
+    misses = 0
+    for row in shingled:
+        found = set(row["_band0"]) | set(row["_band1"])
+        assert {row["_sh"][0], row["_sh"][-1]} <= found
+        misses += sum(x not in found for x in row["_sh"][2:-2])
+    inside = sum(len(r["_sh"]) - 4 for r in shingled if len(r["_sh"]) > 4)
+    assert abs(misses / inside - licenses.miss_chance(hashes=1)) < 0.01
+    assert licenses.miss_chance(hashes=1) == pytest.approx(1 / 15)
+
+
 # syncmers
 
 def test_fingerprints_against_brute_force(spark, documents):
