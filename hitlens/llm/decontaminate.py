@@ -4,9 +4,12 @@ Items and documents are sequences of words (runs of letters and digits, A-Z as a
 walk turns a sequence into one of fixed length: step ``t`` writes the current word and goes on to
 the next one if a random bit of (t, word) says so, so that sequences at a small edit distance meet again
 after an edit and differ in few places. Bit-sampling LSH takes a few of the places as a key.
-Documents are walked from windows at every ``STRIDE`` words, items from every word, and several
-walks and samples are tried, so that a passage has many chances to meet its item. Each meeting is then
-verified by the exact edit distance between the item and the best stretch of the document there.
+Documents are walked from windows at every ``STRIDE`` words of each text, items from every word, and
+several walks and samples are tried, so that a passage has many chances to meet its item. Items that
+allow one edit at most have too few places for that. They are met exactly, at every word: two sequences
+are one edit apart only if they are equal once a word is left out of either or both, so that the
+hashes of all such remainders are keys and no passage is lost. Each meeting is then verified by the
+exact edit distance between the item and the best stretch of the document there.
 
 Items have to be bounded to be sent to the tasks, so the benchmark is taken in blocks of bounded
 size. A null text counts as empty. Items of fewer than ``LEAST_WORDS`` words match nothing; equal
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from hitlens.llm.batches import pieces
-from hitlens.llm.words import multipliers, words
+from hitlens.llm.words import mix, multipliers, words
 
 # Greatest edit distance as a share of the item's words; least words of an item.
 SHARE, LEAST_WORDS = 0.2, 5
@@ -62,12 +65,27 @@ def walk_keys(stream: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[np
         yield from keys
 
 
+def run_keys(stream: np.ndarray, starts: np.ndarray, length: int, left_out: int | None = None
+             ) -> np.ndarray:
+    """Keys of runs of ``length`` words, or of one more without the word ``left_out``."""
+    key = np.full(len(starts), length, np.uint64)
+    for place, factor in enumerate(multipliers(64, 500)[:length]):
+        key += stream[starts + place + (left_out is not None and place >= left_out)] * factor
+    return mix(key)
+
+
 def padded(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all texts in one stream with empty words (0) after each; starts of the texts."""
-    at = np.arange(len(hashes)) + np.repeat(np.arange(len(first) - 1) * _PAD, np.diff(first))
-    stream = np.zeros(len(hashes) + len(first) * _PAD, np.uint64)
-    stream[at] = hashes
-    return stream, first[:-1] + np.arange(len(first) - 1) * _PAD
+    """Words of all texts in one stream with empty words (0) after each; starts of the texts.
+
+    All starts are multiples of four, so that strides and merged places do not depend on the texts
+    before.
+    """
+    lengths = np.diff(first)
+    room = (lengths + _PAD + 3) // 4 * 4
+    starts = np.cumsum(room) - room
+    stream = np.zeros(int(room.sum()) + _PAD, np.uint64)
+    stream[np.arange(len(hashes)) + np.repeat(starts - first[:-1], lengths)] = hashes
+    return stream, starts
 
 
 def edit_distances(item: np.ndarray, regions: np.ndarray) -> np.ndarray:
@@ -100,7 +118,7 @@ class Index:
         for number, steps in enumerate(STEPS):
             own = [i for i, item in enumerate(self.items) if len(item) >= steps
                    and (number == 0 or len(item) < 2 * STEPS[number - 1])
-                   and len(item) >= LEAST_WORDS]
+                   and int(SHARE * len(item)) > 1]
             if not own:
                 continue
             reach = [len(self.items[i]) - steps + 1 for i in own]
@@ -108,10 +126,31 @@ class Index:
             offset = np.concatenate([np.arange(r) for r in reach])
             self.tables[steps] = []
             for keys in walk_keys(stream, starts[item] + offset, steps):
-                order = np.argsort(keys, kind="stable")
-                bitmap = np.zeros(1 << 20, bool)
-                bitmap[(keys >> _U(44)).astype(np.int64)] = True
-                self.tables[steps].append((keys[order], item[order], offset[order], bitmap))
+                self.tables[steps].append(self._table(keys, item, offset))
+        # runs by their number of words: short items whole, and with each word left out
+        runs: dict[int, list[tuple]] = {}
+        self.edited: set[int] = set()
+        for length in np.unique(self.lengths).tolist():
+            allowed = int(SHARE * length)
+            if length < LEAST_WORDS or allowed > 1:
+                continue
+            own = np.flatnonzero(self.lengths == length)
+            runs.setdefault(length, []).append((run_keys(stream, starts[own], length), own))
+            if allowed:
+                self.edited |= {length - 1, length}
+                runs.setdefault(length - 1, []).extend(
+                    (run_keys(stream, starts[own], length - 1, j), own) for j in range(length))
+        self.runs = {}
+        for length, parts in runs.items():
+            keys, item = (np.concatenate(x) for x in zip(*parts))
+            self.runs[length] = self._table(keys, item, np.zeros(len(item), np.int64))
+
+    @staticmethod
+    def _table(keys, item, offset) -> tuple:
+        order = np.argsort(keys, kind="stable")
+        bitmap = np.zeros(1 << 20, bool)
+        bitmap[(keys >> _U(44)).astype(np.int64)] = True
+        return keys[order], item[order], offset[order], bitmap
 
     def _slot(self, word: np.ndarray, item: np.ndarray) -> np.ndarray:
         mixed = (word ^ (item.astype(np.uint64) * _U(0x9E3779B97F4A7C15))) * _U(0xD6E8FEB86659FD93)
@@ -133,23 +172,33 @@ class Index:
             keep[part:part + (1 << 14)] = known.sum(axis=1) >= length - allowed
         return np.flatnonzero(keep)
 
+    def _lookups(self, stream) -> Iterator[tuple]:
+        """(keys, places they begin at, table) of all tables."""
+        at = np.flatnonzero(stream)
+        starts = at[at % STRIDE == 0]
+        for steps, tables in self.tables.items():
+            for keys, table in zip(walk_keys(stream, starts, steps), tables):
+                yield keys, starts, table
+        for length, table in self.runs.items():
+            yield run_keys(stream, at, length), at, table
+            # without the first or the last word it would be a run again
+            for j in range(1, length) if length in self.edited else ():
+                yield run_keys(stream, at, length, j), at, table
+
     def meetings(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, place in the stream where it would begin), without repetition, if likely."""
-        starts = np.arange(0, max(0, len(stream) - _PAD), STRIDE)
-        starts = starts[stream[starts] != 0]
         items, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for steps, tables in self.tables.items():
-            for keys, (known, item, offset, bitmap) in zip(walk_keys(stream, starts, steps), tables):
-                maybe = np.flatnonzero(bitmap[(keys >> _U(44)).astype(np.int64)])
-                low = np.searchsorted(known, keys[maybe], "left")
-                count = np.searchsorted(known, keys[maybe], "right") - low
-                hit = np.flatnonzero(count)
-                if len(hit):
-                    of = np.repeat(hit, count[hit])
-                    entry = low[of] + (np.arange(len(of)) - np.repeat(
-                        np.cumsum(count[hit]) - count[hit], count[hit]))
-                    items.append(item[entry])
-                    places.append(starts[maybe[of]] - offset[entry])
+        for keys, starts, (known, item, offset, bitmap) in self._lookups(stream):
+            maybe = np.flatnonzero(bitmap[(keys >> _U(44)).astype(np.int64)])
+            low = np.searchsorted(known, keys[maybe], "left")
+            count = np.searchsorted(known, keys[maybe], "right") - low
+            hit = np.flatnonzero(count)
+            if len(hit):
+                of = np.repeat(hit, count[hit])
+                entry = low[of] + (np.arange(len(of)) - np.repeat(
+                    np.cumsum(count[hit]) - count[hit], count[hit]))
+                items.append(item[entry])
+                places.append(starts[maybe[of]] - offset[entry])
         items, places = np.concatenate(items), np.concatenate(places)
         if not len(items):
             return items, places

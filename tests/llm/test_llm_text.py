@@ -225,6 +225,30 @@ def test_decontamination(spark, documents, empty):
     assert decontaminate.clean_rows(empty, bench).columns == empty.columns
 
 
+def test_decontamination_recall_of_short_items():
+    rnd = random.Random(8)
+    say = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    items = [say(5 + i % 5) for i in range(400)]
+    index = decontaminate.Index(list(range(400)), [" ".join(item) for item in items])
+    for edit in ("none", "changed", "added", "left out"):
+        for before in (0, 1, 10, 11):
+            texts = []
+            for item in items:
+                text, at = list(item), rnd.randrange(len(item))
+                if edit != "none":
+                    text[at:at + (edit != "added")] = [] if edit == "left out" else ["other"]
+                texts.append(" ".join([*say(before), *text, *say(before % 3)]).encode())
+            found = index.find(texts)
+            assert {f[:2] for f in found} == {(i, i) for i in range(400)}
+            assert max(f[2] for f in found) == (edit != "none")
+    # what is found in a text does not depend on the texts before it
+    texts = [" ".join([*say(9), *items[0], *items[4][:5]]).encode()] + [
+        " ".join(say(12)[:i % 4] + item[:2] + ["x"] + item[3:]).encode()
+        for i, item in enumerate(items[:40])]
+    alone = [(i, *f[1:]) for i, t in enumerate(texts) for f in index.find([t])]
+    assert index.find(texts) == alone
+
+
 # licences
 
 def test_licences_equal_plain_containment(spark, documents, empty):
