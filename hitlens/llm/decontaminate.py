@@ -1,6 +1,7 @@
 """Benchmark passages in documents, also with some words changed.
 
-Items and documents are sequences of words (runs of letters and digits, A-Z as a-z). The CGK
+Items and documents are sequences of words (runs of letters and digits, A-Z as a-z; scripts without
+spaces by character, their signs separate like ASCII ones). The CGK
 walk turns a sequence into one of fixed length: step ``t`` writes the current word and goes on to
 the next one if a random bit of (t, word) says so, so that sequences at a small edit distance meet again
 after an edit and differ in few places. Bit-sampling LSH takes a few of the places as a key.
@@ -8,16 +9,17 @@ Documents are walked from windows at every ``STRIDE`` words of each text, items
 several walks and samples are tried, so that a passage has many chances to meet its item. Items that
 allow one edit at most have too few places for that. They are met exactly, at every word: two sequences
 are one edit apart only if they are equal once a word is left out of either or both, so that the
-hashes of all such remainders are keys and no passage is lost. Each meeting is then verified by the
+hashes of all such remainders are keys and no passage is lost; items of fewer than five words, which
+allow no edit, are keys as a whole. Each meeting is then verified by the
 exact edit distance between the item and the best stretch of the document there.
 
 Items have to be bounded to be sent to the tasks, so the benchmark is taken in blocks of bounded
-size. A null text counts as empty. Items of fewer than ``LEAST_WORDS`` words match nothing; equal
-items all match; repeated rows each report their matches; empty tables give an empty result.
+size. A null text counts as empty. Items without a word match nothing; equal items all match; repeated rows each report their matches; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,13 @@ from hitlens.llm.batches import pieces
 from hitlens.llm.words import mix, multipliers, words
 
 # Greatest edit distance as a share of the item's words; least words of an item.
-SHARE, LEAST_WORDS = 0.2, 5
+SHARE, LEAST_WORDS = 0.2, 1
+# Letters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han, Hangul; their signs.
+_CHARACTER = re.compile(
+    "([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u30fa\u30fc-\u30ff\u3400-\u4dbf"
+    "\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+_SIGN = re.compile(
+    "[\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 # Walks, samples per walk, words in a sample, steps of a walk by least item length, stride.
 WALKS, SAMPLES, SAMPLED, STRIDE = 4, 2, 6, 2
 STEPS = (16, 8, 5)
@@ -40,6 +48,13 @@ _PAD = 16
 _U = np.uint64
 
 
+def cut(text: str | None) -> bytes:
+    """The text with spaces around each character of a script without them."""
+    if text is None or text.isascii():
+        return (text or "").encode()
+    return _SIGN.sub(" ", _CHARACTER.sub(r" \1 ", text)).encode()
+
+
 def sampled_places(steps: int, walk: int, sample: int) -> list[int]:
     """Places of a walk that make a key; the first sample has close ones and so spans few words."""
     rng = np.random.default_rng([SEED, steps, walk, sample])
@@ -104,7 +119,7 @@ class Index:
     """Keys of a block of benchmark items."""
 
     def __init__(self, item_ids: list, texts: list[str | None]):
-        hashes, first = words([(t or "").encode() for t in texts], spaces_only=False)
+        hashes, first = words([cut(t) for t in texts], spaces_only=False)
         self.ids = item_ids
         self.items = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
         stream, starts = padded(hashes, first)
@@ -262,8 +277,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in pieces(batch, "__text", 2 << 20):
-                    found = index.find([(t or "").encode()
-                                        for t in piece.column("__text").to_pylist()])
+                    found = index.find([cut(t) for t in piece.column("__text").to_pylist()])
                     if not found:
                         continue
                     text, item, edits, near = map(list, zip(*found))
@@ -289,8 +303,7 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in pieces(batch, text_col, 2 << 20):
-                    found = index.find([(t or "").encode()
-                                        for t in piece.column(text_col).to_pylist()])
+                    found = index.find([cut(t) for t in piece.column(text_col).to_pylist()])
                     good = np.ones(piece.num_rows, bool)
                     good[[f[0] for f in found]] = False
                     yield piece.filter(pa.array(good))

@@ -249,6 +249,19 @@ def test_decontamination_recall_of_short_items():
     assert index.find(texts) == alone
 
 
+def test_decontamination_of_few_words_and_scripts_without_spaces(spark):
+    items = ["日本の首都は東京です。", "富士山", "ประเทศไทย มีเมืองหลวงคือกรุงเทพ", "Quiet harbour", "zebra",
+             "what is it then", "  ", "!"]
+    texts = ["昔々、日本の首都は東京ですと聞いた", "日本の首郡は東京です", "美しい富士山を見た", "富士川の山", "ถาม ประเทศไทยมีเมืองหลวงคือกรุงเทพ ตอบ",
+             "A QUIET, harbour.", "quiet old harbour", "zebras", "one zebra", "so what is it then", "is it then what"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(0, 0, 0), (1, 0, 1), (2, 1, 0), (4, 2, 0), (5, 3, 0), (8, 4, 0), (9, 5, 0)}
+    clean = [r.doc_id for r in decontaminate.clean_rows(df, bench).collect()]
+    assert sorted(clean) == [3, 6, 7, 10]
+
+
 # licences
 
 def test_licences_equal_plain_containment(spark, documents, empty):
