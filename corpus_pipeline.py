@@ -21,13 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each group linked by the n-gram join."""
-    groups = ngram_join.similarity_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return rows.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop(
-        "_same")
+    """The row of the smallest id in each group linked by the n-gram join, null ids last.
+
+    Rows are told apart by id and text, so that ids may repeat or be null.
+    """
+    rows = docs.withColumn("_row", F.struct(
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("text")))
+    groups = ngram_join.similarity_components(rows, id_col="_row")
+    kept = groups.where(F.col("_row").eqNullSafe(F.col("component_id"))).select(
+        F.col("_row").alias("_kept")).distinct()
+    return rows.join(kept, F.col("_row").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(
+        ["_row"]).drop("_row")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,3 +206,16 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, SMALL)
         assert sorted(r.doc_id for r in frame.collect()) == left
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(0, b), (1, a), (1, b), (None, c), (None, c + " more"), (5, c), (None, d),
+            (None, d + " more"), (None, ""), (None, None), (0, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.keep_one_of_each_group(spark, docs, SMALL).collect()
+    got = [(r.doc_id, r.text) for r in left]
+    ends = [g for g in got if g[1] in (d, d + " more")]
+    assert len(ends) == 1 and ends[0][0] is None
+    assert sorted(map(str, got)) == sorted(map(str, [
+        (0, b), (1, a), (5, c), *ends, (None, ""), (None, None)]))
