@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitlens.llm import (
-    bpe, chat, decontaminate, licenses, ngram_join, pii, sharding, syncmers, token_counts, toxicity)
+    alignment, bpe, chat, decontaminate, licenses, manifest, ngram_join, pii, quality, sharding, syncmers,
+    token_counts, toxicity)
 from hitlens.session import shared_folder
 
 SHARDS = 16
@@ -67,6 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _documents(s, d), s.read.parquet(f"{d}/benchmark.parquet")),
         "op9_token_counts": _token_counts,
         "op8_byte_bpe": lambda s, d: bpe.encode_and_digest(_documents(s, d)),
+        "op11_quality_rules": lambda s, d: quality.judged(_documents(s, d)),
+        "op12_merkle_manifest": lambda s, d: manifest.tampered_proofs(_documents(s, d)),
+        "op13_alignment": lambda s, d: alignment.aligned_digests(_documents(s, d)),
     }
 
 
@@ -74,4 +78,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_licenses": licenses.oracle(),
         "op9_token_counts": token_counts.ORACLE,
+        "op11_quality_rules": quality.oracle(),
+        "op12_merkle_manifest": manifest.ORACLE,
     }
