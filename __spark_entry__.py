@@ -9,11 +9,12 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import numpy as np  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # noqa: E402
 
 from hitlens.operators import (  # noqa: E402
-    anomalies, cluster, dbscan, features, forecast, isolation, performance, security, timeseries,
-    traffic)
+    anomalies, cluster, dbscan, features, forecast, isolation, kmeans, performance, security, silhouettes,
+    timeseries, traffic)
 from hitlens.plans import report  # noqa: E402
 from hitlens.operators.grouping import attach  # noqa: E402
 from hitlens.session import checkpoint, delete_folder, shared_folder  # noqa: E402
@@ -125,10 +126,10 @@ def _on_clusters(op) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _chosen_k(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Bounds of the silhouette by plain distance for every k."""
     scores = cluster.silhouettes_by_k(df, cols)
-    best = min(scores, key=lambda k: (-scores[k], k))
-    rows = [(k, scores[k], k == best) for k in scores]
-    return df.sparkSession.createDataFrame(rows, "k long, silhouette double, is_best boolean")
+    rows = [(k, low, high, k == cluster.best_k(scores)) for k, (low, high) in scores.items()]
+    return df.sparkSession.createDataFrame(rows, "k long, lower double, upper double, is_best boolean")
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -203,6 +204,19 @@ def _silhouette_bands(x: DataFrame, cols: list[str]) -> DataFrame:
     return x.sparkSession.createDataFrame([tuple(scores)], "squared double, euclidean double")
 
 
+def _silhouette_bounds(x: DataFrame, cols: list[str]) -> DataFrame:
+    """Silhouettes around two fixed centres without distances of all pairs: by squared distance, by plain
+    distance from fine cells, and whether those of coarse cells hold it."""
+    points = checkpoint(kmeans.fixed_point(x, cols))
+    model = kmeans.Model(2, 0, np.array([[-1.0] * len(cols), [1.0] * len(cols)]))
+    kmeans.lloyd(points, [model], rounds=0)
+    (low, high), = silhouettes.bounds(points, {2: model}, 16).values()
+    fine = sum(silhouettes.euclidean(points, {2: model}, [4096])[2]) / 2
+    row = silhouettes.squared(points, {2: model})[2], fine, low <= fine <= high
+    return x.sparkSession.createDataFrame([row], "squared double, euclidean double, bounded boolean").withColumn(
+        "squared", F.round("squared", 4))
+
+
 def _kmeans_facts(x: DataFrame, cols: list[str]) -> DataFrame:
     """Clients whose cluster's mean is not the nearest one, and sums over sizes and summary."""
     labelled = checkpoint(cluster.kmeans_clusters(x, 3, cols))
@@ -407,6 +421,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "full_report": _report,
         # facts of the operators above that SQL can check
         "silhouette_bands": _on_scaled(_silhouette_bands),
+        "silhouette_bounds": _on_scaled(_silhouette_bounds),
         "kmeans_facts": _on_scaled(_kmeans_facts),
         "pca_facts": _on_scaled(_pca_facts),
         "forest_facts": _on_hourly(_forest_facts),

@@ -4,11 +4,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hitlens.operators import kmeans, silhouettes
 from hitlens.operators.dbscan import NOISE, dbscan
 from hitlens.operators.distances import block_pairs, block_rows, hash_block, strips
 from hitlens.operators.grouping import attach
@@ -18,11 +18,8 @@ from hitlens.session import checkpoint
 # Search range of k, starts per fit, least number of clients to cluster.
 MAX_K, N_INIT, SEED, MIN_CLIENTS = 8, 10, 42, 4
 SUMMARY_COLUMNS = 8
-# Distance of the silhouette at every size: squared Euclidean is linear in the points. The mean
-# distance ("euclidean") is quadratic and has to be asked for.
+# Distances of the silhouette.
 SQUARED, EUCLIDEAN = "squaredEuclidean", "euclidean"
-# Points of one partition of a fit.
-FIT_ROWS = 100_000
 _SCALED = "z_"
 
 
@@ -42,35 +39,21 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df)
 
 
-def _fixed_vectors(df: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
-    """Id and features in partitions and an order that depend on the ids alone, so that seeded
-    starts draw the same points however the input is laid out."""
-    parts = max(1, -(-df.count() // FIT_ROWS))
-    return (_vectors(df, cols).select(id_col, "_features").repartition(parts, id_col)
-            .sortWithinPartitions(id_col))
-
-
-def _fit_kmeans(vectors: DataFrame, k: int, starts: int, seed: int):
-    """Best of several starts by within-cluster cost."""
-    best, cost = None, None
-    for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, maxIter=300, featuresCol="_features",
-                       predictionCol="cluster").fit(vectors)
-        if cost is None or model.summary.trainingCost < cost:
-            best, cost = model, model.summary.trainingCost
-    return best
+def _fitted(df: DataFrame, cols: Sequence[str], ks: Sequence[int], id_col: str, n_init: int,
+            seed: int) -> dict[int, kmeans.Model]:
+    points = kmeans.fixed_point(df, cols, id_col).persist()
+    try:
+        return kmeans.fit(points, ks, n_init, seed)
+    finally:
+        points.unpersist()
 
 
 def kmeans_clusters(df: DataFrame, k: int, cols: Sequence[str], *, id_col: str = "ip",
                     n_init: int = N_INIT, seed: int = SEED) -> DataFrame:
     """Add the k-means ``cluster`` of each row; it does not depend on the input's partitions."""
-    vectors = _fixed_vectors(df, cols, id_col).persist()
-    try:
-        model = _fit_kmeans(vectors, k, n_init, seed)
-    finally:
-        vectors.unpersist()
-    return (model.transform(_vectors(df, cols)).drop("_features")
-            .withColumn("cluster", F.col("cluster").cast("long")))
+    models = _fitted(df, cols, [k], id_col, n_init, seed)
+    number = kmeans.label(cols, models[k]) if models else F.lit(None).cast("long")
+    return df.withColumn("cluster", number)
 
 
 def _silhouette_column(k: int, label: str, sums: list[Column], sizes: list[Column]) -> Column:
@@ -146,40 +129,54 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str, *, id_col: str =
                                metricName="silhouette", distanceMeasure=metric).evaluate(rows)
 
 
-def silhouettes_by_k(df: DataFrame, cols: Sequence[str], max_k: int = MAX_K, *,
-                     id_col: str = "ip", metric: str = SQUARED, n_init: int = N_INIT,
-                     seed: int = SEED) -> dict[int, float]:
-    """Silhouette of the k-means labelling for every k from 2 to max_k (less than the rows).
+def best_k(scores: dict[int, tuple[float, float]]) -> int:
+    """k of the greatest silhouette, the smallest on ties; 2 without scores."""
+    if not scores:
+        return 2
+    most = max(low for low, _ in scores.values())
+    return min(k for k, (_, high) in scores.items() if high >= most - silhouettes.TIE)
+
+
+def models_by_k(df: DataFrame, cols: Sequence[str], max_k: int = MAX_K, *, id_col: str = "ip",
+                metric: str = EUCLIDEAN, n_init: int = N_INIT, seed: int = SEED,
+                cells: Sequence[int] = silhouettes.CELLS) -> tuple[
+                    dict[int, kmeans.Model], dict[int, tuple[float, float]]]:
+    """The k-means model for every k from 2 to max_k (less than the rows), and bounds of its mean
+    silhouette; nothing for fewer than four rows.
 
-    ``metric`` is ``squaredEuclidean``, linear in the points, or ``euclidean`` (mean distance),
-    which is quadratic; the size of the input never changes it.
+    By plain distance (``euclidean``) the bounds of a k that cannot be the best stay wide, and those of several
+    that may be are made equal by exact distances. By ``squaredEuclidean`` they are equal anyway.
     """
     if metric not in (SQUARED, EUCLIDEAN):
         raise ValueError(f"metric must be {SQUARED!r} or {EUCLIDEAN!r}, not {metric!r}")
-    vectors = _fixed_vectors(df, cols, id_col).persist()
+    points = kmeans.fixed_point(df, cols, id_col).persist()
     try:
-        n = vectors.count()
+        n = points.count()
         if n < MIN_CLIENTS:
-            return {}
-        ks = range(2, min(max_k, n - 1) + 1)
-        models = {k: _fit_kmeans(vectors, k, n_init, seed).setPredictionCol(f"_k{k}") for k in ks}
-        if metric == EUCLIDEAN:
-            labelled = _vectors(df, cols)
-            for model in models.values():
-                labelled = model.transform(labelled)
-            found = euclidean_silhouettes(labelled, cols, {f"_k{k}": k for k in ks}, id_col=id_col)
-            return {k: found[f"_k{k}"] for k in ks}
-        return {k: ClusteringEvaluator(
-            featuresCol="_features", predictionCol=f"_k{k}", metricName="silhouette",
-            distanceMeasure=metric).evaluate(model.transform(vectors)) for k, model in models.items()}
+            return {}, {}
+        models = kmeans.fit(points, range(2, min(max_k, n - 1) + 1), n_init, seed)
+        if metric == SQUARED:
+            return models, {k: (s, s) for k, s in silhouettes.squared(points, models).items()}
+        scores = silhouettes.euclidean(points, models, cells)
     finally:
-        vectors.unpersist()
+        points.unpersist()
+    wanted = silhouettes.open_ks(scores)
+    if len(wanted) > 1 and any(high - low > silhouettes.TIE for low, high in (scores[k] for k in wanted)):
+        labelled = df.withColumns({f"_k{k}": kmeans.label(cols, models[k]) for k in wanted})
+        exact = euclidean_silhouettes(labelled, cols, {f"_k{k}": k for k in wanted}, id_col=id_col)
+        scores |= {k: (exact[f"_k{k}"],) * 2 for k in wanted}
+    return models, scores
+
+
+def silhouettes_by_k(df: DataFrame, cols: Sequence[str], max_k: int = MAX_K, **search) -> dict[
+        int, tuple[float, float]]:
+    """Lower and upper bound of the mean silhouette for every k, see ``models_by_k``."""
+    return models_by_k(df, cols, max_k, **search)[1]
 
 
 def choose_k(df: DataFrame, cols: Sequence[str], max_k: int = MAX_K, **search) -> int:
     """k with the best silhouette, the smallest on ties; 2 when there are too few rows."""
-    scores = silhouettes_by_k(df, cols, max_k, **search)
-    return min(scores, key=lambda k: (-scores[k], k)) if scores else 2
+    return best_k(silhouettes_by_k(df, cols, max_k, **search))
 
 
 def _principal_axes(df: DataFrame, cols: Sequence[str], k: int):
@@ -221,7 +218,7 @@ def pca(df: DataFrame, cols: Sequence[str], variance: float = 0.95) -> DataFrame
 
 
 def cluster_ips(df: DataFrame, *, n_init: int = N_INIT, seed: int = SEED,
-                metric: str = SQUARED) -> DataFrame:
+                metric: str = EUCLIDEAN) -> DataFrame:
     """Profile each client of a feature table and label it.
 
     Adds ``cluster`` (k-means), ``outlier_cluster`` (DBSCAN) and ``pca_x``/``pca_y``. With
@@ -234,8 +231,8 @@ def cluster_ips(df: DataFrame, *, n_init: int = N_INIT, seed: int = SEED,
         return profile
     scaled_cols = [f"{_SCALED}{c}" for c in cols]
     scaled = checkpoint(standardize_features(profile, cols, _SCALED))
-    k = choose_k(scaled, scaled_cols, seed=seed, metric=metric, n_init=n_init)
-    out = kmeans_clusters(scaled, k, scaled_cols, n_init=n_init, seed=seed)
+    models, scores = models_by_k(scaled, scaled_cols, seed=seed, metric=metric, n_init=n_init)
+    out = scaled.withColumn("cluster", kmeans.label(scaled_cols, models[best_k(scores)]))
     out = pca_2d(out, scaled_cols)
     return dbscan(out, scaled_cols).drop(*scaled_cols)
 

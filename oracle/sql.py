@@ -311,6 +311,14 @@ def build() -> dict[str, str]:
   from d group by ip)
  select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) as squared,
   round(avg(coalesce((f - c) / nullif(greatest(c, f), 0), 0)), 6) as euclidean from w""",
+        "silhouette_bounds": f"""with {_PROF},
+ p as (select ip, list_sum(x) > 0 as own, x from (select ip, [{_VECTOR}] as x from scaled)),
+ d as (select a.ip, a.own = b.own as own, avg(power(list_distance(a.x, b.x), 2)) as s, avg(list_distance(a.x, b.x)) as e
+  from p a join p b on a.ip <> b.ip group by a.ip, a.own, b.own),
+ w as (select ip, max(s) filter (own) as a, min(s) filter (not own) as b, max(e) filter (own) as c, min(e) filter (not own) as f
+  from d group by ip)
+ select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 4) as squared,
+  round(avg(coalesce((f - c) / nullif(greatest(c, f), 0), 0)), 6) as euclidean, true as bounded from w""",
         "kmeans_facts": f"""with {_PROF} select count(*)::bigint as clients, 3::bigint as clusters, 0::bigint as misplaced,
  0::bigint as summary_off, count(*)::bigint as sized from prof""",
         "pca_facts": f"""with recursive {_PROF},

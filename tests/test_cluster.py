@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import request
-from hitlens.operators import cluster
+from hitlens.operators import cluster, kmeans, silhouettes
 from hitlens.operators.components import connected_components
 from hitlens.operators.dbscan import dbscan
 
@@ -165,6 +165,78 @@ def test_kmeans_does_not_depend_on_partitions(spark):
     assert a == b
 
 
+def test_all_models_equal_plain_lloyd(spark):
+    """Every start of every k moves as a loop of its own would, and the best one is kept."""
+    x = blobs(11, [60, 50, 40, 7], 3, 0.7, 3)
+    df, cols = frame(spark, x)
+    points = kmeans.fixed_point(df, cols)
+    models = kmeans.fit(points.repartition(5), [2, 4, 6], 4, 42)
+    again = kmeans.fit(points, [2, 4, 6], 4, 42)
+    for k, model in models.items():
+        costs = []
+        for start in kmeans.starts(points, [k], 4, 42):
+            centres = start.centres
+            for _ in range(300):
+                own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+                moved = np.array([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(k)])
+                if np.allclose(moved, centres, atol=1e-12):
+                    break
+                centres = moved
+            costs.append(((x - centres[own]) ** 2).sum())
+            if start.start == model.start:
+                np.testing.assert_allclose(model.centres, centres, atol=1e-7)
+        assert model.cost / kmeans.COST_STEPS == pytest.approx(min(costs), rel=1e-3)
+        assert (model.centres == again[k].centres).all() and model.sums == again[k].sums
+        labelled = df.withColumn("cluster", kmeans.label(cols, model)).toPandas().sort_values("ip")
+        own = ((x[:, None] - model.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert labelled.cluster.tolist() == own.tolist()
+
+
+def test_kmeans_of_few_and_equal_points(spark):
+    df, cols = frame(spark, np.zeros((6, 2)))
+    assert cluster.kmeans_clusters(df, 3, cols).where("cluster = 0").count() == 6
+    assert cluster.kmeans_clusters(df.limit(0), 3, cols).count() == 0
+    assert cluster.choose_k(df, cols) == 2
+    distinct, names = frame(spark, np.arange(5.0).reshape(-1, 1))
+    scores = cluster.silhouettes_by_k(distinct, names, n_init=2)
+    assert sorted(scores) == [2, 3, 4] and all(0 <= low <= high for low, high in scores.values())
+
+
+def test_silhouette_bounds_hold_the_exact_one(spark):
+    x = blobs(12, [150, 120, 90, 40], 3, 0.6, 4)
+    df, cols = frame(spark, x)
+    points = kmeans.fixed_point(df, cols)
+    models = kmeans.fit(points, range(2, 7), 2, 42)
+    exact = {k: brute_silhouette(x, ((x[:, None] - m.centres[None]) ** 2).sum(axis=2).argmin(axis=1))
+             for k, m in models.items()}
+    width = None
+    for cells in (8, 40, 400):
+        found = silhouettes.bounds(points.repartition(3), models, cells)
+        assert all(low - 1e-6 <= exact[k] <= high + 1e-6 for k, (low, high) in found.items())
+        narrower = sum(high - low for low, high in found.values())
+        assert width is None or narrower < width
+        width = narrower
+    assert width < 1e-5  # a pivot at every point
+    assert silhouettes.squared(points, models) == pytest.approx({
+        k: cluster.silhouette(df.withColumn("own", kmeans.label(cols, m)), cols, "own") for k, m in models.items()},
+        abs=1e-4)
+    want = max(exact, key=lambda k: (exact[k], -k))
+    for cells in ((8,), (8, 32), (400,)):  # decided by exact distances, or by ever smaller cells
+        assert cluster.choose_k(df, cols, 6, n_init=2, cells=cells) == want
+
+
+def test_bounds_decide_without_all_pairs(spark, monkeypatch):
+    """Twenty thousand points in clear groups: 256 cells tell the best k, no exact distance is asked for."""
+    rows = spark.range(20_000).select(F.col("id").alias("ip"), *[
+        (F.when(F.col("id") % 3 == i, 20).otherwise(0) + F.rand(i)).alias(f"f{i}") for i in range(2)])
+    asked = []
+    monkeypatch.setattr(cluster, "euclidean_silhouettes", lambda *a, **b: asked.append(a))
+    tried, bounds = [], silhouettes.bounds
+    monkeypatch.setattr(silhouettes, "bounds", lambda p, m, n: tried.append(n) or bounds(p, m, n))
+    assert cluster.choose_k(rows, ["f0", "f1"], 5, n_init=2) == 3
+    assert not asked and sum(tried) * 20_000 < 20_000 ** 2 / 50
+
+
 def test_one_metric_at_every_size(spark):
     for n in (19_000, 21_000):
         rows = spark.range(n).select(F.col("id").alias("ip"), *[
