@@ -60,6 +60,35 @@ def test_dbscan_many_copies_of_one_point(spark):
     assert out.outlier_cluster.tolist() == brute_dbscan(x, 0.5, 5).tolist()
 
 
+@pytest.mark.parametrize("seed,d,block", [(20, 1, 50), (21, 2, 60), (22, 2, 4000), (23, 3, 80)])
+def test_dbscan_dense_cells_match_brute_force(spark, seed, d, block):
+    """Crowded blobs at distances around eps, thin bridges, and single points at their rims."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.uniform(0, 1.2, (300, d)), rng.uniform(0, 0.6, (150, d)) + ([1.62] + [0.0] * (d - 1)),
+             rng.uniform(0, 0.4, (100, d)) + ([2.75] + [0.3] * (d - 1)),
+             np.linspace(0, 1, 9)[:, None] * np.ones(d) * 3 + 1.0, rng.uniform(-2, 6, (40, d)),
+             np.repeat(rng.uniform(4, 5, (2, d)), 6, axis=0)]
+    x = np.concatenate(parts)
+    x = x[rng.permutation(len(x))]
+    df, cols = frame(spark, x)
+    out = dbscan(df, cols, block=block).toPandas().sort_values("ip")
+    assert out.outlier_cluster.tolist() == brute_dbscan(x, 0.5, 5).tolist()
+
+
+def test_dbscan_of_a_large_blob(spark, monkeypatch):
+    """200,000 points within a few eps are some hundred cells; single points alone are compared."""
+    from hitlens.operators import dbscan as module
+
+    asked, place = [], module._place
+    monkeypatch.setattr(module, "_place", lambda items, *a: asked.append(items.count()) or place(items, *a))
+    rows = spark.range(200_000).select(
+        F.col("id").alias("ip"), (F.rand(1) * 3).alias("f0"), (F.rand(2) * 3).alias("f1"))
+    rows = rows.unionByName(spark.createDataFrame([(10**9, 9.0, 9.0)], rows.schema))
+    out = dbscan(rows, ["f0", "f1"]).groupBy("outlier_cluster").count().collect()
+    assert {r.outlier_cluster: r["count"] for r in out} == {0: 200_000, -1: 1}
+    assert asked[0] < 500
+
+
 def test_dbscan_all_noise(spark):
     df, cols = frame(spark, np.arange(8.0).reshape(-1, 1) * 10)
     assert {r.outlier_cluster for r in dbscan(df, cols).collect()} == {-1}
