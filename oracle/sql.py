@@ -106,6 +106,43 @@ series as (select c.datetime, coalesce(requests, 0)::bigint as requests, coalesc
 
 
 _HOURLY = _calendar("hour")
+def _unit(text: str) -> str:
+    """Number of the unit line for a text, by the first 13 hex digits of its md5 sum."""
+    return f"(('0x' || substr(md5({text}), 1, 13))::bigint::double / 4503599627370496::double)"
+
+
+def _path(n: str) -> str:
+    """Mean depth of an unsuccessful search among n rows."""
+    return (f"(case when {n} < 2 then 0 when {n} = 2 then 1 else "
+            f"2 * (ln({n} - 1::double) + 0.5772156649015329::double) - 2 * ({n} - 1::double) / {n} end)")
+
+
+# Isolation forest over a relation ``{0}`` of (datetime, requests): 100 trees of 256 rows, 8 levels.
+_FOREST = """
+base as (select datetime, requests::double as x, count(*) over () as n, """ + _unit("'42|' || datetime") + """ as place from {0}),
+joined as (select datetime, x, floor((place + j) / share)::bigint as tree from (
+ select *, unnest(range(0, ceil(100 * share - place)::bigint)) as j from (
+  select *, least(1::double, 512::double / n) as share from base))),
+drawn as (select * from (select *, row_number() over (partition by tree order by """ + _unit("'42|' || tree || '|' || datetime") + """,
+ datetime) as r from joined where tree < 100) where r <= 256),
+grow(tree, datetime, x, node, depth) as (
+ select tree, datetime, x, 1::bigint, 0 from drawn
+ union all
+ select tree, datetime, x, case when x <= low + u * (high - low) then 2 * node else 2 * node + 1 end, depth + 1 from (
+  select *, min(x) over w as low, max(x) over w as high, """ + _unit("'42|' || tree || '|' || node || '|cut'") + """ as u
+  from grow window w as (partition by tree, node)) where high > low and depth < 8),
+nodes as (select tree, node, any_value(depth) as depth, count(*) as n, min(x) as low, max(x) as high,
+ """ + _unit("'42|' || tree || '|' || node || '|cut'") + """ as u from grow group by tree, node),
+walk(datetime, x, tree, node) as (
+ select datetime, x, tree, 1::bigint from base, (select distinct tree from drawn)
+ union all
+ select datetime, x, tree, case when x <= low + u * (high - low) then 2 * node else 2 * node + 1 end
+ from walk join nodes using (tree, node) where high > low and depth < 8),
+ends as (select datetime, tree, max(node) as node from walk group by datetime, tree),
+forest as (select datetime, power(2, -avg(depth + """ + _path("n") + """) / (select """ + _path("max(n)") + """ from nodes)) as isolation_score
+ from ends join nodes using (tree, node) group by datetime),
+flagged as (select datetime, isolation_score, isolation_score > quantile_cont(isolation_score, 0.95) over () + 1e-12
+ as is_isolation_forest from forest)"""
 _VOTES = f"""{_HOURLY},
 numbered as (select *, row_number() over (order by datetime) as rn, least(24, count(*) over () // 4) as w from series),
 rolled as (select a.datetime, any_value(a.requests) as requests, any_value(a.is_error) as is_error,
@@ -330,6 +367,12 @@ def build() -> dict[str, str]:
   from (select n, list_transform(a, lambda r: list_dot_product(r, v)) as w from it, m) where n < 1000)
  select 0.0::double as mean_x, 0.0::double as mean_y, 0.0::double as covariance,
   round(list_dot_product(v, list_transform(a, lambda r: list_dot_product(r, v))), 4) as variance from it, m where n = 1000""",
+        "isolation_forest_anomalies": f"""with recursive {_HOURLY}, {_FOREST.format('series')}
+ select {_HOUR_COLUMNS}, round(isolation_score, 6) as isolation_score, is_isolation_forest from series join flagged using (datetime)""",
+        "detect_anomalies": f"""with recursive {_VOTES}, {_FOREST.format('series')},
+ all_votes as (select *, anomaly_score + is_isolation_forest::bigint as total from votes join flagged using (datetime))
+ select {_HOUR_COLUMNS}, is_zscore, is_moving_average, is_isolation_forest, total as anomaly_score, total > 0 as is_anomaly
+ from all_votes""",
         "forest_facts": f"with {_HOURLY} select count(*)::bigint as hours, true as few_flagged, true as equal_scores from series",
         "vote_facts": f"with {_VOTES} select datetime, is_zscore, is_moving_average, true as adds_up from votes",
         "forecast_facts": f"""with {_HOURLY}, e as (select min(datetime) as a, max(datetime) as b from series)
