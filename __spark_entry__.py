@@ -287,6 +287,14 @@ def _forecast_fit(hourly: DataFrame) -> DataFrame:
         (error <= F.var_pop("requests") * F.count("*")).alias("better_than_mean"))
 
 
+def _forecast_certificate(hourly: DataFrame) -> DataFrame:
+    """Terms of the design, and whether the gradient of each balances its prior."""
+    rows = checkpoint(hourly)
+    terms = forecast.certificate(rows, forecast.fit_forecast(rows))
+    return terms.agg(F.count("*").alias("terms"), F.count_distinct("term").alias("distinct_terms"),
+                     (F.max("violation") < 1e-4).alias("optimal"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the traffic summary of the fixture log."""
     return queries()["overview"](spark, SMOKE_DIR)
@@ -428,6 +436,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vote_facts": _on_hourly(_vote_facts),
         "forecast_facts": _on_hourly(_forecast_facts),
         "forecast_fit": _on_hourly(_forecast_fit),
+        "forecast_certificate": _on_hourly(_forecast_certificate),
         "report_sections": _report_sections,
     } | llm
 

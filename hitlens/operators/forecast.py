@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from hitlens.functions.fields import seconds_between
+from hitlens.operators.grouping import attach
 from hitlens.operators.timeseries import after, steps_between
 
 # Fixed values of the model.
@@ -82,16 +83,13 @@ def _posterior_mode(gram: np.ndarray, xy: np.ndarray, yy: float, n: int):
     return beta, float(np.sqrt(noise))
 
 
-def fit_forecast(series: DataFrame, *, time: str = "datetime", value: str = "requests",
-                 keys: Sequence[str] = ()) -> DataFrame:
-    """Fit a regular hourly series (per key): one row of parameters each.
+def _designed(series: DataFrame, time: str, value: str, keys: list[str]) -> DataFrame:
+    """Scaled values and design rows of the series of at least 48 hours.
 
-    A series of fewer than 48 hours gives no row. The time columns are found with windows
-    over the rolled-up series, so its source is read once.
+    The time columns are found with windows over the rolled-up series, so its source is read once.
     """
-    keys = list(keys)
     whole = W.partitionBy(*keys)
-    rows = (series.select(*keys, F.col(time).alias("_ds"), F.col(value).cast("double").alias("_y"))
+    return (series.select(*keys, F.col(time).alias("_ds"), F.col(value).cast("double").alias("_y"))
             .withColumns({"_n": F.count("*").over(whole), "_start": F.min("_ds").over(whole),
                           "_end": F.max("_ds").over(whole),
                           "_scale": F.max(F.abs("_y")).over(whole)})
@@ -102,6 +100,16 @@ def fit_forecast(series: DataFrame, *, time: str = "datetime", value: str = "req
             .select(*keys, "_n", "_start", "_end", "_scale",
                     (F.col("_y") / F.col("_scale")).alias("_y"), _design().alias("_x"),
                     F.floor(F.col("_hour") / _BLOCK).alias("_block")))
+
+
+def fit_forecast(series: DataFrame, *, time: str = "datetime", value: str = "requests",
+                 keys: Sequence[str] = ()) -> DataFrame:
+    """Fit a regular hourly series (per key): one row of parameters each.
+
+    A series of fewer than 48 hours gives no row.
+    """
+    keys = list(keys)
+    rows = _designed(series, time, value, keys)
     key_fields = [series.schema[k] for k in keys]
     facts = ["_n", "_start", "_end", "_scale"]
     fact_fields = [rows.schema[f] for f in facts]
@@ -130,6 +138,36 @@ def fit_forecast(series: DataFrame, *, time: str = "datetime", value: str = "req
     return partial.groupBy(*keys).applyInPandas(solve, fit_schema)
 
 
+# A slope change below this counts as none in a certificate.
+_NO_CHANGE = 1e-5
+
+
+def certificate(series: DataFrame, model: DataFrame, *, time: str = "datetime", value: str = "requests",
+                keys: Sequence[str] = ()) -> DataFrame:
+    """Whether fitted coefficients are the most probable ones, told from the series alone.
+
+    One row per (key and) term: ``beta``, ``gradient`` of the fit (design times residuals over the noise), the
+    ``penalty`` it has to balance, and by how much it does not, as a share of the gradient of zero
+    coefficients and the Laplace prior. A slope change of zero may have any gradient up to the prior's. The
+    objective is convex for a given noise, so violations near zero prove the optimum, however it was found.
+    """
+    keys = list(keys)
+    fitted = model.select(*keys, "beta", "noise")
+    rows = attach(_designed(series, time, value, keys).select(*keys, "_y", "_x"), fitted, keys)
+    inner = F.aggregate(F.zip_with("_x", "beta", lambda x, b: x * b), F.lit(0.0), lambda acc, v: acc + v)
+    each = rows.withColumn("_rest", F.col("_y") - inner).select(
+        *keys, "_y", "_rest", "noise", F.posexplode(F.arrays_zip("_x", "beta")))
+    sums = each.groupBy(*keys, F.col("pos").cast("long").alias("term")).agg(
+        F.first("col.beta").alias("beta"), (F.sum(F.col("col._x") * F.col("_rest")) / F.first("noise") ** 2).alias("gradient"),
+        (F.abs(F.sum(F.col("col._x") * F.col("_y"))) / F.first("noise") ** 2).alias("_size"))
+    change = F.col("term").between(2, 1 + CHANGEPOINTS)
+    laplace = F.when(F.abs("beta") > _NO_CHANGE, F.signum("beta") / CHANGE_SCALE).otherwise(
+        F.greatest(F.lit(-1 / CHANGE_SCALE), F.least(F.lit(1 / CHANGE_SCALE), F.col("gradient"))))
+    normal = F.col("beta") / F.when(F.col("term") < 2, TREND_SCALE ** 2).otherwise(SEASONAL_SCALE ** 2)
+    return sums.withColumn("penalty", F.when(change, laplace).otherwise(normal)).withColumn(
+        "violation", F.abs(F.col("gradient") - F.col("penalty")) / (F.col("_size") + 1 / CHANGE_SCALE)).drop("_size")
+
+
 def future_frame(series: DataFrame, periods: int = HORIZON, *, time: str = "datetime",
                  keys: Sequence[str] = ()) -> DataFrame:
     """History of a regular hourly series followed by ``periods`` further hours."""

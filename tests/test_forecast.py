@@ -2,6 +2,7 @@ from datetime import timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import START
 from hitlens.operators import forecast as fc
@@ -94,3 +95,24 @@ def test_guards_and_frames(spark):
     assert flat.yhat.abs().max() == pytest.approx(0, abs=1e-9)
     parts = fc.forecast_components(fc.forecast(series(spark, wave(60))))
     assert parts.columns == ["ds", "trend", "daily", "weekly"]
+
+
+def test_certificate_tells_the_optimum_from_others(spark, hours):
+    rng = np.random.default_rng(3)
+    at = np.arange(24 * 30)
+    counts = 200 + 0.3 * at + np.where(at > 300, 0.8 * (at - 300), 0) + 40 * np.sin(at * 2 * np.pi / 24) + rng.normal(0, 9, len(at))
+    rows = hours(np.maximum(counts, 0).astype(int))
+    model = fc.fit_forecast(rows)
+    terms = fc.certificate(rows, model).toPandas().sort_values("term")
+    assert terms.term.tolist() == list(range(41)) and terms.violation.max() < 1e-5
+    # the same figures from plain matrices
+    x = np.stack([r._x for r in fc._designed(rows, "datetime", "requests", []).collect()])
+    y = np.array([r._y for r in fc._designed(rows, "datetime", "requests", []).collect()])
+    fitted = model.first()
+    gradient = x.T @ (y - x @ np.array(fitted.beta)) / fitted.noise ** 2
+    np.testing.assert_allclose(terms.gradient, gradient, rtol=1e-6, atol=1e-4)
+    worse = model.withColumn("beta", F.transform("beta", lambda b, i: F.when(i == 5, b + 0.01).otherwise(b)))
+    assert fc.certificate(rows, worse).agg(F.max("violation")).first()[0] > 1e-2
+    two = rows.withColumn("host", F.lit("a")).unionByName(rows.withColumn("host", F.lit("b")))
+    by_host = fc.certificate(two, fc.fit_forecast(two, keys=["host"]), keys=["host"])
+    assert by_host.count() == 82 and by_host.agg(F.max("violation")).first()[0] < 1e-5
