@@ -19,6 +19,7 @@ from hitlens.plans import report  # noqa: E402
 from hitlens.operators.grouping import attach  # noqa: E402
 from hitlens.session import checkpoint, delete_folder, shared_folder  # noqa: E402
 from hitlens.sources.logs import parse_lines, standardize  # noqa: E402
+from hitlens.sources.sinks import nan_to_null  # noqa: E402
 from hitlens.streaming import live  # noqa: E402
 from oracle.sql import build  # noqa: E402
 from oracle.weblog import LINES, WEBLOG  # noqa: E402
@@ -175,6 +176,16 @@ def _live_profile(spark: SparkSession, sf: str) -> DataFrame:
         "window_start", "ip", "requests", "is_error_mean", close.alias("uris_close")))
 
 
+def _json_rows(f: DataFrame) -> DataFrame:
+    """Requests as JSON text after conversion, with NaN for a missing figure at four depths."""
+    size = F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.floor("bytes").cast("double"))
+    nested = f.select("event_id", F.struct(
+        size.alias("bytes"), F.array(size, F.lit(None).cast("double"), F.lit(1.5)).alias("sizes"),
+        F.create_map(F.lit("last"), F.struct(F.array(size).alias("all"), F.col("method").alias("method"))).alias("by"),
+        F.col("status").cast("long").alias("status")).alias("record"))
+    return nan_to_null(nested).select("event_id", F.to_json("record", {"ignoreNullFields": "false"}).alias("json"))
+
+
 def _report(spark: SparkSession, sf: str) -> DataFrame:
     """All rows of the report. The features are written once; sections read their columns."""
     target = _folder(spark, "features")
@@ -324,6 +335,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "standardized_log": lambda s, d: _tidy(_standardized(s, d).select(
             "event_id", "datetime", "ip", "method", "uri", "status", "bytes", "response_time",
             "referer", "user_agent")),
+        "json_rows": _on_features(_json_rows),
         # row features
         "log_features": _on_features(lambda f: f, FEATURE_COLUMNS),
         "page_uri_features": lambda s, d: _tidy(features.uri_features(

@@ -348,6 +348,10 @@ def build() -> dict[str, str]:
   from d group by ip)
  select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) as squared,
   round(avg(coalesce((f - c) / nullif(greatest(c, f), 0), 0)), 6) as euclidean from w""",
+        "json_rows": f"""with {_FEAT}, v as (select event_id, method, status::bigint::varchar as status,
+  case when event_id % 5 = 0 then 'null' else floor(bytes)::bigint || '.0' end as b from feat)
+ select event_id, '{{"bytes":' || b || ',"sizes":[' || b || ',null,1.5],"by":{{"last":{{"all":[' || b || '],"method":"' || method ||
+  '"}}}},"status":' || coalesce(status, 'null') || '}}' as json from v""",
         "silhouette_bounds": f"""with {_PROF},
  p as (select ip, list_sum(x) > 0 as own, x from (select ip, [{_VECTOR}] as x from scaled)),
  d as (select a.ip, a.own = b.own as own, avg(power(list_distance(a.x, b.x), 2)) as s, avg(list_distance(a.x, b.x)) as e

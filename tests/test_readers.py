@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hitlens.operators.features import extract_features
 from hitlens.schema import CANONICAL
 from hitlens.sources.logs import parse_lines, read_logs, standardize, with_datetime
-from hitlens.sources.sinks import write_logs, write_report
+from hitlens.sources.sinks import nan_to_null, write_logs, write_report
 
 AGENT = 'Mozilla/5.0 (X11; Linux x86_64)'
 TSV11 = "\t".join(["2024-01-01", "00:00:01", "1.1.1.1", "GET", "/a", "200", "12", "7", "http://r/",
@@ -152,3 +152,21 @@ def test_sinks(spark, tmp_path):
     text, typed = (sorted(map(repr, extract_features(x).select(
         "ip", "status", "is_error", "bytes", "response_time").collect())) for x in (logs, stored))
     assert text == typed
+
+
+def test_nan_becomes_null_at_any_depth(spark):
+    nan = float("nan")
+    schema = ("a double, b array<array<float>>, c map<string,struct<x:double,y:array<double>>>, "
+              "d struct<e:struct<f:double,g:string>,h:int>, `i.j` double, k array<int>, l date")
+    rows = [(nan, [[1.0, nan], None, []], {"p": (nan, [nan, 2.0]), "q": None}, ((nan, "g"), 1), nan, [1], None),
+            (2.0, None, None, None, 3.0, None, None), (None, [], {}, (None, None), None, [], None)]
+    df = spark.createDataFrame(rows, schema)
+    out = nan_to_null(df)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    first, second, third = [r.asDict(recursive=True) for r in out.collect()]
+    assert first == {"a": None, "b": [[1.0, None], None, []], "c": {"p": {"x": None, "y": [None, 2.0]}, "q": None},
+                     "d": {"e": {"f": None, "g": "g"}, "h": 1}, "i.j": None, "k": [1], "l": None}
+    assert second == {"a": 2.0, "b": None, "c": None, "d": None, "i.j": 3.0, "k": None, "l": None}
+    assert third["b"] == [] and third["c"] == {} and third["d"] == {"e": None, "h": None}
+    plain = df.select("k", "l")
+    assert nan_to_null(plain).collect() == plain.collect()
