@@ -45,7 +45,7 @@ A_RANKS, A_VOCABULARY, B_MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "
 # Bits of a B id in the code of a pair, and of a pair in the key of a pair and document.
 _SHIFT, _PAIR = 20, 40
 # Text of one block, and products that are expanded at once.
-BLOCK_BYTES, CHUNK = 3 << 20, 1 << 20
+BLOCK_BYTES, CHUNK = 2 << 20, 1 << 19
 # Tokens of a group whose product is larger are first made distinct.
 _LARGE = 64
 _NO_TOKENS = ""
@@ -140,13 +140,10 @@ class Tokenizers:
         self.b_length = np.array([len(p) for p in spelled], np.int64)
         self.b_start = np.cumsum(self.b_length) - self.b_length
         self.b_bytes = np.frombuffer(b"".join(spelled), np.uint8)
-        self.digits = np.zeros((1 << _SHIFT, 7), np.uint8)
-        self.n_digits = np.ones(1 << _SHIFT, np.int64)
-        number = np.arange(1 << _SHIFT)
-        for width in range(1, 8):
-            at = np.flatnonzero(number >= (10 ** (width - 1) if width > 1 else 0))
-            self.n_digits[at] = width
-        for place in range(7):
+        number = np.arange(max(len(self.a.tokens), len(spelled)))
+        self.n_digits = np.array([len(str(n)) for n in number.tolist()], np.int64)
+        self.digits = np.zeros((len(number), int(self.n_digits.max())), np.uint8)
+        for place in range(self.digits.shape[1]):
             power = np.maximum(self.n_digits - 1 - place, 0)
             self.digits[:, place] = 48 + number // 10 ** power % 10
 
