@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hitlens.functions.fields import ATTACK_LABELS, ATTACK_TOKENS, attack_flag
 from hitlens.operators.grouping import attach, attach_per_group
 from hitlens.operators.rules import messages
+from hitlens.session import checkpoint
 
 # Thresholds of the suspicion and threat rules.
 ERROR_SHARE = 0.5
@@ -63,20 +64,54 @@ def distinct_times(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_distinct(F.col("datetime")).alias("distinct_times"))
 
 
-def _suspicion() -> Column:
+# Base-2 logarithm of the hashes a client's set of URIs holds: more than the limit of the rule.
+_SET = (MAX_URIS + 1).bit_length()
+
+
+def _suspicion(uris: str = "uri_nunique") -> Column:
     return ((F.col("is_error_mean") > ERROR_SHARE)
             | (F.col("datetime_count") > F.col("distinct_times") * VOLUME_SHARE)
-            | (F.col("uri_nunique") > MAX_URIS))
+            | (F.col(uris) > MAX_URIS))
+
+
+def _suspects(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Suspicious clients with their requests and errors, and the distinct times of the log.
+
+    The rule asks only whether a client has more than 100 URIs. A mergeable set of the 128 least hashes
+    answers that exactly: it is complete up to 128 URIs, and beyond them its estimate is above 128. So tasks
+    send one bounded row per client, and no URI is shuffled.
+    """
+    # hashed first, as the set would leave out empty texts
+    uri = F.when(F.col("uri").isNotNull(), F.xxhash64("uri")) if "uri" in df.columns else F.lit(None).cast("long")
+    profile = df.where(F.col("ip").isNotNull()).groupBy(*keys, "ip").agg(
+        F.count("is_error").alias("is_error_count"),
+        F.sum("is_error").alias("is_error_sum"),
+        F.avg("is_error").alias("is_error_mean"),
+        F.count("datetime").alias("datetime_count"),
+        F.theta_sketch_estimate(F.theta_sketch_agg(uri, _SET)).alias("_uris"))
+    return attach(profile, distinct_times(df, keys=keys), keys).where(_suspicion("_uris")).drop("_uris")
 
 
 def suspicious_clients(df: DataFrame, *, keys: Sequence[str] = (),
                        approx: bool = False) -> DataFrame:
     """Every client with mostly errors, an unusual volume or scanning behaviour.
 
-    With ``approx`` the client's URIs are estimated, so clients near the limit may differ.
+    Distinct times and URIs are counted for the suspicious clients alone. With ``approx`` they are
+    estimated for every client, so clients near the limit may differ.
     """
-    profile = ip_security_profile(df, keys=keys, approx=approx)
-    return attach(profile, distinct_times(df, keys=keys), keys).where(_suspicion())
+    if approx:
+        profile = ip_security_profile(df, keys=keys, approx=True)
+        return attach(profile, distinct_times(df, keys=keys), keys).where(_suspicion())
+    suspects = checkpoint(_suspects(df, keys))
+    columns = ["datetime", *(["uri"] if "uri" in df.columns else [])]
+    requests = attach(df.select(*keys, "ip", *columns), suspects.select(
+        *keys, "ip", F.lit(True).alias("_suspect")), [*keys, "ip"]).where("_suspect")
+    uris = F.count_distinct(F.col("uri")) if "uri" in df.columns else F.lit(0).cast("long")
+    exact = requests.groupBy(*keys, "ip").agg(
+        F.count_distinct(F.col("datetime")).alias("datetime_nunique"), uris.alias("uri_nunique"))
+    return attach_per_group(suspects, exact, [*keys, "ip"]).select(
+        *keys, "ip", "is_error_count", "is_error_sum", "is_error_mean", "datetime_count", "datetime_nunique",
+        "uri_nunique", "distinct_times")
 
 
 def first_clients(suspects: DataFrame, limit: int = REPORTED_IPS, *,
@@ -111,7 +146,7 @@ def threat_level(df: DataFrame, *, keys: Sequence[str] = (), compat: bool = Fals
     full one. ``compat`` derives the level from the reported number, so that High cannot
     occur.
     """
-    suspects = suspicious_clients(df, keys=keys)
+    suspects = _suspects(df, keys)
     if keys:  # a key without suspects still gets its row
         suspects = df.select(*keys).distinct().unionByName(
             suspects.select(*keys, "ip"), allowMissingColumns=True)

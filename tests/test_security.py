@@ -33,6 +33,28 @@ def test_scanning_needs_more_than_a_hundred_uris(feats):
     assert suspects(feats, quiet(2000) + many + more) == ["a101"]
 
 
+def test_scanning_is_decided_without_shuffling_uris(feats):
+    """Around the limit and the size of the set, with repeats, empty and null URIs, over partitions."""
+    rows = quiet(3000)
+    counts = {f"n{n}": n for n in (1, 99, 100, 101, 127, 128, 129, 130, 500)}
+    for i, (ip, n) in enumerate(counts.items()):
+        rows += [request(ip=ip, at=i * 600 + j % 200, uri=f"/{j}") for j in range(n)] * 2
+    rows += [request(ip="edge", at=7000 + j % 200, uri="" if j == 100 else f"/{j}") for j in range(101)]
+    rows += [request(ip="null", at=7500 + j % 200, uri=None if j == 100 else f"/{j}") for j in range(101)]
+    df = feats(rows)
+    wanted = {ip for ip, n in counts.items() if n > 100} | {"edge"}
+    for parts in (1, 7):
+        got = security.suspicious_clients(df.repartition(parts))
+        assert {r.ip for r in got.collect()} == wanted
+    exact = {r.ip: r for r in security.ip_security_profile(df).collect()}
+    for r in got.collect():
+        assert all(r[c] == exact[r.ip][c] for c in exact[r.ip].asDict())
+    # what is shuffled for the decision is grouped by client only
+    plan = security._suspects(df, [])._jdf.queryExecution().executedPlan().toString()
+    assert "theta_sketch_agg" in plan and not [
+        line for line in plan.splitlines() if "hashpartitioning" in line and "uri" in line]
+
+
 @pytest.mark.parametrize("n,level,literal", [
     (0, "Low", "Low"), (5, "Low", "Low"), (6, "Medium", "Medium"), (10, "Medium", "Medium"),
     (11, "High", "Medium")])
