@@ -13,8 +13,8 @@ import numpy as np  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # noqa: E402
 
 from hitlens.operators import (  # noqa: E402
-    anomalies, cluster, dbscan, features, forecast, isolation, kmeans, performance, security, silhouettes,
-    timeseries, traffic)
+    anomalies, cluster, dbscan, features, forecast, isolation, kmeans, performance, rollups, security,
+    silhouettes, timeseries, traffic)
 from hitlens.plans import report  # noqa: E402
 from hitlens.operators.grouping import attach  # noqa: E402
 from hitlens.session import checkpoint, delete_folder, shared_folder  # noqa: E402
@@ -176,6 +176,25 @@ def _live_profile(spark: SparkSession, sf: str) -> DataFrame:
         "window_start", "ip", "requests", "is_error_mean", close.alias("uris_close")))
 
 
+def _kept_rollup(grain: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Rollup of requests that came in batches, one of them late and one twice, with compaction between."""
+    def run(spark, sf):
+        rows, folder = _features(spark, sf), _folder(spark, "rollups")
+        store = rollups.RollupStore(spark, folder)
+        late = F.col("event_id") % 10 == 7
+        store.add("first", rows.where((F.dayofmonth("datetime") <= 12) & ~late))
+        store.add("second", rows.where((F.dayofmonth("datetime") > 12) & ~late))
+        store.add("first", rows.where((F.dayofmonth("datetime") <= 12) & ~late))
+        store.compact()
+        store.vacuum()
+        store.add("second", rows.where((F.dayofmonth("datetime") > 12) & ~late))
+        store.add("late", rows.where(late))
+        out = checkpoint(store.rollup(grain))
+        delete_folder(spark, folder)
+        return _tidy(out)
+    return run
+
+
 def _json_rows(f: DataFrame) -> DataFrame:
     """Requests as JSON text after conversion, with NaN for a missing figure at four depths."""
     size = F.when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.floor("bytes").cast("double"))
@@ -389,6 +408,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # time series
         "hourly_rollup": _on_hourly(lambda h: h),
         "daily_rollup": _on_features(lambda f: timeseries.rollup(f, "day")),
+        "kept_hourly_rollup": _kept_rollup("hour"),
+        "kept_daily_rollup": _kept_rollup("day"),
         "requests_per_hour": _on_features(lambda f: timeseries.rollup(f, "hour", ["rows"])),
         "hourly_rollup_by_method": _on_features(lambda f: timeseries.rollup(f, **by_method)),
         "rolling_stats": _on_hourly(

@@ -308,6 +308,8 @@ def build() -> dict[str, str]:
             ("perf", "bandwidth_gb <= 100", "'Monitor traffic patterns for capacity planning'")]),
         "hourly_rollup": f"with {_HOURLY} select {_HOUR_COLUMNS} from series",
         "daily_rollup": f"with {_calendar('day')} select datetime, requests, is_error, round(bytes, 6) as bytes from series",
+        "kept_hourly_rollup": f"with {_HOURLY} select {_HOUR_COLUMNS} from series",
+        "kept_daily_rollup": f"with {_calendar('day')} select datetime, requests, is_error, round(bytes, 6) as bytes from series",
         "requests_per_hour": f"with {_HOURLY} select datetime, requests as rows from series",
         "hourly_rollup_by_method": f"""with {_FEAT},
  b as (select method, date_trunc('hour', datetime)::timestamp as datetime, count(ip) as requests, sum(is_error) as is_error,

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import request
 from hitlens.operators import anomalies, isolation, timeseries as ts
@@ -105,3 +106,48 @@ def test_a_very_long_gap(spark, feats):
     assert out.agg({"requests": "sum"}).first()[0] == 7 and out.count() == hours
     assert out.select("datetime").distinct().count() == hours
     assert ts.fill_gaps(rows, "day").count() == hours // 24 + 1
+
+
+def test_kept_rollups_equal_one_scan(spark, feats, tmp_path):
+    """Batches out of order, twice, late, empty, before and after compaction."""
+    from hitlens.operators.rollups import RollupStore
+
+    rng = np.random.default_rng(12)
+    rows = feats([request(ip=None if i % 9 == 0 else f"c{i % 5}", at=int(rng.integers(0, 5 * 86400)),
+                          status=str(rng.choice([200, 404, 500])), size=str(i), took=str(i % 50))
+                  for i in range(400)]).withColumn("part", F.pmod(F.xxhash64("datetime", "bytes"), F.lit(4)))
+    rows = rows.cache()
+
+    def same(store, parts, keys=()):
+        own = rows.where(F.col("part").isin(*parts))
+        for grain in ("hour", "day"):
+            a, b = (x.toPandas().sort_values([*keys, "datetime"]).reset_index(drop=True) for x in (
+                store.rollup(grain), ts.rollup(own, grain, keys=list(keys))))
+            pd.testing.assert_frame_equal(a[b.columns], b, check_dtype=False)
+
+    store = RollupStore(spark, str(tmp_path / "plain"))
+    assert store.rollup().count() == 0
+    for part in (2, 0, 2):  # out of order, one twice
+        assert store.add(f"p{part}", rows.where(F.col("part") == part))
+    same(store, (0, 2))
+    assert store.compact() == 1
+    same(store, (0, 2))
+    assert not store.add("p2", rows.where("part = 2"))  # held by the snapshot
+    assert store.add("p1", rows.where("part = 1")) and store.add("none", rows.limit(0))
+    same(store, (0, 1, 2))
+    store.vacuum()  # a batch is pending: its folder stays
+    same(store, (0, 1, 2))
+    # a compaction that died before its names were written changes nothing
+    store.states().limit(1).write.parquet(str(tmp_path / "plain" / "states-2"))
+    same(store, (0, 1, 2))
+    assert store.compact() == 2
+    store.vacuum()
+    assert not (tmp_path / "plain" / "batches").exists() and not (tmp_path / "plain" / "states-1").exists()
+    same(RollupStore(spark, str(tmp_path / "plain")), (0, 1, 2))
+    by_ip = RollupStore(spark, str(tmp_path / "by"), [("method", "string")])
+    by_ip.add("a", rows.where("part = 3"))
+    by_ip.compact()
+    by_ip.add("b", rows.where("part < 3"))
+    same(by_ip, (0, 1, 2, 3), ("method",))
+    with pytest.raises(ValueError):
+        store.add("../x", rows)
