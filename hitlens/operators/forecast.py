@@ -5,11 +5,15 @@ sums over it: blocks of a series give partial Gram matrices, whose total per key
 for the most probable coefficients (normal priors on level, slope and seasonality, a
 Laplace prior on the slope changes). Many series are fitted in parallel, and a long one
 block by block. Differences from the model it stands for: a single daily block (the extra
-one-day seasonality would be collinear), a direct solve instead of a general optimiser, and
-a closed-form interval instead of simulated trend changes.
+one-day seasonality would be collinear), and a direct solve instead of a general optimiser. The
+interval beyond the history comes from simulated trend changes, a bounded number of draws per
+series from a generator seeded by its keys; a closed form is an option.
 """
 
+import zlib
 from collections.abc import Sequence
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -18,13 +22,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from hitlens.functions.fields import seconds_between
 from hitlens.operators.grouping import attach
 from hitlens.operators.timeseries import after, steps_between
+from hitlens.session import checkpoint
 
 # Fixed values of the model.
 HORIZON, SHOWN, MIN_HOURS = 48, 24, 48
 CHANGEPOINTS, HISTORY_SHARE = 25, 0.8
 DAILY_ORDER, WEEKLY_ORDER = 4, 3
 TREND_SCALE, CHANGE_SCALE, SEASONAL_SCALE, NOISE_SCALE = 5.0, 0.05, 10.0, 0.5
-INTERVAL_Z = 1.959964  # 95 %
+INTERVAL, INTERVAL_Z = 0.95, 1.959964
+DRAWS, SEED = 1000, 42
+SIMULATED, CLOSED = "simulated", "closed"
 
 _BLOCK = 4096
 
@@ -184,16 +191,80 @@ def _dot(first: int, width: int) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v) * F.col("_scale")
 
 
-def predict(model: DataFrame, periods: int = HORIZON, *, keys: Sequence[str] = ()) -> DataFrame:
+def _used_changes() -> Column:
+    return F.least(F.lit(CHANGEPOINTS), F.floor(F.col("_n") * HISTORY_SHARE) - 1)
+
+
+def _paths(rng: np.random.Generator, ahead: np.ndarray, rate: float, size: float, draws: int) -> np.ndarray:
+    """Changes of the trend at the times ``ahead`` of the end: draws x times.
+
+    As many slope changes as the history had in the same time, on average, at uniform times and of Laplace size.
+    """
+    counts = rng.poisson(rate * ahead[-1], draws)
+    width = max(int(counts.max()), 1)
+    at = rng.uniform(0, ahead[-1], (draws, width))
+    change = rng.laplace(0, size, (draws, width)) * (np.arange(width) < counts[:, None])
+    out = np.zeros((draws, len(ahead)))
+    for place, slope in zip(at.T, change.T):  # one change of every draw at a time
+        out += slope[:, None] * np.maximum(ahead[None] - place[:, None], 0)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _normal_table() -> tuple[np.ndarray, np.ndarray]:
+    """The normal distribution function on a fine grid, linear in between."""
+    at = np.linspace(-8, 8, 8001)
+    return at, np.array([NormalDist().cdf(v) for v in at.tolist()])
+
+
+def _half_widths(paths: np.ndarray, noise: float) -> np.ndarray:
+    """For each hour, how far around zero the interval reaches for paths that may go either way, with normal
+    noise on top: the noise is not drawn, its share of the mixture is exact."""
+    grid, share = _normal_table()
+    low, high = np.full(paths.shape[1], INTERVAL_Z * noise), np.abs(paths).max(axis=0) + 8 * noise
+    for _ in range(50):
+        middle = (low + high) / 2
+        below = sum(np.interp((middle + sign * paths) / noise, grid, share).mean(axis=0) for sign in (-1, 1)) / 2
+        wide = below >= (1 + INTERVAL) / 2
+        low, high = np.where(wide, low, middle), np.where(wide, middle, high)
+    return (low + high) / 2
+
+
+def simulated_offsets(model: DataFrame, periods: int = HORIZON, *, keys: Sequence[str] = (), draws: int = DRAWS,
+                      seed: int = SEED) -> DataFrame:
+    """(keys, _ahead, _width): how far the interval reaches around yhat in each hour after the history, in shares
+    of the series' scale, from ``draws`` simulated paths and their mirror images."""
+    keys = list(keys)
+    schema = T.StructType([model.schema[k] for k in keys] + T._parse_datatype_string(
+        "_ahead long, _width double").fields)
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        rng = np.random.default_rng([seed, zlib.crc32("|".join(str(row[k]) for k in keys).encode())])
+        beta, used = np.asarray(row["beta"]), int(row["_used"])
+        size = np.abs(beta[2:2 + CHANGEPOINTS]).sum() / used
+        ahead = np.arange(1, periods + 1) / (row["_n"] - 1)
+        width = _half_widths(_paths(rng, ahead, used, size, draws), row["noise"])
+        return pd.DataFrame({k: row[k] for k in keys} | {"_ahead": np.arange(1, periods + 1), "_width": width})
+
+    rows = model.select(*keys, "_n", "beta", "noise", _used_changes().alias("_used"))
+    return rows.groupBy(*keys).applyInPandas(draw, schema)
+
+
+def predict(model: DataFrame, periods: int = HORIZON, *, keys: Sequence[str] = (), interval: str = SIMULATED,
+            draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """Fitted history and the next hours: yhat with a 95 % interval, and its components.
 
     Hours are generated from the parameters, so the series itself is not read again. The
     interval holds the noise and, beyond the history, slope changes as frequent and as
-    large on average as those fitted.
+    large on average as those fitted: ``simulated`` mixes drawn paths with the noise, ``closed`` takes the
+    normal distribution of the same variance.
     """
+    if interval not in (SIMULATED, CLOSED):
+        raise ValueError(f"interval must be {SIMULATED!r} or {CLOSED!r}, not {interval!r}")
     width = 2 + CHANGEPOINTS
     changes = F.slice("beta", 3, CHANGEPOINTS)
-    used = F.least(F.lit(CHANGEPOINTS), F.floor(F.col("_n") * HISTORY_SHARE) - 1)
+    used = _used_changes()
     mean_change = F.aggregate(changes, F.lit(0.0), lambda acc, v: acc + F.abs(v)) / used
     hours = F.timestamp_diff("HOUR", F.col("_start"), F.col("_end")) + periods
     rows = (steps_between(model.withColumn("_change", mean_change).withColumn("_used", used), hours)
@@ -207,17 +278,22 @@ def predict(model: DataFrame, periods: int = HORIZON, *, keys: Sequence[str] = (
     parts = rows.select(
         *keys, "ds", (F.col("ds") > F.col("_end")).alias("is_future"),
         _dot(0, width).alias("trend"), _dot(width, 2 * DAILY_ORDER).alias("daily"),
-        _dot(width + 2 * DAILY_ORDER, 2 * WEEKLY_ORDER).alias("weekly"), spread.alias("_spread"))
+        _dot(width + 2 * DAILY_ORDER, 2 * WEEKLY_ORDER).alias("weekly"), spread.alias("_spread"),
+        "_scale", F.timestamp_diff("HOUR", F.col("_end"), F.col("ds")).alias("_ahead"))
+    width = F.col("_spread")
+    if interval == SIMULATED and periods > 0:
+        parts = attach(parts, simulated_offsets(model, periods, keys=keys, draws=draws, seed=seed), [*keys, "_ahead"])
+        width = F.coalesce(F.col("_width") * F.col("_scale"), width)
     yhat = F.col("trend") + F.col("daily") + F.col("weekly")
-    return parts.select(*keys, "ds", yhat.alias("yhat"), (yhat - F.col("_spread")).alias("yhat_lower"),
-                        (yhat + F.col("_spread")).alias("yhat_upper"),
-                        "trend", "daily", "weekly", "is_future")
+    return parts.select(*keys, "ds", yhat.alias("yhat"), (yhat - width).alias("yhat_lower"),
+                        (yhat + width).alias("yhat_upper"), "trend", "daily", "weekly", "is_future")
 
 
 def forecast(series: DataFrame, periods: int = HORIZON, *, time: str = "datetime",
-             value: str = "requests", keys: Sequence[str] = ()) -> DataFrame:
+             value: str = "requests", keys: Sequence[str] = (), **interval) -> DataFrame:
     """Fit and predict; no rows for a series shorter than 48 hours."""
-    return predict(fit_forecast(series, time=time, value=value, keys=keys), periods, keys=keys)
+    model = checkpoint(fit_forecast(series, time=time, value=value, keys=keys))
+    return predict(model, periods, keys=keys, **interval)
 
 
 def forecast_components(predicted: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:

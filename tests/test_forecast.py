@@ -116,3 +116,41 @@ def test_certificate_tells_the_optimum_from_others(spark, hours):
     two = rows.withColumn("host", F.lit("a")).unionByName(rows.withColumn("host", F.lit("b")))
     by_host = fc.certificate(two, fc.fit_forecast(two, keys=["host"]), keys=["host"])
     assert by_host.count() == 82 and by_host.agg(F.max("violation")).first()[0] < 1e-5
+
+
+def test_simulated_interval_covers_and_repeats(spark, hours):
+    """Futures drawn one by one, with changes as frequent and large as fitted, lie in the interval 95 % of the time."""
+    rng = np.random.default_rng(17)
+    n, ahead, rows = 24 * 14, 48, None
+    for i in range(3):
+        slope = np.repeat(rng.laplace(0, 2, 8), n // 8)
+        own = hours(np.rint(2500 + slope.cumsum() + rng.normal(0, 12, n)).astype(int)).withColumn("host", F.lit(f"h{i}"))
+        rows = own if rows is None else rows.unionByName(own)
+    model = fc.fit_forecast(rows, keys=["host"])
+    out, again, closed = (fc.predict(m, ahead, keys=["host"], **how).where("is_future").toPandas().sort_values(
+        ["host", "ds"]) for m, how in ((model, {}), (model.repartition(5), {}), (model, {"interval": "closed"})))
+    assert out.yhat_lower.tolist() == again.yhat_lower.tolist()
+    inside = []
+    for fit in model.collect():
+        own = out[out.host == fit.host]
+        changes = np.array(fit.beta[2:2 + fc.CHANGEPOINTS])
+        end = ahead / (n - 1)
+        at = np.arange(1, ahead + 1) / (n - 1)
+        for _ in range(1000):
+            path = rng.normal(0, fit.noise, ahead)
+            for _ in range(rng.poisson(25 * end)):
+                path += rng.laplace(0, np.abs(changes).mean()) * np.maximum(at - rng.uniform(0, end), 0)
+            y = own.yhat.to_numpy() + path * fit._scale
+            inside.append(((y >= own.yhat_lower) & (y <= own.yhat_upper)).mean())
+    assert np.mean(inside) == pytest.approx(0.95, abs=0.01)
+    width, other = ((p.yhat_upper - p.yhat_lower).to_numpy() for p in (out, closed))
+    assert 0.8 < width.mean() / other.mean() < 1.25
+    with pytest.raises(ValueError):
+        fc.predict(model, keys=["host"], interval="other")
+
+
+def test_simulated_paths_have_the_variance_of_the_changes():
+    rng = np.random.default_rng(1)
+    ahead = np.array([0.1, 0.2, 0.4])
+    found = fc._paths(rng, ahead, 25, 0.3, 20_000)
+    np.testing.assert_allclose(found.var(axis=0), 25 * 2 * 0.3 ** 2 * ahead ** 3 / 3, rtol=0.1)
