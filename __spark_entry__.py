@@ -381,6 +381,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_uris_by_method": _on_features(lambda f: traffic.top_values(f, "uri", 3, **by_method)),
         "peak_hour": _on_features(lambda f: traffic.peak_period(f, "hour")),
         "peak_weekday": _on_features(lambda f: traffic.peak_period(f, "dayofweek")),
+        "ranked_dimensions": _on_features(lambda f: traffic.ranked_dimensions(f, report.RANKED)),
         "hour_profile": _on_features(traffic.hour_profile),
         "peak_ratio": _on_features(traffic.peak_ratio),
         "ip_profile": _on_features(traffic.ip_profile),

@@ -40,6 +40,18 @@ def _added(states: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     return states.groupBy(*by).agg(*[F.sum(n).alias(n) for n in SUMS])
 
 
+def from_states(states: DataFrame, grain: str = "hour", metrics: Sequence[str] | None = None, *,
+                keys: Sequence[str] = (), fill: bool = True) -> DataFrame:
+    """As ``timeseries.rollup`` of the requests behind hourly states, which may repeat an hour."""
+    if metrics is None:
+        metrics = ["requests", "is_error", "bytes"] + (["response_time"] if grain == "hour" else [])
+    start = day_hour(F.col("day"), F.col("hour") if grain == "hour" else F.lit(0))
+    mean = F.try_divide(F.sum("response_time_sum"), F.sum("response_time_count"))
+    buckets = states.groupBy(*keys, start.alias("datetime")).agg(*[
+        (mean if m == "response_time" else F.sum(m)).alias(m) for m in metrics])
+    return fill_gaps(buckets, grain, keys=keys) if fill else buckets
+
+
 class RollupStore:
     """Hourly states in a folder all executors reach; ``keys`` are (name, type) pairs."""
 
@@ -113,10 +125,4 @@ class RollupStore:
 
     def rollup(self, grain: str = "hour", metrics: Sequence[str] | None = None, *, fill: bool = True) -> DataFrame:
         """As ``timeseries.rollup`` of all requests taken up, from their states."""
-        if metrics is None:
-            metrics = ["requests", "is_error", "bytes"] + (["response_time"] if grain == "hour" else [])
-        start = day_hour(F.col("day"), F.col("hour") if grain == "hour" else F.lit(0))
-        mean = F.try_divide(F.sum("response_time_sum"), F.sum("response_time_count"))
-        buckets = self._parts().groupBy(*self.keys, start.alias("datetime")).agg(*[
-            (mean if m == "response_time" else F.sum(m)).alias(m) for m in metrics])
-        return fill_gaps(buckets, grain, keys=self.keys) if fill else buckets
+        return from_states(self._parts(), grain, metrics, keys=self.keys, fill=fill)

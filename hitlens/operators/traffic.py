@@ -6,7 +6,7 @@ With ``keys`` every operator reports one row (or one ranking) per key.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from hitlens.functions.fields import seconds_between
 from hitlens.operators.grouping import attach_per_group
@@ -120,6 +120,44 @@ def peak_period(df: DataFrame, column: str, *, keys: Sequence[str] = ()) -> Data
                                      F.max("requests").alias("requests"))
 
 
+def ranked_dimensions(df: DataFrame, most: dict[str, int]) -> DataFrame:
+    """The most frequent values of several columns, in one scan: (dimension, number, text, requests, rank).
+
+    A request becomes one (dimension, value) pair per column, counted map-side; nulls are left out. Ranks
+    are as in ``top_values``, up to ``most[column]``, and every task sends on only so many counts per
+    column. A numeric or boolean column's value is in ``number``, another one's in ``text``.
+    """
+    pairs = []
+    for name in most:
+        kind, value = df.schema[name].dataType, F.col(name)
+        number = isinstance(kind, (T.NumericType, T.BooleanType))
+        pairs.append(F.struct(
+            F.lit(name).alias("dimension"), (value if number else F.lit(None)).cast("double").alias("number"),
+            (F.lit(None) if number else value).cast("string").alias("text")))
+    counts = (df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
+              .where("number is not null or text is not null")
+              .groupBy("dimension", "number", "text").agg(F.count("*").alias("requests")))
+    rank = F.row_number().over(W.partitionBy("dimension").orderBy(
+        F.desc("requests"), F.asc("number"), F.asc("text")))
+    kept = F.col("rank") <= F.create_map(*[F.lit(x) for item in most.items() for x in item])[F.col("dimension")]
+    # the greatest limit first, as a constant it reaches the tasks before the shuffle
+    return counts.withColumn("rank", rank).where(F.col("rank") <= max(most.values())).where(kept)
+
+
+def top_of(ranked: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """``top_values`` of one column from the ranked values of several."""
+    kind = df.schema[column].dataType
+    source = "number" if isinstance(kind, (T.NumericType, T.BooleanType)) else "text"
+    return ranked.where(F.col("dimension") == column).orderBy("rank").select(
+        F.col(source).cast(kind).alias(column), "requests")
+
+
+def peak_of(ranked: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """``peak_period`` of one column from the ranked values of several."""
+    best = top_of(ranked.where("rank = 1"), df, column)
+    return best.agg(F.first(column).alias(f"peak_{column}"), F.max("requests").alias("requests"))
+
+
 def hour_profile(df: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Requests per hour of day."""
     return df.groupBy(*keys, "hour").agg(F.count("*").alias("requests"))

@@ -4,11 +4,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hitlens.operators import anomalies, cluster, forecast, performance, security, traffic
 from hitlens.operators.features import extract_features
-from hitlens.operators.timeseries import error_rate_series, rolling_stats, rollup
+from hitlens.operators.rollups import from_states, hourly_states
+from hitlens.operators.timeseries import error_rate_series, rolling_stats
 from hitlens.session import checkpoint
 from hitlens.sources.logs import read_logs
 
 CLUSTER_ROWS = 20
+# Ranked columns of the report and how many values of each.
+RANKED = {"status": 10, "ip": 10, "uri": 10, "user_agent": 5, "hour": 1, "dayofweek": 1}
 
 
 def analyze(df: DataFrame, *, compat: bool = False, n_init: int = cluster.N_INIT) -> dict[str, DataFrame]:
@@ -22,15 +25,17 @@ def analyze(df: DataFrame, *, compat: bool = False, n_init: int = cluster.N_INIT
     report = {"stats": traffic.overview(df)}
     if "response_time" in df.columns:
         report["response_time"] = traffic.response_time_stats(df)
-    report["status_breakdown"] = traffic.top_values(df, "status", 10)
-    report["top_ips"] = traffic.top_values(df, "ip", 10)
+    # rankings and peaks share one scan
+    most = {c: k for c, k in RANKED.items() if c in df.columns}
+    ranked = checkpoint(traffic.ranked_dimensions(df, most))
+    for column, section in (("status", "status_breakdown"), ("ip", "top_ips"), ("uri", "top_uris"),
+                            ("user_agent", "top_user_agents")):
+        if column in most:
+            report[section] = traffic.top_of(ranked, df, column)
     if "uri" in df.columns:
-        report["top_uris"] = traffic.top_values(df, "uri", 10)
         report["attack_patterns"] = security.attack_pattern_counts(df)
-    if "user_agent" in df.columns:
-        report["top_user_agents"] = traffic.top_values(df, "user_agent", 5)
     for column in ("hour", "dayofweek"):
-        report[f"peak_{column}"] = traffic.peak_period(df, column)
+        report[f"peak_{column}"] = traffic.peak_of(ranked, df, column)
 
     suspects = checkpoint(security.suspicious_clients(df))
     report["suspicious_ips"] = security.first_clients(suspects)
@@ -44,11 +49,12 @@ def analyze(df: DataFrame, *, compat: bool = False, n_init: int = cluster.N_INIT
     if "bytes" in df.columns:
         report["resource_usage"] = state.select(F.bround("bandwidth_gb", 2).alias("bandwidth_gb"))
 
-    hourly = checkpoint(rollup(df, "hour", ["requests", "rows", *[
-        m for m in ("is_error", "bytes", "response_time") if m in df.columns]]))
+    states = checkpoint(hourly_states(df))
+    measures = [m for m in ("is_error", "bytes", "response_time") if m in df.columns]
+    hourly = checkpoint(from_states(states, "hour", ["requests", "rows", *measures]))
     votes = checkpoint(anomalies.detect_anomalies(hourly.drop("rows"), compat=compat))
     report["hourly"] = error_rate_series(rolling_stats(votes))
-    report["daily"] = rollup(df, "day")
+    report["daily"] = from_states(states, "day", ["requests", *[m for m in measures if m != "response_time"]])
     report["anomalies"] = votes.where("is_anomaly")
     report["anomaly_stats"] = anomalies.anomaly_summary(votes)
 

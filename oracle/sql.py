@@ -354,6 +354,14 @@ def build() -> dict[str, str]:
   case when event_id % 5 = 0 then 'null' else floor(bytes)::bigint || '.0' end as b from feat)
  select event_id, '{{"bytes":' || b || ',"sizes":[' || b || ',null,1.5],"by":{{"last":{{"all":[' || b || '],"method":"' || method ||
   '"}}}},"status":' || coalesce(status, 'null') || '}}' as json from v""",
+        "ranked_dimensions": f"""with {_FEAT}, v as (
+  select 'status' as dimension, 10 as k, status::double as number, null::varchar as text from feat
+  union all select 'ip', 10, null, ip from feat union all select 'uri', 10, null, uri from feat
+  union all select 'user_agent', 5, null, user_agent from feat
+  union all select 'hour', 1, hour::double, null from feat union all select 'dayofweek', 1, dayofweek::double, null from feat),
+ c as (select dimension, k, number, text, count(*)::bigint as requests from v where number is not null or text is not null group by all)
+ select dimension, number, text, requests, rank from (select *, row_number() over (
+  partition by dimension order by requests desc, number nulls first, text nulls first) as rank from c) where rank <= k""",
         "silhouette_bounds": f"""with {_PROF},
  p as (select ip, list_sum(x) > 0 as own, x from (select ip, [{_VECTOR}] as x from scaled)),
  d as (select a.ip, a.own = b.own as own, avg(power(list_distance(a.x, b.x), 2)) as s, avg(list_distance(a.x, b.x)) as e

@@ -3,7 +3,8 @@ import json
 import numpy as np
 
 from conftest import request
-from hitlens.plans.report import analyze, analyze_path, report_rows
+from hitlens.operators import timeseries, traffic
+from hitlens.plans.report import RANKED, analyze, analyze_path, report_rows
 from hitlens.sources.sinks import write_report
 
 
@@ -33,3 +34,24 @@ def test_report_from_files_with_few_columns(spark, tmp_path):
     assert "cluster_sizes" not in report and report["clusters"].count() == 2
     assert report["forecast"].count() == 0
     assert report["anomaly_stats"].first().total_anomalies == 0
+
+
+def test_sections_that_share_a_scan_equal_their_operators(feats):
+    rng = np.random.default_rng(2)
+    rows = [request(ip=None if i % 11 == 0 else f"10.0.0.{i % 23}", at=int(rng.integers(0, 3 * 86400)), uri=f"/{i % 31}",
+                    status=rng.choice(["200", "404", "-"]), took=str(i % 70), agent=None if i % 3 else f"a{i % 12}")
+            for i in range(600)]
+    df = feats(rows)
+    ranked = traffic.ranked_dimensions(df.repartition(5), RANKED).cache()
+    for column, k in list(RANKED.items())[:4]:
+        assert traffic.top_of(ranked, df, column).collect() == traffic.top_values(df, column, k).collect()
+    for column in ("hour", "dayofweek"):
+        assert traffic.peak_of(ranked, df, column).collect() == traffic.peak_period(df, column).collect()
+    report = analyze(df, n_init=1)
+    assert report["top_uris"].collect() == traffic.top_values(df, "uri", 10).collect()
+    assert report["peak_hour"].collect() == traffic.peak_period(df, "hour").collect()
+    daily, own = (sorted(map(tuple, x.select("datetime", "requests", "is_error", "bytes").collect()))
+                  for x in (report["daily"], timeseries.rollup(df, "day")))
+    assert daily == own
+    none = traffic.ranked_dimensions(df.limit(0), RANKED)
+    assert none.count() == 0 and traffic.peak_of(none, df, "hour").first().peak_hour is None
