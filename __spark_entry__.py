@@ -18,18 +18,16 @@ from hitlens.operators import (  # noqa: E402
 from hitlens.plans import report  # noqa: E402
 from hitlens.operators.grouping import attach  # noqa: E402
 from hitlens.session import checkpoint, delete_folder, shared_folder  # noqa: E402
-from hitlens.sources.logs import parse_lines, standardize  # noqa: E402
+from hitlens.sources.logs import parse_lines, read_logs, standardize  # noqa: E402
 from hitlens.sources.sinks import nan_to_null  # noqa: E402
 from hitlens.streaming import live  # noqa: E402
 from oracle.sql import build  # noqa: E402
 from oracle.weblog import LINES, WEBLOG  # noqa: E402
 
-try:  # the driver may delete these two
+try:  # the driver may delete these two, and a library they need may be absent
     import corpus_pipeline
     from hitlens.llm import queries as llm_queries
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "hitlens.llm"):
-        raise
+except ModuleNotFoundError:
     corpus_pipeline = llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -77,6 +75,33 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(_lines(spark, sf).select("value"))
 
 
+def _from_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The log written as text lines, comma files with a header and a kind of file to be left alone, and read
+    again: accepted and quarantined rows with the suffix of their file."""
+    folder = _folder(spark, "files")
+    _lines(spark, sf).select("value").write.text(f"{folder}/lines")
+    log = _weblog(_events(spark, sf))
+    (log.select(F.concat_ws(" ", "date", "time").alias("datetime"), "ip", "method", "uri", "status", "bytes",
+                F.col("response_time").alias("time-taken"), "referer", "user_agent")
+     .write.option("header", True).csv(f"{folder}/commas"))
+    log.write.json(f"{folder}/others")
+    good, bad = (checkpoint(rows.withColumn("suffix", F.regexp_extract("source_file", r"[.]([^.]*)$", 1)))
+                 for rows in read_logs(spark, [f"{folder}/{n}" for n in ("lines", "commas", "others")], quarantine=True))
+    delete_folder(spark, folder)
+    return good, bad
+
+
+def _guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Series too short for a model: single hours for the detectors, days for the forecast."""
+    hours = _hourly(spark, sf).withColumn("day", F.to_date("datetime"))
+    lone = hours.withColumn("hour_of", F.col("datetime"))
+    found = anomalies.detect_anomalies(lone, STATISTICAL, keys=["hour_of"])
+    predicted = forecast.forecast(hours, keys=["day"])
+    return hours.agg(F.count("*").alias("hours"), F.count_distinct("day").alias("days")).select(
+        "*", F.lit(found.count()).cast("long").alias("detected"),
+        F.lit(predicted.count()).cast("long").alias("predicted"))
+
+
 def _hourly(spark: SparkSession, sf: str) -> DataFrame:
     return timeseries.rollup(_features(spark, sf))
 
@@ -354,6 +379,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "standardized_log": lambda s, d: _tidy(_standardized(s, d).select(
             "event_id", "datetime", "ip", "method", "uri", "status", "bytes", "response_time",
             "referer", "user_agent")),
+        "logs_from_files": lambda s, d: _tidy(_from_files(s, d)[0].drop("source_file", "identity", "user")),
+        "quarantine_from_files": lambda s, d: _tidy(_from_files(s, d)[1].select("raw_line", "suffix")),
         "json_rows": _on_features(_json_rows),
         # row features
         "log_features": _on_features(lambda f: f, FEATURE_COLUMNS),
@@ -423,6 +450,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "datetime", "requests", "is_zscore", "is_moving_average", "anomaly_score", "is_anomaly")),
         "anomalous_hours": _on_votes(lambda v: v.where("is_anomaly").select(
             "datetime", "requests", "anomaly_score")),
+        "short_series": lambda s, d: _tidy(_guards(s, d)),
         "anomaly_summary": _on_votes(anomalies.anomaly_summary),
         "error_rate_series": _on_hourly(timeseries.error_rate_series, ["datetime", "error_rate"]),
         "isolation_forest_anomalies": _on_hourly(isolation.isolation_forest_anomalies),

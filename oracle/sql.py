@@ -238,6 +238,10 @@ def build() -> dict[str, str]:
  case when kind in ('clf', 'space11') then 'HTTP/1.1' end as protocol,
  case when kind = 'tsv11' then 'sid=' || event_id end as cookie, kind as layout
  from lines where kind in ('tsv11', 'tsv9', 'clf', 'space11')""",
+        "short_series": f"""with {_HOURLY} select count(*)::bigint as hours, count(distinct datetime::date)::bigint as days,
+ 0::bigint as detected, 0::bigint as predicted from series""",
+        "quarantine_from_files": f"""with {_LINES} select value as raw_line, 'txt' as suffix from lines
+ where kind in ('junk', 'long', 'notime')""",
         "quarantined_lines": f"""with {_LINES} select value as raw_line from lines
  where kind in ('junk', 'long', 'notime')""",
         "standardized_log": f"""with {_STD} select event_id, datetime, ip, method, uri, status, bytes, response_time, referer, user_agent from std""",
@@ -412,5 +416,8 @@ def build() -> dict[str, str]:
   union all select 'forecast', n + 48 from hours union all select 'forecast_next', 24)
  select section, rows::bigint as rows from parts""",
     }
+    sql["logs_from_files"] = f"""select * exclude (layout), 'txt' as suffix from ({sql["parsed_lines"]})
+ union all by name (with weblog as ({WEBLOG}) select try_strptime(date || ' ' || time, '%Y-%m-%d %H:%M:%S') as datetime,
+ ip, method, uri, status, bytes, response_time, referer, user_agent, null as protocol, null as cookie, 'csv' as suffix from weblog)"""
     sql["report_sections"] = sql["report_sections"].replace("@suspicious_ips@", sql["suspicious_ips"])
     return sql
