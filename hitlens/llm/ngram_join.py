@@ -14,10 +14,10 @@ Before that, sets that cannot be linked are kept apart, without losing a link:
 * First each set joins the group of its most common prefix shingle; sets found linked there become
   one component. Then every group that still holds two components is joined; a pair is
   compared in the first of its groups only.
-* In the second round the prefixes travel first: a set goes on to a group only if its prefix leaves
-  a link with another set there possible.
-* Large groups are cut into blocks of sets. In the first round each block meets one block of
-  pivots; in the second all pairs of blocks meet.
+* In both rounds parity maps travel first, a bit or two per shingle: maps differ in no more places than
+  their sets do, so a set goes on to a group only if its map leaves a link with another one there possible.
+* Large groups are cut into blocks of bounded numbers of sets and bytes. In the first round each block
+  meets one block of pivots; in the second all pairs of blocks meet.
 
 No pair list leaves a task: a trie returns links that span what it has found connected, which is all
 that components need. Shingles are 64-bit hashes. Null and empty texts, and those without words, have no
@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from hitlens.llm.batches import pieces
 from hitlens.llm.words import shingles, words
 from hitlens.operators.components import connected_components
-from hitlens.session import shared_folder
+from hitlens.operators.grouping import BROADCAST_BYTES, attach, measured_bytes
+from hitlens.session import delete_folder, shared_folder
 
 K, THRESHOLD = 4, (85, 100)
 # Common shingles that come last in the order: it changes the work, never the result.
 COMMON = 1 << 16
-# Sets per block of a large group; classes of sets that are sent to all tasks at most.
-BLOCK, BROADCAST_ROWS = 500, 1_000_000
+# Sets, or their parity maps, per block of a large group, and bytes of them.
+BLOCK, LIKELY_BLOCK, BLOCK_BYTES = 500, 4000, 32 << 20
 # Shingles that a task counts at once, and how often one has to occur among them to be common.
 _COUNTED, _OFTEN = 4_000_000, 4
 # Sets whose prefix a task remembers to have handed on.
@@ -242,30 +243,84 @@ def trie_links(classes: np.ndarray, sets: list[np.ndarray], component: np.ndarra
     return links
 
 
+def parity(shingle: np.ndarray) -> bytes:
+    """A bit per place ``shingle % bits``: whether an odd number of the set's shingles fall there.
+
+    ``bits`` is the least power of two not below the size, 64 at least. Two such maps differ in no more
+    places than their sets differ in shingles.
+    """
+    bits = max(64, 1 << max(0, len(shingle) - 1).bit_length())
+    at = (shingle & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _narrowed(maps: list[bytes], words: int) -> np.ndarray:
+    """Parity maps as rows of ``words`` 64-bit words; wider ones are folded, which keeps parities."""
+    out = np.empty((len(maps), words), np.uint64)
+    for i, own in enumerate(maps):
+        row = np.frombuffer(own, np.uint64)
+        out[i] = np.bitwise_xor.reduce(row.reshape(-1, words), axis=0)
+    return out
+
+
+def likely_sets(sizes: np.ndarray, maps: list[bytes], component: np.ndarray, allowed=None,
+                threshold=THRESHOLD) -> np.ndarray:
+    """Marks the sets that may be linked with one of another component, by sizes and parity maps.
+
+    Linked sets of sizes n and m differ in at most ``n + m - 2 * least overlap`` shingles, so that pairs
+    whose maps differ in more places are none.
+    """
+    num, den = threshold
+    order = np.argsort(sizes, kind="stable")
+    size, part = sizes[order], component[order]
+    words = np.array([len(maps[i]) // 8 for i in order], np.int64)
+    keep = np.zeros(len(order), bool)
+    for width in np.unique(words):
+        low, high = np.searchsorted(words, width), np.searchsorted(words, width, "right")
+        stop = np.searchsorted(size, den * size[high - 1] // num, "right")
+        rows = _narrowed([maps[i] for i in order[low:stop]], int(width))
+        for i in range(low, high):
+            end = int(np.searchsorted(size, den * size[i] // num, "right"))
+            wanted = part[i + 1:end] != part[i]
+            if keep[i]:
+                wanted &= ~keep[i + 1:end]
+            if allowed is not None and wanted.any():
+                wanted &= allowed(order[i])[order[i + 1:end]]
+            at = i + 1 + np.flatnonzero(wanted)
+            if not len(at):
+                continue
+            differ = np.bitwise_count(rows[at - low] ^ rows[i - low]).sum(axis=1, dtype=np.int64)
+            most = size[i] + size[at] - 2 * least_overlap(size[i], size[at], threshold)
+            at = at[differ <= most]
+            keep[at] = True
+            keep[i] |= len(at) > 0
+    out = np.zeros(len(order), bool)
+    out[order] = keep
+    return out
+
+
 class _Block:
-    """The rows of one task: sets (or prefixes), and which pairs are to be compared here."""
+    """The rows of one task, and which pairs are to be compared here."""
 
-    def __init__(self, table: pa.Table, arrays: str):
+    def __init__(self, table: pa.Table):
         self.classes = table.column("class").to_numpy()
-        self.sets = self._lists(table, arrays)
         self.component = table.column("component").to_numpy()
         self.blocks = table.column("block").to_numpy()
         self.first, self.second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
         self.home = table.column("home").to_numpy()
-        # shingles before the group's that several sets have: such sets meet in an earlier group
-        group, self.shared = table.column("group")[0].as_py(), None
+        # groups before this one that several of the sets are in: those meet in the first of them
+        lists, self.shared = self.lists(table, "earlier"), None
         if table.column("later")[0].as_py():
-            heads = [s[:np.searchsorted(s, group)] for s in self.sets]
-            number = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-            value, at, n = np.unique(np.concatenate(heads), return_inverse=True, return_counts=True)
+            number = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+            value, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
             often = n > 1
             column = np.cumsum(often) - 1
-            self.shared = np.zeros((len(heads), int(often.sum())), bool)
+            self.shared = np.zeros((len(lists), int(often.sum())), bool)
             mark = often[at]
             self.shared[number[mark], column[at[mark]]] = True
 
     @staticmethod
-    def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    def lists(table: pa.Table, name: str) -> list[np.ndarray]:
         return [np.asarray(s.values) for chunk in table.column(name).chunks for s in chunk]
 
     def allowed(self, i: int) -> np.ndarray:
@@ -274,58 +329,58 @@ class _Block:
         if self.shared is None:
             return np.ones(len(self.classes), bool)
         ok = self.home != self.home[i]
+        if self.first != self.second:
+            ok &= self.blocks != self.blocks[i]
         own = np.flatnonzero(self.shared[i])
         if len(own):
             ok &= ~self.shared[:, own].any(axis=1)
-        return ok & (self.blocks != self.blocks[i]) if self.first != self.second else ok
+        return ok
 
 
 def _links_of(assigned: DataFrame, threshold) -> DataFrame:
     """Links found in each block of rows (group, block, first, second, class, keys, component,
-    home, later)."""
+    home, earlier, later)."""
     def run(table: pa.Table) -> pa.Table:
-        block = _Block(table, "keys")
-        links = trie_links(block.classes, block.sets, block.component, block.allowed, threshold)
+        block = _Block(table)
+        links = trie_links(block.classes, block.lists(table, "keys"), block.component, block.allowed,
+                           threshold)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()),
                          "b": pa.array([x[1] for x in links], pa.int64())})
 
     return assigned.groupBy("group", "first", "second").applyInArrow(run, "a long, b long")
 
 
-def may_link(own: np.ndarray, other: np.ndarray, n: int, m: int, threshold=THRESHOLD) -> bool:
-    """Whether sets of sizes n and m with these prefixes can be linked.
-
-    Up to the end of the prefix that ends first both sets are known; beyond it they share at most
-    what remains of the smaller rest.
-    """
-    last = min(own[-1], other[-1])
-    own, other = own[:np.searchsorted(own, last, "right")], other[:np.searchsorted(other, last, "right")]
-    at = np.searchsorted(own, other)
-    at[at == len(own)] = 0
-    both = int((own[at] == other).sum()) if len(own) else 0
-    return both + min(n - len(own), m - len(other)) >= least_overlap(n, m, threshold)
-
-
 def _likely_of(assigned: DataFrame, threshold) -> DataFrame:
-    """Of rows as above with ``prefix`` and ``size`` for ``keys``: the places (group, first, second,
-    class) whose set may be linked with another one there."""
+    """Of rows as above with ``marks`` and ``size`` for ``keys``: the (group, class, size) that may be
+    linked with another one there."""
     def run(table: pa.Table) -> pa.Table:
-        block = _Block(table, "prefix")
-        sizes = table.column("size").to_numpy()
-        keep = np.zeros(len(sizes), bool)
-        for i, own in enumerate(block.sets):
-            wanted = block.allowed(i) & (block.component != block.component[i])
-            wanted &= (sizes * threshold[1] >= sizes[i] * threshold[0]) & (
-                sizes * threshold[0] <= sizes[i] * threshold[1])
-            wanted[:i + 1] = False
-            for j in np.flatnonzero(wanted):
-                if not (keep[i] and keep[j]) and may_link(
-                        own, block.sets[j], int(sizes[i]), int(sizes[j]), threshold):
-                    keep[i] = keep[j] = True
-        return table.select(["group", "first", "second", "class"]).filter(pa.array(keep))
+        block = _Block(table)
+        keep = likely_sets(table.column("size").to_numpy(), table.column("marks").to_pylist(),
+                           block.component, block.allowed, threshold)
+        return table.select(["group", "class", "size"]).filter(pa.array(keep))
 
     return assigned.groupBy("group", "first", "second").applyInArrow(
-        run, "group long, first int, second int, class long")
+        run, "group long, class long, size long")
+
+
+def _blocks(members, total, most: int, unit: float):
+    """Blocks that a group of so many sets and shingles is cut into, ``unit`` bytes a shingle."""
+    return F.greatest(F.ceil(members / most), F.ceil(total * unit / BLOCK_BYTES)).cast("int")
+
+
+def _meetings(rows: DataFrame, blocks, pivots: bool) -> DataFrame:
+    """Rows in a block of their group and in each pair of blocks (first, second) that meet: all of
+    them, or those with the first block (``pivots``)."""
+    block = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    if pivots:
+        meets = F.transform(F.when(block == 0, every).otherwise(F.array(block)), lambda j: F.struct(
+            F.lit(0).alias("first"), j.alias("second")))
+    else:
+        meets = F.transform(every, lambda j: F.struct(
+            F.least(block, j).alias("first"), F.greatest(block, j).alias("second")))
+    return rows.select("class", "group", "component", "home", "size", "earlier", "later",
+                       block.alias("block"), F.inline(meets))
 
 
 def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -333,6 +388,7 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     """Documents -> (id_col, n_shingles, component_id): the smallest id reachable by links.
 
     Two sets are linked when ``den * |both| >= num * |either|`` for ``threshold = (num, den)``.
+    Intermediate tables in the shared folder are deleted once read; the result stays there.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/ngrams-{uuid.uuid4().hex}"
@@ -341,15 +397,25 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
+    def done_with(*names: str) -> None:
+        for name in names:
+            delete_folder(spark, f"{folder}/{name}")
+
+    def beside(rows: DataFrame, small: DataFrame, on) -> DataFrame:
+        """Inner join that broadcasts ``small`` up to a measured size."""
+        few = measured_bytes(small) <= BROADCAST_BYTES
+        return rows.join(F.broadcast(small) if few else small, on)
+
     source = df.select(df[id_col].alias("__id"), df[text_col].cast("string").alias("__text"))
     order = Order(_common(source, k, COMMON, folder))
+    done_with("common")
     id_field = T.StructField("__id", df.schema[id_col].dataType)
     numbers = T.ArrayType(T.LongType())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for piece, sets in _sets(batches, k):
-            size, group, need, prefix = [], [], [], []
+            size, group, need, prefix, marks = [], [], [], [], []
             for found in sets:
                 n = len(found)
                 keys = order.keys(found)
@@ -357,111 +423,126 @@ def similarity_components(df: DataFrame, *, id_col: str = "doc_id", text_col: st
                 size.append(n), group.append(own), need.append(required(n) if n else None)
                 new = n > 0 and own not in told
                 prefix.append(keys[:prefix_length(n, threshold)] if new else None)
+                marks.append(parity(found) if new else None)
                 if new:
                     told = told if len(told) < _REMEMBERED else set()
                     told.add(own)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array(size, pa.int64()), pa.array(group, pa.int64()),
-                 pa.array(need, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["__id", "n", "class", "need", "prefix"])
-
-    documents = written(source.mapInArrow(sketch, T.StructType([
-        id_field, T.StructField("n", T.LongType()), T.StructField("class", T.LongType()),
-        T.StructField("need", T.IntegerType()), T.StructField("prefix", numbers)])), "documents")
+                [piece.column(0), piece.column(1), pa.array(size, pa.int64()),
+                 pa.array(group, pa.int64()), pa.array(need, pa.int32()),
+                 pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["__id", "__mark", "n", "class", "need", "prefix", "marks"])
+
+    # a row is told from others by its id and a hash of its text, as ids may repeat or be null
+    keyed = source.select("__id", F.xxhash64("__text").alias("__mark"), "__text")
+    documents = written(keyed.mapInArrow(sketch, T.StructType([
+        id_field, T.StructField("__mark", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("class", T.LongType()), T.StructField("need", T.IntegerType()),
+        T.StructField("prefix", numbers), T.StructField("marks", T.BinaryType())])), "documents")
 
     # prefix shingles that several sets have, and sets that have enough of them
     by_shingle, by_class = Window.partitionBy("shingle"), Window.partitionBy("class")
     rows = (documents.where(F.col("prefix").isNotNull())
             .select(F.explode("prefix").alias("shingle"), "class", "need")
             .repartition("shingle").dropDuplicates(["shingle", "class"]))
-    for _ in range(2):
-        rows = rows.withColumn("n", F.count("*").over(by_shingle)).where("n > 1").drop("n")
-        rows = rows.withColumn("n", F.count("*").over(by_class)).where("n >= need").drop("n")
+    rows = rows.withColumn("n", F.count("*").over(by_shingle)).where("n > 1").drop("n")
+    rows = rows.withColumn("n", F.count("*").over(by_class)).where("n >= need").drop("n")
     core = written(rows.withColumn("n", F.count("*").over(by_shingle)).where("n > 1")
                    .select("shingle", "class", "n"), "core")
 
-    # the sets themselves, from one document of each class
-    classes = core.select("class").distinct()
-    lead = written(documents.where("class is not null").groupBy("class").agg(
-        F.min("__id").alias("__id")).join(classes, "class"), "lead")
-    few = lead.count() <= BROADCAST_ROWS
-    wanted = lead.withColumnsRenamed({"__id": "_lead"})
-    chosen = source.join(F.broadcast(wanted) if few else wanted,
-                         F.col("__id").eqNullSafe(F.col("_lead")), "inner").select("class", "__text")
+    # of each class in the core: one document, size and parity map
+    leads = written(documents.where("class is not null").join(
+        core.select("class").distinct(), "class", "left_semi").groupBy("class").agg(
+        F.min(F.struct("__id", "__mark")).alias("lead"), F.max("n").alias("size"),
+        F.max("marks").alias("marks")), "leads")
+    ids = written(documents.select("__id", "n", "class"), "ids")
+    done_with("documents")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for piece, sets in _sets(batches, k):
             keys = [order.keys(found) for found in sets]
             own = piece.column("class").to_pylist()
-            same = [i for i, found in enumerate(keys) if len(found) and class_of(found) == own[i]]
+            same = []
+            for i, found in enumerate(keys):  # repeated rows are handed on once per task
+                if len(found) and own[i] not in told and class_of(found) == own[i]:
+                    told = told if len(told) < _REMEMBERED else set()
+                    told.add(own[i])
+                    same.append(i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([own[i] for i in same], pa.int64()),
                  pa.array([keys[i] for i in same], pa.list_(pa.int64()))], names=["class", "keys"])
 
-    sets = written(chosen.mapInArrow(whole, "class long, keys array<long>"), "sets")
-
-    def beside(places: DataFrame, arrays: DataFrame | None = None) -> DataFrame:
-        """Places with their sets; few places are sent to the sets, many meet them by class."""
-        arrays = sets if arrays is None else arrays
-        places = written(places, f"places-{uuid.uuid4().hex}")
-        small = places.count() <= BROADCAST_ROWS
-        return arrays.join(F.broadcast(places) if small else places, "class")
+    def links_in(members: DataFrame, name: str, pivots: bool) -> DataFrame:
+        """Links of the groups (group, class, component, home, size, earlier, later, members, total).
+
+        Parity maps tell most pairs apart, so that whole sets travel for the few others only.
+        """
+        members = written(members, f"members{name}")
+        cut = _blocks(F.col("members"), F.col("total"), LIKELY_BLOCK, 0.25)
+        likely = written(_likely_of(_meetings(members, cut, pivots).join(
+            leads.select("class", "marks"), "class"), threshold).distinct(), f"likely{name}")
+        wanted = likely.select("class").distinct().join(leads, "class").select(
+            "class", F.col("lead.__id").alias("_id"), F.col("lead.__mark").alias("_mark"))
+        chosen = beside(keyed, wanted, F.col("__id").eqNullSafe(F.col("_id"))
+                        & (F.col("__mark") == F.col("_mark"))).select("class", "__text")
+        sets = written(chosen.mapInArrow(whole, "class long, keys array<long>"), f"sets{name}")
+        stats = likely.groupBy("group").agg(F.count("*").alias("members"), F.sum("size").alias("total"))
+        rest = attach(members.drop("members", "total").join(
+            likely.select("group", "class"), ["group", "class"]), stats, ["group"])
+        places = written(_meetings(rest, _blocks(F.col("members"), F.col("total"), BLOCK, 8), pivots),
+                         f"places{name}")
+        links = written(_links_of(beside(sets, places, "class"), threshold), f"links{name}")
+        done_with(*[f"{part}{name}" for part in ("members", "likely", "sets", "places")])
+        return links
 
     # first round: every set in its most common group, blocks against pivots
-    home = core.groupBy("class").agg(F.max_by(
-        F.struct("shingle", "n"), F.struct("n", "shingle")).alias("home")).select(
-        "class", F.col("home.shingle").alias("group"), F.col("home.n").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    others = F.when(block == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
-    first = home.select("class", "group", block.alias("block"), F.explode(others).alias("second")).select(
-        "class", "group", "block", F.lit(0).alias("first"), "second",
-        F.col("class").alias("component"), F.col("class").alias("home"), F.lit(False).alias("later"))
-    links = written(_links_of(beside(first), threshold), "links1")
+    home = written(core.groupBy("class").agg(F.max_by("shingle", F.struct("n", "shingle")).alias("group")).join(
+        leads.select("class", "size"), "class"), "home")
+    home = attach(home, home.groupBy("group").agg(
+        F.count("*").alias("members"), F.sum("size").alias("total")), ["group"])
+    none = F.array().cast(numbers)
+    links = links_in(home.select(
+        "group", "class", F.col("class").alias("component"), F.col("class").alias("home"), "size",
+        none.alias("earlier"), F.lit(False).alias("later"), "members", "total"), "1", True)
 
     # second round: the groups that still hold several components, all blocks against all; the
     # least class a set was linked with in the first round names its component
     label = links.groupBy(F.col("b").alias("class")).agg(F.min("a").alias("component"))
     # all pairs of a group that is one block have been compared; else a set stands for itself
-    done = home.select("class", F.when(F.col("n") <= BLOCK, F.col("group")).otherwise(
-        F.col("class")).alias("home"))
-    labelled = written(core.join(done, "class").join(label, "class", "left").withColumn(
-        "component", F.coalesce("component", "class")), "labelled")
+    done = home.join(label, "class", "left").select("class", "size", F.when(
+        _blocks(F.col("members"), F.col("total"), BLOCK, 8) == 1, F.col("group")).otherwise(
+        F.col("class")).alias("home"), F.coalesce("component", "class").alias("component"))
+    labelled = written(core.select("shingle", "class").join(done, "class"), "labelled")
     groups = labelled.groupBy("shingle").agg(
-        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count("*").alias("members"), F.sum("size").alias("total"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
         F.min("home").alias("home1"), F.max("home").alias("home2"),
         F.bit_xor(F.xxhash64("class")).alias("mark"),
         F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("mark2")).where(
         "low < high and home1 < home2")
     # groups of the same sets are one
-    groups = groups.groupBy("n", "mark", "mark2").agg(F.min("shingle").alias("group"))
-    placed = labelled.select("shingle", "class", "component", "home").join(
-        groups.select("group", F.col("n").alias("members")), F.col("shingle") == F.col("group"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(
-        F.least(block, j).alias("first"), F.greatest(block, j).alias("second")))
-    second = written(placed.select("class", "component", "home", "group", block.alias("block"),
-                                   F.inline(meets), F.lit(True).alias("later")), "second")
-    # prefixes tell most pairs apart, so whole sets travel for the few others only
-    size = F.size("keys")
-    prefixes = sets.select("class", size.cast("long").alias("size"), F.slice(
-        "keys", 1, F.least(size, size - F.ceil(size * threshold[0] / threshold[1]).cast("int")
-                           + F.greatest(F.lit(1), F.least(F.lit(8), F.floor(size / 8).cast("int")))))
-        .alias("prefix"))
-    likely = written(_likely_of(beside(second, prefixes), threshold), "likely")
-    rest = second.join(likely, ["group", "first", "second", "class"])
-    more = written(_links_of(beside(rest), threshold), "links2")
+    groups = groups.groupBy("members", "total", "mark", "mark2").agg(F.min("shingle").alias("group"))
+    placed = written(labelled.join(groups.select("group", "members", "total"),
+                                   F.col("shingle") == F.col("group")).drop("shingle"), "placed")
+    lists = placed.groupBy("class").agg(F.sort_array(F.collect_list("group")).alias("lists"))
+    second = placed.join(lists, "class").withColumn(
+        "earlier", F.filter("lists", lambda g: g < F.col("group"))).withColumn("later", F.lit(True))
+    more = links_in(second.select("group", "class", "component", "home", "size", "earlier", "later",
+                                  "members", "total"), "2", False)
+    done_with("core", "leads", "home", "labelled", "placed")
     found = connected_components(links.unionByName(more))
 
     # the smallest id of each component
-    least = documents.where("class is not null").groupBy("class").agg(F.min("__id").alias("least"))
+    least = ids.where("class is not null").groupBy("class").agg(F.min("__id").alias("least"))
     least = least.join(found.withColumnsRenamed({"node": "class"}), "class", "left").withColumn(
         "root", F.coalesce("component", "class"))
     smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
     names = written(least.select("class", "root").join(smallest, "root").select(
         F.col("class").alias("_class"), "component_id"), "names")
-    return documents.join(names, F.col("class") == F.col("_class"), "left").select(
+    result = written(ids.join(names, F.col("class") == F.col("_class"), "left").select(
         F.col("__id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("__id")).otherwise(F.col("component_id"))
-        .alias("component_id"))
+        .alias("component_id")), "result")
+    done_with("links1", "links2", "ids", "names")
+    return result

@@ -1,5 +1,7 @@
 """Operators that look at many documents together, against brute force."""
 
+import glob
+import os
 import random
 import re
 import zlib
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 import check_oracle
 import corpus_pipeline
 from hitlens.llm import ngram_join, queries, sharding, token_counts
+from hitlens.session import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -77,6 +80,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("block", [500, 7])
 def test_components_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LIKELY_BLOCK", 2 * block)
     rnd = random.Random(9)
     vocabulary = [f"w{i}" for i in range(300)] + ["The", "of"] * 40
     rows, common = [], " ".join(rnd.choices(vocabulary, k=60))
@@ -116,6 +120,47 @@ def test_prefixes_of_linked_sets_meet():
             assert len(met) >= max(ngram_join.required(len(a)), ngram_join.required(len(b)))
 
 
+def test_parity_maps_lose_no_link_and_drop_half_similar_sets():
+    rng = np.random.default_rng(12)
+    common = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(40):  # families that share half their shingles, some with near copies
+        base = np.concatenate([common, rng.integers(0, 2**63, rng.integers(60, 400), dtype=np.uint64)])
+        for lost in rng.choice([0.0, 0.01, 0.05, 0.1], rng.integers(1, 3)):
+            sets.append(np.unique(base[rng.random(len(base)) >= lost]))
+    sets += [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 1, 2, 3000)]
+    sizes = np.array([len(s) for s in sets])
+    linked = np.zeros(len(sets), bool)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                linked[[i, j]] = True
+    found = ngram_join.likely_sets(sizes, [ngram_join.parity(s) for s in sets], np.arange(len(sets)))
+    assert found[linked].all() and 4 < linked.sum() and found.sum() <= linked.sum() + 6
+    assert not ngram_join.likely_sets(sizes, [ngram_join.parity(s) for s in sets], np.zeros(len(sets), int)).any()
+
+
+def test_join_of_repeated_and_null_ids(spark, tmp_path):
+    """Texts under one or no id are told apart, and no intermediate table stays behind."""
+    rnd = random.Random(13)
+    texts = []
+    for _ in range(30):
+        text = rnd.choices([f"v{i}" for i in range(900)], k=80)
+        texts += [" ".join(text), " ".join(text), " ".join([*text, "end"])]
+    texts.append("long " * 3 + " ".join(f"x{i}" for i in range(200_000)))
+    texts.append(texts[-1] + " more")
+    rows = [(None if n % 2 else 5, t) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.similarity_components(df).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} <= {5, None}
+    tagged = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    alone = [r.component_id for r in ngram_join.similarity_components(tagged).orderBy("doc_id").collect()]
+    assert alone == [n - n % 3 for n in range(90)] + [90, 90]
+    folders = glob.glob(f"{shared_folder(spark).removeprefix('file:')}/ngrams-*")
+    assert folders and all(os.listdir(f) == ["result"] for f in folders)
+
+
 def test_trie_finds_all_links():
     rng = np.random.default_rng(11)
     base = [np.sort(rng.choice(5000, 60, replace=False)) for _ in range(6)]
