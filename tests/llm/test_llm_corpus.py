@@ -217,6 +217,11 @@ def test_every_operator_is_registered():
 
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    said = "you are {} and {} like all of them and nobody wants that here"
+    rude = [said.format(a, b) for a, b in zip(["scum", "trash", "a m0ron"], ["a loser", "disgusting", "Trash"])]
+    planted = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate([*rude, said.format("kind", "calm")])],
+                                    "doc_id long, text string")
+    docs = docs.unionByName(planted, allowMissingColumns=True).select(docs.columns)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "ngram_join", "decontamination", "pii", "bpe"]
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -227,6 +232,11 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.dtypes == before.dtypes
             texts = {r.doc_id: r.text for r in docs.collect()}
         was = {r.doc_id: r.text for r in before.collect()} if "text" in before.columns else {}
+        if name == "toxicity":
+            gone = set(was) - set(texts)
+            toxic = {r[0] for r in duckdb.sql(f"select doc_id from '{SMALL}/labels.parquet' where toxic > 0").fetchall()}
+            assert {10_000_000, 10_000_001, 10_000_002} <= gone and 10_000_003 in texts
+            assert len(gone & toxic) >= 5 and set(texts) <= set(was) and len(gone) < 0.1 * len(was)
         if name == "ngram_join":
             groups = brute_components(list(was.items()))
             assert set(texts) == {i for i, (_, c) in groups.items() if i == c}
@@ -237,7 +247,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "pii":
             assert set(texts) == set(was)
             assert not [t for t in texts.values() if re.search(r"[\w.]+@\w+\.\w+|\+1 \(", t)]
-            assert {r.n_chars == len(r.text) for r in docs.collect()} == {True}
+            assert {r.n_chars == len(r.text) for r in docs.where("doc_id < 10000000").collect()} == {True}
         if name == "bpe":
             assert docs.count() == len(texts)
             assert [len(r.token_ids) for r in docs.collect()] == [r.n_tokens for r in docs.collect()]

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import time
 import re
+import time
 
 import numpy as np
 import pytest
@@ -146,6 +148,39 @@ def test_em_finds_the_unreliable_labeler():
     assert accuracy[2] < 0.6 < 0.85 < min(accuracy[0], accuracy[1], accuracy[3])
 
 
+def test_secrets_are_added_by_votes(spark):
+    rnd = random.Random(4)
+    hexes = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    texts = [f'set token = "{h}" here' for h in hexes[:30]] + [f"api_key: {h}" for h in hexes[30:]]
+    plain = [f"chapter {i} of the aaaaaaaaaaaaaaaaaaaaaaaa1 section and version 1111111111111111111111a" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    model = pii.fit(df)
+    for text, secret in zip(texts, hexes):
+        added = [text[a:b] for kind, a, b, base, _ in model.spans(text) if kind == "secret" and not base]
+        assert added == [secret]
+    assert not [s for t in plain for s in model.spans(t) if s[0] == "secret"]
+    untaught = pii.Model({})
+    assert [s for t in texts for s in untaught.spans(t) if s[4] != 0.5] == []
+    masked = {r.doc_id: r.text for r in pii.masked(df, model).collect()}
+    assert masked[0] == 'set token = "<SECRET>" here' and masked[95] == plain[35]
+
+
+def test_loose_spans_beside_base_spans_as_by_all_pairs():
+    rnd = random.Random(6)
+    bits = ["Anna Smith", "a.b@c.de", "Maria", "@x.org", "555-123-4567", "+1 555 123 4567", "10.0.0.1",
+            "123-45-6789", " ", ", ", "4111 1111 1111 1111"]
+    for _ in range(300):
+        text = "".join(rnd.choice(bits) for _ in range(12))
+        found = pii.candidates(text)
+        taken = [(a, b) for _, a, b, ok in found if ok]
+        alone = [c for c in pii.loose_spans(text)
+                 if not any(x < c[2] and c[1] < y for x, y in taken)]
+        assert [c[:3] for c in found if c[0] not in pii.BASE] == alone
+    long = "Anna Smith wrote anna@example.org. " * 30_000  # 1 MB
+    start = time.time()
+    assert len(pii.candidates(long)) == 60_000 and time.time() - start < 20
+
+
 # toxicity
 
 def test_toxicity_folds_and_spares(spark):
@@ -179,6 +214,69 @@ def test_toxicity_learns_what_is_held_out(spark, documents, empty):
     assert toxicity.score(empty, nothing).count() == 0
 
 
+def plain_hits(lexicon, text):
+    """Every word start against every term, every hit against every phrase."""
+    folded = toxicity.fold(text)
+
+    def whole(a, b):
+        return not (a and folded[a - 1].isalnum()) and not folded[b:b + 1].isalnum()
+
+    spared = [(a, a + len(p)) for p in lexicon.exceptions for a in range(len(folded))
+              if folded.startswith(p, a) and whole(a, a + len(p))]
+    best = {}
+    for term, weight in lexicon.weights.items():
+        stem = term.rstrip("*")
+        for a in range(len(folded)):
+            if folded.startswith(stem, a) and not (a and folded[a - 1].isalnum()):
+                end = a + len(stem)
+                if (term[-1] == "*" or whole(a, end)) and weight >= best.get(a, (0, 0))[1]:
+                    best[a] = end, weight
+    return {a: w for a, (end, w) in best.items()
+            if not any(x <= a and end <= y for x, y in spared)}
+
+
+def test_toxicity_hits_equal_plain_search():
+    rnd = random.Random(8)
+    bits = ["ab", "abc", "abcd", "b4d", "bad", "bаd", "cab", "c", "!", "."]
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc*": 2.0, "bad": 3.0, "ca*": 1.5, "cab": 2.5},
+                               ["ab bad", "bad cab", "cab cab", "bad cab c"])
+    for _ in range(400):
+        text = rnd.choice(["", " "]).join(rnd.choice(bits) + rnd.choice(["", " "]) for _ in range(12))
+        assert {a: w for a, _, w in lexicon.hits(text)} == plain_hits(lexicon, text), text
+    unit = "ab bad cab ab c "  # only the second ab is in no phrase
+    assert len(plain_hits(lexicon, unit * 3)) == 3
+    start = time.time()
+    assert len(lexicon.hits(unit * 70_000)) == 70_000 and time.time() - start < 20
+
+
+def test_toxicity_learns_what_chance_does_not_explain(spark):
+    rnd = random.Random(3)
+    plain = ["".join(rnd.choice("aeioubdgklmnprst") for _ in range(6)) for _ in range(500)]
+
+    def text(i):
+        said = rnd.choices(plain, k=60)
+        if i % 8 == 0:
+            said[5::20] = [rnd.choice(["vermin", "fluch" + rnd.choice(plain)]) for _ in said[5::20]]
+        elif i % 8 == 1:
+            said[5:7] = ["vermin", "control"]
+        return " ".join(said)
+
+    rows = [(text(i), int(i % 8 == 0)) for i in range(800)]
+    copies = [(f"zzcopy zzsame {rows[0][0]} more{i}", 1) for i in range(40)]
+    frame = spark.createDataFrame(rows + copies, "text string, toxic int")
+    lexicon = toxicity.fit(frame)
+    assert {"vermin", "fluch*"} <= set(lexicon.weights) and "zzcopy" not in lexicon.weights
+    assert not [t for t in lexicon.weights if t in plain]
+    assert "vermin control" in lexicon.exceptions
+    few = toxicity.fit(frame, most_labelled=400)
+    assert "fluch*" in few.weights
+    mixed = [t for t, _ in rows]
+    rnd.shuffle(mixed)
+    nothing = toxicity.fit(spark.createDataFrame(
+        [(t, y) for t, (_, y) in zip(mixed, rows)], "text string, toxic int"))
+    assert len(nothing.weights) <= 3
+
+
 # decontamination
 
 def edit_distance(a, b):
