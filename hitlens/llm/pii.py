@@ -1,22 +1,26 @@
 """Personal data found by weak supervision.
 
 Candidate spans come from the base rules and from looser patterns (names, phone numbers without a
-country code, written-out mail addresses, identity numbers). Four labelers vote on each candidate
-(yes, no or nothing): the base rules, a gazetteer, the words before it, and its edges. Spark counts
+country code, written-out mail addresses, identity numbers, secrets such as keys and tokens). Four labelers
+vote on each candidate (yes, no or nothing): the rules (for a secret its entropy), a gazetteer, the words before
+it, and its edges. Spark counts
 the vote patterns over all texts; expectation-maximisation estimates each labeler's reliability per
 kind from the counts, and its posteriors train the final classifier, a logistic regression over votes
 and features of the span. Spans of the base rules always stay; the classifier adds others that
 do not overlap them.
 
 Offsets are code points, ends exclusive. Null texts count as empty and have no spans; repeated rows
-have equal spans; an empty table gives an empty one; other columns are ignored.
+have equal spans; an empty table gives an empty one; other columns are ignored by
+``detect`` and kept by ``masked``. Texts are taken whole; base and loose spans are merged in order.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from hitlens.llm.batches import pieces
 
 # Kinds in their order of listing, base kinds first.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "mail_text", "phone_local", "identity", "name")
+KINDS = (*BASE, "mail_text", "phone_local", "identity", "name", "secret")
 LABELERS = ("rule", "gazetteer", "context", "edges")
 # Gazetteers: given names, first digits of card issuers, documentation addresses, mail endings.
 GIVEN_NAMES = frozenset(
@@ -42,7 +46,8 @@ CUES = {
     "email": r"mail|contact|write|schreib|écri|correo", "mail_text": r"mail|contact|write",
     "ip": r"\bip\b|host|server|address", "card": r"card|visa|pay|karte|carte|tarjeta",
     "phone": r"phone|tel|call|fax|mobil", "phone_local": r"phone|tel|call|fax|mobil",
-    "identity": r"ssn|social|identity|passport", "name": r"\bmrs?\b|\bdr\b|name|dear|herr|frau"}
+    "identity": r"ssn|social|identity|passport", "secret": r"token|secret|passw|pwd|bearer|key|credential",
+    "name": r"\bmrs?\b|\bdr\b|name|dear|herr|frau"}
 AGAINST = r"version|\bv$|isbn|section|serial|order|chapter|release"
 _CUES = {k: re.compile(rf"(?i)(?:{v})[^\n]{{0,12}}$") for k, v in CUES.items()}
 _AGAINST = re.compile(rf"(?i)(?:{AGAINST})\W{{0,3}}$")
@@ -57,6 +62,9 @@ _PHONE_LOCAL = re.compile(r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _IDENTITY = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _MAIL_TEXT = re.compile(r"\b\w{1,40} ?[(\[] ?at ?[)\]] ?\w{1,40}(?: ?[(\[] ?dot ?[)\]] ?|\.)\w{2,20}\b")
 _NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")
+# a run of letters, digits and signs of base64 that holds a digit and a letter
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}={0,2}")
+_ISSUED = re.compile(r"gh[pousr]_|sk-|pk_|AKIA|xox[abp]-|eyJ|glpat-")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -111,31 +119,49 @@ def _name_in(match: re.Match) -> tuple[int, int]:
     return match.span()
 
 
-def candidates(text: str) -> list[tuple[str, int, int, bool]]:
-    """Matches of the base and the looser patterns; the latter only beside valid base spans."""
-    found = matches(text)
-    taken = [(a, b) for _, a, b, ok in found if ok]
+def loose_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the looser patterns."""
     loose = []
     if _DIGIT.search(text):
         loose += [("phone_local", *m.span()) for m in _PHONE_LOCAL.finditer(text)]
         loose += [("identity", *m.span()) for m in _IDENTITY.finditer(text)]
+        loose += [("secret", *m.span()) for m in _SECRET.finditer(text)]
     if "at]" in text or "at)" in text or "at ]" in text or "at )" in text:
         loose += [("mail_text", *m.span()) for m in _MAIL_TEXT.finditer(text)]
-    loose += [("name", *_name_in(m)) for m in _NAME.finditer(text)]
-    for kind, a, b in loose:
-        if not any(x < b and a < y for x, y in taken):
+    return loose + [("name", *_name_in(m)) for m in _NAME.finditer(text)]
+
+
+def candidates(text: str) -> list[tuple[str, int, int, bool]]:
+    """Matches of the base and the looser patterns; the latter only beside valid base spans."""
+    found = matches(text)
+    taken = sorted((a, b) for _, a, b, ok in found if ok)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))
+    for kind, a, b in loose_spans(text):
+        before = bisect_left(starts, b)  # base spans that begin before this one ends
+        if not before or reach[before - 1] <= a:
             found.append((kind, a, b, False))
     return found
 
 
+def entropy(span: str) -> float:
+    """Bits a sign."""
+    n = np.array(list(Counter(span).values())) / len(span)
+    return float(-(n * np.log2(n)).sum())
+
+
 def votes(text: str, kind: str, start: int, end: int, valid: bool) -> tuple[int, ...]:
     """The labelers' votes on a candidate: 1 yes, -1 no, 0 nothing."""
     span = text[start:end]
     rule = 1 if valid else -1 if kind in BASE else 0
+    if kind == "secret":
+        rule = 1 if entropy(span) >= 3.0 else -1
     if kind == "name":
         gazetteer = 1 if span.split(" ")[0] in GIVEN_NAMES else -1
     elif kind in ("email", "mail_text"):
         gazetteer = 1 if span.rsplit(".", 1)[-1].lower() in ENDINGS else 0
+    elif kind == "secret":
+        gazetteer = 1 if _ISSUED.match(span) else 0
     elif kind == "ip":
         gazetteer = -1 if NO_HOST.match(span) else 0
     elif kind == "card":
