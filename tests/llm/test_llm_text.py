@@ -257,7 +257,7 @@ def test_toxicity_learns_what_chance_does_not_explain(spark):
         said = rnd.choices(plain, k=60)
         if i % 8 == 0:
             said[5::20] = [rnd.choice(["vermin", "fluch" + rnd.choice(plain)]) for _ in said[5::20]]
-        elif i % 8 == 1:
+        elif i % 16 == 1:  # in fewer clean texts than toxic ones, or it would weigh too little
             said[5:7] = ["vermin", "control"]
         return " ".join(said)
 
