@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from hitlens.operators.distances import strips
 from hitlens.operators.kmeans import STEPS, Model, matrices, squared_distances
 
 # Numbers of pivots tried one after another: the last bounds what is broadcast.
@@ -93,8 +94,7 @@ def _entries(points: DataFrame, models: dict[int, Model], pivots: np.ndarray) ->
         table: dict[tuple, np.ndarray] = {}
         for x in matrices(batches, width):
             x = x / STEPS
-            distance = squared_distances(x, pivots)
-            cell = distance.argmin(axis=1)
+            cell = np.concatenate([near.argmin(axis=1) for _, near in strips(x, pivots)])
             offset = x - pivots[cell]
             values = np.column_stack([np.ones(len(x)), (offset * offset).sum(axis=1), offset])
             for k in ks:
@@ -117,7 +117,9 @@ def _entries(points: DataFrame, models: dict[int, Model], pivots: np.ndarray) ->
     k, cell, cluster, n, v = (rows.column(c).to_numpy() for c in named[:5])
     mean = np.column_stack([rows.column(f"s{d}").to_numpy() for d in range(width)]) / n[:, None]
     spread = np.maximum(v / n - (mean * mean).sum(axis=1), 0)
-    return {own: (cluster[k == own], n[k == own], (pivots[cell] + mean)[k == own], spread[k == own]) for own in ks}
+    mean += pivots[cell]
+    order = np.lexsort((cell, cluster, k))  # a cluster's cells side by side
+    return {own: tuple(c[order[k[order] == own]] for c in (cluster, n, mean, spread)) for own in ks}
 
 
 def bounds(points: DataFrame, models: dict[int, Model], cells: int) -> dict[int, tuple[float, float]]:
@@ -130,10 +132,15 @@ def bounds(points: DataFrame, models: dict[int, Model], cells: int) -> dict[int,
         centres, sizes = facts[k]
         cluster, n, mean, spread = entries[k]
         own = squared_distances(x, centres).argmin(axis=1)
-        near = squared_distances(x, mean)
-        member = np.zeros((len(n), len(sizes)))
-        member[np.arange(len(n)), cluster] = n
-        return _pick(np.sqrt(near) @ member, np.sqrt(near + spread) @ member, sizes, own)
+        runs = np.flatnonzero(np.diff(cluster, prepend=-1))
+        filled = cluster[runs]
+        low, high = np.zeros((len(x), len(sizes))), np.zeros((len(x), len(sizes)))
+        for start, near in strips(x, mean):
+            rows = slice(start, start + len(near))
+            low[rows, filled] = np.add.reduceat(np.sqrt(near) * n, runs, axis=1)
+            near += spread
+            high[rows, filled] = np.add.reduceat(np.sqrt(near, out=near) * n, runs, axis=1)
+        return _pick(low, high, sizes, own)
 
     return _means_over(points, scores, list(models), pivots.shape[1])
 

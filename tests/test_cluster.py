@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import request
-from hitlens.operators import cluster, kmeans, silhouettes
+from hitlens.operators import cluster, distances, kmeans, silhouettes
 from hitlens.operators.components import connected_components
 from hitlens.operators.dbscan import dbscan
 
@@ -279,3 +279,18 @@ def test_one_metric_at_every_size(spark):
         brute_silhouette(x, df_labels))
     with pytest.raises(ValueError):
         cluster.choose_k(df, cols, metric="auto")
+
+
+@pytest.mark.parametrize("far", [0.0, 1e5])
+def test_strips_are_bounded_and_near_pairs_exact(far):
+    """However many rows are on the right, a strip holds a bounded number of distances."""
+    rng = np.random.default_rng(3)
+    left, right = rng.normal(size=(60, 5)) + far, rng.normal(size=(30_000, 5)) + far
+    right[:40] = left[:40]
+    want = ((left[:, None] - right[None]) ** 2).sum(axis=2)
+    found = list(distances.strips(left, right))
+    assert max(square.size for _, square in found) <= distances.STRIP < want.size
+    assert np.allclose(np.concatenate([square for _, square in found]), want, rtol=1e-9 if not far else 1e-4, atol=0)
+    pairs = [np.column_stack(p) for p in distances.near_pairs(left, right, 0.8)]
+    exact = sum((left[:, d, None] - right[None, :, d]) ** 2 for d in range(5)) <= 0.8 * 0.8
+    assert np.array_equal(np.concatenate(pairs), np.argwhere(exact))
