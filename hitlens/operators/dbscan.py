@@ -26,20 +26,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from hitlens.operators import distances
 from hitlens.operators.components import connected_components
-from hitlens.operators.distances import block_pairs, block_rows, hash_block, strips
+from hitlens.operators.distances import block_pairs, block_rows, hash_block, near_pairs
 from hitlens.operators.grouping import attach, salted_join
 from hitlens.session import checkpoint
 
 NOISE = -1
 _SAMPLE = 20_000
+# Greatest share of rows near a cut.
+MOST_COPIED = 0.5
 
 
-def _split_space(sample: np.ndarray, eps: float, leaves: int) -> list[tuple]:
+def _split_space(sample: np.ndarray, eps: float, reach: float, leaves: int) -> list[tuple]:
     """k-d tree as (dimension, cut, below, above); a leaf is (-1, 0, leaf number, -1).
 
-    A dimension is cut at its median while both halves stay wide against ``eps``, so that
-    copies near the cut remain a small share.
+    Of the dimensions in which both halves stay wide against ``eps`` the one is cut at its median that has the
+    least share of rows near the cut, which are copied; with more than ``MOST_COPIED`` in each
+    a cut would save no more than its copies cost.
     """
     nodes, count = [], [0]
     target = max(2, len(sample) // leaves) if leaves > 1 else len(sample) + 1
@@ -47,29 +51,38 @@ def _split_space(sample: np.ndarray, eps: float, leaves: int) -> list[tuple]:
     def grow(rows):
         me = len(nodes)
         nodes.append(None)
+        best = MOST_COPIED, -1, 0.0
         if len(rows) > target:
-            low, high = rows.min(axis=0), rows.max(axis=0)
-            for d in np.argsort(low - high):
-                if high[d] - low[d] < 8 * eps:
-                    break
-                cut = float(np.median(rows[:, d]))
-                left = rows[:, d] < cut
-                if min(cut - low[d], high[d] - cut) >= 2 * eps and 0 < left.sum() < len(rows):
-                    nodes[me] = (int(d), cut, grow(rows[left]), grow(rows[~left]))
-                    return me
-        nodes[me] = (-1, 0.0, count[0], -1)
-        count[0] += 1
+            low, high, cuts = rows.min(axis=0), rows.max(axis=0), np.median(rows, axis=0)
+            shares = ((rows >= cuts - eps) & (rows <= cuts + reach)).mean(axis=0)
+            wide = (high - low >= 8 * eps) & (np.minimum(cuts - low, high - cuts) >= 2 * eps)
+            best = min([best, *[(s, d, c) for d, (s, c) in enumerate(zip(shares, cuts)) if wide[d]]])
+        _, d, cut = best
+        if d >= 0:
+            left = rows[:, d] < cut
+            nodes[me] = (d, float(cut), grow(rows[left]), grow(rows[~left]))
+        else:
+            nodes[me] = (-1, 0.0, count[0], -1)
+            count[0] += 1
         return me
 
     grow(sample)
     return nodes
 
 
-def _place(items: DataFrame, tree: list[tuple], reach: float, schema: str) -> DataFrame:
-    """One row per item and leaf it belongs to (by its low corner) or lies near."""
+def _high(items: pd.DataFrame) -> np.ndarray:
+    """High corners; a single point has its only one as ``low``."""
+    return np.stack(items["high"].where(items["high"].notna(), items["low"]).to_numpy())
+
+
+def _place(items: DataFrame, tree: list[tuple], eps: float, reach: float, schema: str) -> DataFrame:
+    """One row per item and leaf it belongs to (by its low corner) or lies near.
+
+    An item of the leaf below a cut ends less than ``reach - eps`` above it.
+    """
     def spread(batches):
         for pdf in batches:
-            low, high = (np.stack(pdf[c].to_numpy()) if len(pdf) else np.zeros((0, 1)) for c in ("low", "high"))
+            low, high = (np.stack(pdf["low"].to_numpy()), _high(pdf)) if len(pdf) else (np.zeros((0, 1)),) * 2
             work = [(0, np.arange(len(pdf)), np.ones(len(pdf), dtype=bool))]
             while work:
                 at, rows, home = work.pop()
@@ -79,7 +92,7 @@ def _place(items: DataFrame, tree: list[tuple], reach: float, schema: str) -> Da
                 if d < 0:
                     yield pdf.iloc[rows].assign(leaf=below, home=home)
                     continue
-                left, right = low[rows, d] <= cut + reach, high[rows, d] >= cut - reach
+                left, right = low[rows, d] <= cut + reach, high[rows, d] >= cut - eps
                 own = low[rows, d] < cut
                 work.append((below, rows[left], home[left] & own[left]))
                 work.append((above, rows[right], home[right] & ~own[right]))
@@ -99,7 +112,15 @@ def _gaps(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high:
 
 
 def _any_near(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
-    return any((square <= eps * eps).any() for _, square in strips(a, b))
+    return any(len(i) for i, _ in near_pairs(a, b, eps))
+
+
+def _weights(left: np.ndarray, right: np.ndarray, weight: np.ndarray, eps: float) -> np.ndarray:
+    """Weight of the right rows near each left one."""
+    total = np.zeros(len(left), dtype=np.int64)
+    for i, j in near_pairs(left, right, eps):
+        np.add.at(total, i, weight[j])
+    return total
 
 
 def _survey(left: pd.DataFrame, right: pd.DataFrame, eps: float) -> pd.DataFrame:
@@ -111,15 +132,14 @@ def _survey(left: pd.DataFrame, right: pd.DataFrame, eps: float) -> pd.DataFrame
     out = []
     if len(left) and len(right):
         one, other = ~left["dense"].to_numpy(bool), right["dense"].to_numpy(bool)
-        corners = [np.stack(f[c].to_numpy()) for f in (left, right) for c in ("low", "high")]
+        corners = [c for f in (left, right) for c in (np.stack(f["low"].to_numpy()), _high(f))]
         ids, names, weight = left["pid"].to_numpy(), right["pid"].to_numpy(), right["weight"].to_numpy()
-        total = np.zeros(len(left), dtype=np.int64)
-        for start, square in strips(corners[0], corners[2][~other]):
-            total[start:start + len(square)] = (square <= eps * eps) @ weight[~other]
-        out += [(i, None, n) for i, n in zip(ids[one], total[one])]
+        total = _weights(corners[0][one], corners[2][~other], weight[~other], eps)
+        out += [(i, None, n) for i, n in zip(ids[one], total)]
         cells = np.flatnonzero(other)
-        for start in range(0, len(left) if len(cells) else 0, 256):
-            rows = slice(start, start + 256)
+        step = max(1, distances.STRIP // max(len(cells), 1))
+        for start in range(0, len(left) if len(cells) else 0, step):
+            rows = slice(start, start + step)
             near, far = _gaps(corners[0][rows], corners[1][rows], corners[2][cells], corners[3][cells])
             sure = far <= eps * eps
             for i, j in zip(*np.nonzero(near <= eps * eps)):
@@ -137,9 +157,8 @@ def _near_points(single: pd.DataFrame, cell: pd.DataFrame, eps: float) -> pd.Dat
     """Weights of a cell's points near each of the single ones."""
     total = np.zeros(len(single), dtype=np.int64)
     if len(single) and len(cell):
-        weight = cell["weight"].to_numpy()
-        for start, square in strips(np.stack(single["x"].to_numpy()), np.stack(cell["x"].to_numpy())):
-            total[start:start + len(square)] = (square <= eps * eps) @ weight
+        total = _weights(np.stack(single["x"].to_numpy()), np.stack(cell["x"].to_numpy()),
+                         cell["weight"].to_numpy(), eps)
     return single[["pid", "other"]].assign(weight=total)
 
 
@@ -162,17 +181,17 @@ def _link(left: pd.DataFrame, right: pd.DataFrame, eps: float) -> pd.DataFrame:
             return i
 
         anchor = np.full(len(left), -1)
-        for start, square in strips(a, b):
-            for k, near in enumerate(square <= eps * eps):
-                hits = np.flatnonzero(near)
-                if not core[start + k]:
-                    edges += [(left_id[start + k], right_id[h], False) for h in hits]
-                elif hits.size:
+        for rows, near in near_pairs(a, b, eps):
+            at = np.flatnonzero(np.diff(rows, prepend=-1))
+            for k, hits in zip(rows[at], np.split(near, at[1:])):
+                if not core[k]:
+                    edges += [(left_id[k], right_id[h], False) for h in hits]
+                else:
                     tops = {find(h) for h in np.unique(root[hits])}
                     first = min(tops)
                     for t in tops:
                         root[t] = first
-                    anchor[start + k] = first
+                    anchor[k] = first
         edges += [(left_id[i], right_id[find(t)], True) for i, t in enumerate(anchor) if t >= 0]
         edges += [(right_id[i], right_id[find(i)], True) for i in range(len(right)) if root[i] != i]
     return pd.DataFrame(edges, columns=["a", "b", "core"])
@@ -221,9 +240,10 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: in
     thinning = max(1, n // _SAMPLE)  # the sample only decides where space is cut
     sample = (items.where(F.pmod(F.xxhash64("pid"), F.lit(thinning)) == 0).select("low").collect()
               if n > block else [])
-    tree = (_split_space(np.array([r["low"] for r in sample]), eps, n // block)
+    reach = (eps + side) * (1 + 1e-9)
+    tree = (_split_space(np.array([r["low"] for r in sample]), eps, reach, n // block)
             if sample else [(-1, 0.0, 0, -1)])
-    placed = _place(items, tree, 2 * eps, f"pid {id_type}, low array<double>, high array<double>, "
+    placed = _place(items, tree, eps * (1 + 1e-9), reach, f"pid {id_type}, low array<double>, high array<double>, "
                     "weight long, dense boolean, extremes array<array<double>>")
     sizes = placed.groupBy("leaf").agg(
         F.ceil(F.count("*") / F.lit(block)).cast("long").alias("_blocks"))
@@ -290,7 +310,8 @@ def _items(points: DataFrame, width: int) -> DataFrame:
         F.sum("weight").alias("weight"), F.array(*[pick("x", v) for v in at for pick in (F.min_by, F.max_by)])
         .alias("extremes"))
     single = points.where("cell is null").select(
-        "pid", F.col("x").alias("low"), F.col("x").alias("high"), "weight", F.lit(False).alias("dense"),
+        "pid", F.col("x").alias("low"), F.lit(None).cast("array<double>").alias("high"), "weight",
+        F.lit(False).alias("dense"),
         F.lit(None).cast("array<array<double>>").alias("extremes"))
     return cells.select("pid", "low", "high", "weight", F.lit(True).alias("dense"), "extremes").unionByName(single)
 

@@ -294,3 +294,22 @@ def test_strips_are_bounded_and_near_pairs_exact(far):
     pairs = [np.column_stack(p) for p in distances.near_pairs(left, right, 0.8)]
     exact = sum((left[:, d, None] - right[None, :, d]) ** 2 for d in range(5)) <= 0.8 * 0.8
     assert np.array_equal(np.concatenate(pairs), np.argwhere(exact))
+
+
+def test_points_meet_few_blocks():
+    """Copies of a point, one per block, do not grow with the points from one size to the next."""
+    assert all(-(-n // distances.block_rows(n)) <= 8 for n in (9_000, 90_000, 250_000))
+    assert -(-540_000 // distances.block_rows(540_000)) <= 17
+
+
+def test_dbscan_copies_few_points_near_cuts(spark, monkeypatch):
+    """Cuts where few points lie near them: no more copies than the smaller leaves save."""
+    import hitlens.operators.dbscan as module
+    placed, place = [], module._place
+    monkeypatch.setattr(module, "_place", lambda items, *a: placed.append(
+        place(items, *a).count() / items.count()) or place(items, *a))
+    x = np.random.default_rng(8).normal(size=(1500, 6)) * 1.2
+    df, cols = frame(spark, x)
+    out = module.dbscan(df, cols, block=150).toPandas().sort_values("ip")
+    assert out["outlier_cluster"].tolist() == brute_dbscan(x, 0.5, 5).tolist()
+    assert placed[0] < 5, placed
