@@ -96,9 +96,9 @@ def euclidean_silhouettes(df: DataFrame, cols: Sequence[str], labels: dict[str,
         if len(left) and len(right):
             a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
             theirs = np.stack(right["_labels"].to_numpy())
-            member = np.column_stack([theirs[:, order.index(l)] == c for l, c in clusters])
+            member = np.column_stack([theirs[:, order.index(l)] == c for l, c in clusters]).astype(float)
             for start, square in strips(a, b):
-                out[start:start + len(square)] = np.sqrt(square) @ member
+                out[start:start + len(square)] = np.sqrt(square, out=square) @ member
         return pd.DataFrame(out, columns=names).assign(_id=left["_id"].to_numpy())
 
     id_type = df.schema[id_col].dataType.simpleString()
