@@ -11,6 +11,7 @@ Starts are drawn by k-means++ from a bounded sample, the points of the least has
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ SAMPLE, ROUNDS, TOLERANCE = 4096, 300, 1e-4
 TASK_POINTS = 10_000
 # A coordinate's low part: sums of the parts stay whole in doubles within a strip, in longs beyond.
 _LOW, _STRIP = 24, 2048
+# Rows whose distances from a few hundred centres stay in a processor's cache.
+_ROUND_STRIP = 128
 
 
 def fixed_point(df: DataFrame, cols: Sequence[str], id_col: str = "ip") -> DataFrame:
@@ -33,21 +36,24 @@ def fixed_point(df: DataFrame, cols: Sequence[str], id_col: str = "ip") -> DataF
         *[F.round(F.col(c).cast("double") * STEPS).cast("long") for c in cols]).alias("x"))
 
 
-def matrices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+def matrices(batches: Iterator[pa.RecordBatch], width: int, strip: int = _STRIP) -> Iterator[np.ndarray]:
     """Fixed-point coordinates in strips of rows."""
     for batch in batches:
         flat = batch.column("x").flatten().to_numpy()
         rows = flat.reshape(-1, width)
-        for start in range(0, len(rows), _STRIP):
-            yield rows[start:start + _STRIP]
+        for start in range(0, len(rows), strip):
+            yield rows[start:start + strip]
 
 
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Row by row the same numbers, whatever rows are beside it."""
     out = np.zeros((len(x), len(centres)))
+    gap = np.empty_like(out)
+    columns = np.ascontiguousarray(centres.T)  # much faster to run along
     for d in range(x.shape[1]):
-        gap = x[:, d, None] - centres[None, :, d]
-        out += gap * gap
+        np.subtract(x[:, d, None], columns[d], out=gap)
+        gap *= gap
+        out += gap
     return out
 
 
@@ -113,20 +119,27 @@ def starts(points: DataFrame, ks: Sequence[int], n_init: int, seed: int) -> list
 def _figures(points: DataFrame, models: Sequence[Model], width: int) -> dict[int, tuple]:
     """Size, coordinate sums and cost of every cluster of the models, by its number in their row."""
     centres = np.concatenate([m.centres for m in models])
-    edges = np.concatenate([[0], np.cumsum([m.k for m in models])])
+    alike, first = [], 0  # first slot, k and number of the models of one k
+    for k, same in groupby(m.k for m in models):
+        alike.append((first, k, len(list(same))))
+        first += k * alike[-1][2]
     high, low = [f"h{d}" for d in range(width)], [f"l{d}" for d in range(width)]
     names = ["slot", "n", "cost", *high, *low]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(centres), len(names) - 1), np.int64)
-        for x in matrices(batches, width):
+        for x in matrices(batches, width, _ROUND_STRIP):
             distance = squared_distances(x / STEPS, centres)
+            row = np.arange(len(x))[:, None]
+            # models of one k are beside each other: one search for all of them
+            slot = np.concatenate([a + k * np.arange(m) + distance[:, a:a + k * m].reshape(len(x), m, k).argmin(axis=2)
+                                   for a, k, m in alike], axis=1)
             member = np.zeros(distance.shape)
-            for a, b in zip(edges[:-1], edges[1:]):
-                member[np.arange(len(x)), a + distance[:, a:b].argmin(axis=1)] = 1
+            member[row, slot] = 1
             parts = np.column_stack([np.ones(len(x)), x >> _LOW, x & ((1 << _LOW) - 1)]).astype(float)
             sums = (member.T @ parts).astype(np.int64)  # whole numbers below 2**53: exact
-            cost = (np.floor(distance * COST_STEPS) * member).astype(np.int64).sum(axis=0)
+            cost = np.zeros(len(centres), np.int64)
+            np.add.at(cost, slot, np.floor(distance[row, slot] * COST_STEPS).astype(np.int64))
             total += np.column_stack([sums[:, :1], cost, sums[:, 1:]])
         used = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(c[used]) for c in total.T]], names=names)

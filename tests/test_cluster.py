@@ -313,3 +313,12 @@ def test_dbscan_copies_few_points_near_cuts(spark, monkeypatch):
     out = module.dbscan(df, cols, block=150).toPandas().sort_values("ip")
     assert out["outlier_cluster"].tolist() == brute_dbscan(x, 0.5, 5).tolist()
     assert placed[0] < 5, placed
+
+
+def test_rounds_take_small_strips():
+    """A round's distances stay in a processor's cache, and every row is in one strip."""
+    import pyarrow as pa
+    x = np.arange(2000).reshape(1000, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist())], names=["x"])
+    found = list(kmeans.matrices([batch], 2, kmeans._ROUND_STRIP))
+    assert max(map(len, found)) <= 128 and np.array_equal(np.concatenate(found), x)
