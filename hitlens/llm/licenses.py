@@ -99,18 +99,19 @@ def _with_bands(df: DataFrame, window: int, hashes: int) -> DataFrame:
         df = df.withColumn(order, F.col("_sh") if n == 0 else F.transform(
             "_sh", lambda x: F.xxhash64(F.lit(n), x)))
 
-        def windows(pick) -> Column:
+        def windows(pick, of) -> Column:
+            # places beyond the end are null and left out; no array is made of each window
             inside = F.transform(
                 F.sequence(F.lit(0), F.greatest(F.size(order) - window, F.lit(0))),
-                lambda i: pick(F.slice(order, i + 1, window)))
+                lambda i: of(*[F.get(order, i + j) for j in range(window)]) if window > 1 else F.get(order, i))
             ends = [pick(F.slice(order, at, n)) for n in range(1, window) for at in (
                 F.lit(1), F.greatest(F.size(order) - n, F.lit(0)) + 1)]
             return F.concat(inside, F.array(*ends)) if ends else inside
 
         some = F.size(order) > 0
         none = F.array().cast("array<bigint>")
-        df = df.withColumn(f"_band{2 * n}", F.when(some, windows(F.array_min)).otherwise(none))
-        df = df.withColumn(f"_band{2 * n + 1}", F.when(some, windows(F.array_max)).otherwise(none))
+        df = df.withColumn(f"_band{2 * n}", F.when(some, windows(F.array_min, F.least)).otherwise(none))
+        df = df.withColumn(f"_band{2 * n + 1}", F.when(some, windows(F.array_max, F.greatest)).otherwise(none))
     return df.drop(*[f"_order{n}" for n in range(hashes)])
 
 

@@ -471,3 +471,20 @@ def test_chat_round_trip(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("window,hashes", [(3, 3), (1, 2), (4, 1)])
+def test_license_bands_without_an_array_per_window(spark, window, hashes):
+    """Bands are the least and greatest hash of every window; only the ends, a few per text, are slices."""
+    from hitlens.llm.licenses import _with_bands
+    rng = random.Random(4)
+    texts = [[rng.getrandbits(60) for _ in range(n)] for n in (0, 1, 2, 3, 9)]
+    out = _with_bands(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, _sh array<bigint>"),
+                      window, hashes)
+    assert out._jdf.queryExecution().analyzed().toString().count("slice(") <= 4 * hashes * (window - 1)
+    for row in out.collect():
+        sh = row["_sh"]
+        runs = [sh[i:i + window] for i in range(max(len(sh) - window, 0) + 1)] + [
+            part for n in range(1, window) for part in (sh[:n], sh[max(len(sh) - n, 0):][:n])]
+        assert row["_band0"] == ([min(r) for r in runs] if sh else [])
+        assert row["_band1"] == ([max(r) for r in runs] if sh else [])
